@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalwatch.llm import bpe, langid, licenses, token_counts, urls
+from shoalwatch.llm import bpe, langid, licenses, minhash, token_counts, urls
 
 RULES = [
     urls.Rule("com/en/", "block"),
@@ -27,6 +27,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "block_margin")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(_table(spark, sf_dir, "documents")))
 
@@ -58,6 +62,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
