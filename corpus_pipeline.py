@@ -5,12 +5,63 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shoalwatch.llm import langid
+from shoalwatch.llm import bpe, langid, lines, minhash, tiling
 from shoalwatch.llm.common import materialize
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
-#: No stage's method can be said in SQL as a whole; tests compare with brute force.
+#: A document stays if its strongest language has this proportion at least.
+DOMINANT = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents of no language, or of a mixture that none leads."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = langid.train(docs.where(~held_out))
+    told = langid.with_language(docs, model)
+    return langid.dominant_only(told, DOMINANT).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the smallest id of each near-duplicate group."""
+    return minhash.without_near_duplicates(docs).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut lines that an earlier document or line has already."""
+    cut = lines.without_repeated_lines(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold benchmark items."""
+    return tiling.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and whether they decode to its bytes."""
+    encoded = bpe.with_token_ids(docs.select("doc_id", "lang", "source", "text"))
+    decoded = bpe.with_decoded(encoded)
+    return decoded.select(
+        "doc_id",
+        "lang",
+        "source",
+        F.expr("octet_length(token_ids) div 4").cast("long").alias("n_tokens"),
+        "token_ids",
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.coalesce(F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8"), F.lit(False)).alias("round_trip"),
+    )
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("line_dedup", drop_repeated_lines),
+    ("decontamination", decontaminate),
+    ("bpe_encode", encode),
+]
+
+#: No stage but the third can be said in SQL; tests compare with brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -300,3 +300,16 @@ def _same_document(signed: DataFrame) -> DataFrame:
     rep = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     own = signed.join(per_doc, "doc_id").join(rep, "digest").where(F.col("rep") != F.col("doc_id"))
     return own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
+def without_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
+    """All columns of one document of each group: that of the smallest doc_id.
+
+    Of rows that share a doc_id one stays; rows with a null doc_id all stay.
+    """
+    found = near_duplicates(df, doc_id, text, percent=percent, shingle=shingle)
+    kept = materialize(found.where("kept").select(F.col("doc_id").alias("_id")).distinct(), "kept")
+    mine = df.join(kept, F.col(doc_id).cast("long") == F.col("_id"), "left_semi")
+    if not df.groupBy(doc_id).count().where(F.col(doc_id).isNotNull() & (F.col("count") > 1)).isEmpty():
+        mine = mine.dropDuplicates([doc_id])
+    return mine.unionByName(df.where(F.col(doc_id).isNull()))

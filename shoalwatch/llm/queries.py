@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalwatch.llm import bpe, langid, licenses, lines, minhash, tiling, token_counts, urls, vectors
+from shoalwatch.llm import bpe, langid, licenses, lines, minhash, suffixes, tiling, token_counts, urls, vectors
 
 RULES = [
     urls.Rule("com/en/", "block"),
@@ -74,6 +74,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {}

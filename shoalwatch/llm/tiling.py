@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalwatch.llm import textkit
+from shoalwatch.llm.common import materialize
 
 #: Words of the shortest match that counts, and of a seed.
 MATCH = 5
@@ -162,5 +163,5 @@ def _of_document(tests: Tests, grams: np.ndarray, hits: np.ndarray, first: int,
 
 def without_contaminated(df: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """All columns of the documents that cover no test item enough."""
-    found = contaminated(df, tests, doc_id, text, **how).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct()
+    found = materialize(contaminated(df, tests, doc_id, text, **how).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct(), "contaminated")
     return df.join(found, F.xxhash64(text).eqNullSafe(F.col("_text")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "left_anti")
