@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 # fixed values: what marks a header
 KEYWORDS = ("id", "name", "date", "time", "user", "tweet", "text", "count", "number", "sent", "screen", "retweeted", "favorited")
 NO_HEADER_STARTS = ("http", "www", "from ", "if you")
+SEPARATORS = (",", ";", "\t", "|")
 #: Lines looked at for leading notes, and characters for the separator.
 LINES, SAMPLE_CHARS = 51, 65536
 
@@ -49,7 +50,9 @@ def detect_dialect(lines: list[str]) -> Dialect:
     first with the commonest number of fields.
     """
     try:
-        parsed = [(i, next(csv.reader([line]))) for i, line in enumerate(lines[:LINES]) if line.strip()]
+        split = lambda sep: [(i, next(csv.reader([line], delimiter=sep))) for i, line in enumerate(lines[:LINES]) if line.strip()]
+        regular = lambda sep: max(Counter(len(f) for _, f in split(sep) if len(f) > 1).values(), default=0)
+        parsed = split(max(SEPARATORS, key=regular))  # the first of equals
         skip = next((i for i, fields in parsed if looks_like_header(fields)), None)
         if skip is None:
             common = Counter(len(f) for _, f in parsed if len(f) > 1).most_common(1)
