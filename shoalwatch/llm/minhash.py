@@ -36,7 +36,7 @@ FREQUENCY_BUCKETS = 1 << 18
 #: Groups of a rare shingle up to this size are compared pair by pair.
 FEW = 6
 #: A block of a larger group has about this many members and shingles at most.
-CELL_MEMBERS, CELL_SHINGLES = 128, 1 << 18
+CELL_MEMBERS, CELL_SHINGLES = 512, 1 << 19
 COLUMNS = 4096
 
 _MULTIPLY = textkit.mix(np.arange(101, 101 + _HASHES, dtype=np.uint64)) | np.uint64(1)
@@ -132,11 +132,12 @@ def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _prefixes(members: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """``shingle, rep, component, n``: the rarest shingles of each member.
+    """``shingle, rep, component, n, short``: the rarest shingles of each member.
 
     Two sets that reach the similarity share one of the first
     n - ceil(percent * n / 100) + 1 of their n shingles in any order common
-    to all. The order here is by frequency among the members, counted in
+    to all, and for the smaller set it is one of its first
+    n - ceil(2 * percent * n / (100 + percent)) + 1, which ``short`` marks. The order here is by frequency among the members, counted in
     ``FREQUENCY_BUCKETS`` hashed buckets, so a passage that many share comes
     last. ``members`` has ``rep, component, text``.
     """
@@ -159,7 +160,7 @@ def _prefixes(members: DataFrame, percent: int, shingle: int) -> DataFrame:
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, w in textkit.words(batch.column(2), textkit.SPACED):
-                reps, comps, n, out = [], [], [], []
+                reps, comps, n, short, out = [], [], [], [], []
                 for i, s in enumerate(textkit.shingle_sets(w, shingle), at):
                     most = len(s) - -(-percent * len(s) // 100) + 1
                     order = np.lexsort((s, shared.value[(s & mask).astype(np.int64)]))[:most]
@@ -167,9 +168,11 @@ def _prefixes(members: DataFrame, percent: int, shingle: int) -> DataFrame:
                     reps += [batch.column(0)[i].as_py()] * len(order)
                     comps += [batch.column(1)[i].as_py()] * len(order)
                     n += [len(s)] * len(order)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(reps, pa.int64()), pa.array(comps, pa.int64()), pa.array(n, pa.int64())], names=["shingle", "rep", "component", "n"])
+                    few = len(s) - -(-2 * percent * len(s) // (100 + percent)) + 1
+                    short += [i < few for i in range(len(order))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(reps, pa.int64()), pa.array(comps, pa.int64()), pa.array(n, pa.int64()), pa.array(short, pa.bool_())], names=["shingle", "rep", "component", "n", "short"])
 
-    return members.select("rep", "component", "text").mapInArrow(rarest, "shingle long, rep long, component long, n long")
+    return members.select("rep", "component", "text").mapInArrow(rarest, "shingle long, rep long, component long, n long, short boolean")
 
 
 def _forest(rows: np.ndarray, cols: np.ndarray) -> list[tuple[int, int]]:
@@ -214,8 +217,11 @@ def _confirm_cells(rare: DataFrame, texts: DataFrame, percent: int, shingle: int
 
     A group is cut into blocks of bounded size, and each pair of blocks is a
     cell: all pairs are compared, but only a spanning forest of the links
-    between different components comes out.
+    between different components comes out. Of groups with the same members
+    one is compared.
     """
+    members = rare.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep")).alias("x"))
+    rare = rare.drop("m").join(materialize(members.groupBy("m", "s", "x").agg(F.min("shingle").alias("shingle")).select("shingle"), "distinct-groups"), "shingle")
     size = rare.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).select("shingle", F.greatest(F.ceil(F.col("m") / CELL_MEMBERS), F.ceil(F.col("total") / CELL_SHINGLES)).alias("blocks"))
     rare = rare.join(materialize(size, "blocks"), "shingle").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
     cells = rare.select("shingle", "rep", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y")).select("shingle", F.least("own", "y").alias("i"), F.greatest("own", "y").alias("j"), "rep", "component")
@@ -243,10 +249,13 @@ def _across(left: DataFrame, texts: DataFrame, classes: DataFrame, percent: int,
     """
     members = materialize(left.join(texts, "rep"), "left-texts")
     rare = materialize(_prefixes(members, percent, shingle), "prefixes")
+    least = rare.groupBy("shingle").agg(F.min(F.when(F.col("short"), F.col("n"))).alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi and least is not null").select("shingle", "least")
+    rare = materialize(rare.join(materialize(least, "least"), "shingle").where("short or n >= least").drop("least"), "useful-prefixes")
     groups = rare.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi").select("shingle", "m")
     rare = materialize(rare.join(materialize(groups, "groups"), "shingle"), "shared-prefixes")
     few = rare.where(F.col("m") <= FEW)
-    pairs = few.select("shingle", F.col("rep").alias("a"), F.col("component").alias("ca")).join(few.select("shingle", F.col("rep").alias("b"), F.col("component").alias("cb")), "shingle").where("ca < cb").select("a", "b").distinct()
+    side = lambda x: few.select("shingle", F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("short").alias(f"s{x}"))
+    pairs = side("a").join(side("b"), "shingle").where("ca < cb and (sa and na <= nb or sb and nb <= na)").select("a", "b").distinct()
     own = members.select("rep", "text")
     return _confirm(_plausible(pairs, classes, percent), own, percent, shingle).union(_confirm_cells(rare.where(F.col("m") > FEW), own, percent, shingle))
 
