@@ -11,7 +11,7 @@ from shoalwatch.llm import bpe, langid, lines, minhash, tiling
 from shoalwatch.llm.common import materialize
 
 #: A document stays if its strongest language has this proportion at least.
-DOMINANT = 0.4
+DOMINANT = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
