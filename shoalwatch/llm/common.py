@@ -45,6 +45,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+class Scratch:
+    """Tables that an operator needs until its last one is written."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, tag: str) -> DataFrame:
+        self.tables.append(materialize(df, tag))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        for table in self.tables:
+            drop_table(table)
+        self.tables = []
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote for ``df``."""
     _remove(df.sparkSession, df._shoalwatch_path)

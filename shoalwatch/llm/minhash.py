@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoalwatch.llm import textkit
-from shoalwatch.llm.common import append_columns, drop_table, materialize
+from shoalwatch.llm.common import Scratch, append_columns, materialize
 from shoalwatch.llm.components import components
 
 SHINGLE = 5
@@ -124,11 +124,11 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     return joined.mapInArrow(checked, "a long, b long").distinct()
 
 
-def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(buckets: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """``rep, component`` of the buckets that still hold several components."""
     told = buckets.join(labels, buckets["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     several = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    return told.join(materialize(several, "open-keys"), "key").select("rep", "component").distinct()
+    return told.join(scratch(several, "open-keys"), "key").select("rep", "component").distinct()
 
 
 def _prefixes(members: DataFrame, percent: int, shingle: int) -> DataFrame:
@@ -212,7 +212,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _confirm_cells(rare: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+def _confirm_cells(rare: DataFrame, texts: DataFrame, percent: int, shingle: int, scratch: Scratch) -> DataFrame:
     """Links within large groups of one shared rare shingle.
 
     A group is cut into blocks of bounded size, and each pair of blocks is a
@@ -221,9 +221,9 @@ def _confirm_cells(rare: DataFrame, texts: DataFrame, percent: int, shingle: int
     one is compared.
     """
     members = rare.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep")).alias("x"))
-    rare = rare.drop("m").join(materialize(members.groupBy("m", "s", "x").agg(F.min("shingle").alias("shingle")).select("shingle"), "distinct-groups"), "shingle")
+    rare = rare.drop("m").join(scratch(members.groupBy("m", "s", "x").agg(F.min("shingle").alias("shingle")).select("shingle"), "distinct-groups"), "shingle")
     size = rare.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).select("shingle", F.greatest(F.ceil(F.col("m") / CELL_MEMBERS), F.ceil(F.col("total") / CELL_SHINGLES)).alias("blocks"))
-    rare = rare.join(materialize(size, "blocks"), "shingle").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
+    rare = rare.join(scratch(size, "blocks"), "shingle").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
     cells = rare.select("shingle", "rep", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y")).select("shingle", F.least("own", "y").alias("i"), F.greatest("own", "y").alias("j"), "rep", "component")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -241,23 +241,23 @@ def _confirm_cells(rare: DataFrame, texts: DataFrame, percent: int, shingle: int
     return cells.join(texts, "rep").groupBy("shingle", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def _across(left: DataFrame, texts: DataFrame, classes: DataFrame, percent: int, shingle: int) -> DataFrame:
+def _across(left: DataFrame, texts: DataFrame, classes: DataFrame, percent: int, shingle: int, scratch: Scratch) -> DataFrame:
     """Links between the components of ``left`` (``rep, component``).
 
     Every pair that shares one of its rarest shingles is compared: pairs of
     small groups one by one, those of larger groups in cells.
     """
-    members = materialize(left.join(texts, "rep"), "left-texts")
-    rare = materialize(_prefixes(members, percent, shingle), "prefixes")
+    members = scratch(left.join(texts, "rep"), "left-texts")
+    rare = scratch(_prefixes(members, percent, shingle), "prefixes")
     least = rare.groupBy("shingle").agg(F.min(F.when(F.col("short"), F.col("n"))).alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi and least is not null").select("shingle", "least")
-    rare = materialize(rare.join(materialize(least, "least"), "shingle").where("short or n >= least").drop("least"), "useful-prefixes")
+    rare = scratch(rare.join(scratch(least, "least"), "shingle").where("short or n >= least").drop("least"), "useful-prefixes")
     groups = rare.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi").select("shingle", "m")
-    rare = materialize(rare.join(materialize(groups, "groups"), "shingle"), "shared-prefixes")
+    rare = scratch(rare.join(scratch(groups, "groups"), "shingle"), "shared-prefixes")
     few = rare.where(F.col("m") <= FEW)
     side = lambda x: few.select("shingle", F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("short").alias(f"s{x}"))
     pairs = side("a").join(side("b"), "shingle").where("ca < cb and (sa and na <= nb or sb and nb <= na)").select("a", "b").distinct()
     own = members.select("rep", "text")
-    return _confirm(_plausible(pairs, classes, percent), own, percent, shingle).union(_confirm_cells(rare.where(F.col("m") > FEW), own, percent, shingle))
+    return _confirm(_plausible(pairs, classes, percent), own, percent, shingle).union(_confirm_cells(rare.where(F.col("m") > FEW), own, percent, shingle, scratch))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
@@ -279,24 +279,25 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     rarest shingles, which a link implies. So no link in a bucket is lost,
     and a passage that many documents share does not pair them all.
     """
+    scratch = Scratch()
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = materialize(with_signatures(docs, keep=["doc_id"], shingle=shingle), "signatures")
     some = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("minhashes").alias("minhashes")), "classes")
 
     keys = _table_keys(classes)
-    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub")).where("n > 1").drop("n"), "shared-keys")
-    buckets = materialize(keys.join(shared, "key").select("key", "rep", "hub"), "buckets")
-    drop_table(shared)
-    members = materialize(buckets.select("rep").distinct(), "members")
-    texts = materialize(docs.join(members, docs["doc_id"] == members["rep"]).select("rep", "text").distinct(), "texts")
+    shared = scratch(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub")).where("n > 1").drop("n"), "shared-keys")
+    buckets = scratch(keys.join(shared, "key").select("key", "rep", "hub"), "buckets")
+    members = scratch(buckets.select("rep").distinct(), "members")
+    texts = scratch(docs.join(members, docs["doc_id"] == members["rep"]).select("rep", "text").distinct(), "texts")
 
     pairs = buckets.where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     links = _plausible(pairs, classes, percent)
-    edges = materialize(_confirm(links, texts, percent, shingle), "links")
-    left = materialize(_labelled(buckets, materialize(components(edges), "labels")), "left")
-    edges = edges.union(materialize(_across(left, texts, classes, percent, shingle), "links"))
+    edges = scratch(_confirm(links, texts, percent, shingle), "links")
+    left = scratch(_labelled(buckets, scratch(components(edges), "labels"), scratch), "left")
+    edges = edges.union(scratch(_across(left, texts, classes, percent, shingle, scratch), "links"))
     labels = components(edges.union(_same_document(some)))
+    scratch.clear()
     reps = classes.select("digest", "rep")
     told = signed.join(reps, "digest", "left").withColumn("at", F.coalesce("rep", "doc_id")).join(labels, F.col("at") == labels["node"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

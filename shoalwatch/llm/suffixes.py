@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalwatch.llm.common import materialize
+from shoalwatch.llm.common import Scratch, materialize
 from shoalwatch.llm.textkit import U, _CODES, mix
 
 #: Bytes of a string whose repetition counts, and of the q-grams of buckets.
@@ -394,21 +394,24 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
         raise ValueError("gram must be from 16 to length")
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     blocks = materialize(docs.mapInArrow(_pack, "block long, ids array<long>, sizes array<long>, data binary"), "blocks")
+    scratch = Scratch()
     found = blocks.select("block", "sizes", "data").mapInArrow(_find_spans(length, gram), _SPANS)
 
     def sifted(rows: DataFrame) -> DataFrame:
         return rows.repartition("key").sortWithinPartitions("key", "h1", "h2", "n").mapInArrow(_sift, _OPEN)
 
-    told = materialize(sifted(found), "sifted")
+    told = scratch(sifted(found), "sifted")
     opened = told.where("not gone").select("key", "block", F.col("places")[0].alias("place"), "n", "need")
     hot = opened.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT).select(F.col("key").alias("hot_key"))
-    opened = opened.join(materialize(hot, "hot"), F.col("key") == F.col("hot_key"), "left").withColumn("hot", F.col("hot_key").isNotNull())
+    opened = opened.join(scratch(hot, "hot"), F.col("key") == F.col("hot_key"), "left").withColumn("hot", F.col("hot_key").isNotNull())
     asked = opened.groupBy("block").agg(F.collect_list(F.struct("key", "n", "place", "hot", "need")).alias("asked"))
-    parts = materialize(blocks.select("block", "data").join(asked, "block").select("block", "data", "asked").mapInArrow(_cut(length), _PARTS), "parts")
+    parts = scratch(blocks.select("block", "data").join(asked, "block").select("block", "data", "asked").mapInArrow(_cut(length), _PARTS), "parts")
     cold = parts.where("not hot").select("key", "block", F.col("places")[0].alias("place"), "n", "bytes", "need")
     sorted_ = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_refined(length), _GONE)
     split = sifted(parts.where("hot").select("key", "h1", "h2", "n", "again", "block", "places"))
     gone = told.where("gone").select("block", "places", "n").union(sorted_).union(split.where("gone").select("block", "places", "n"))
-    per_block = materialize(gone, "gone").groupBy("block").agg(F.collect_list(F.struct("places", "n")).alias("gone"))
+    gone = materialize(gone, "gone")
+    scratch.clear()
+    per_block = gone.groupBy("block").agg(F.collect_list(F.struct("places", "n")).alias("gone"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept binary"
     return blocks.join(per_block, "block", "left").select("ids", "sizes", "data", "gone").mapInArrow(_finish(length, keep_bytes), schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalwatch.llm.common import materialize
+from shoalwatch.llm.common import Scratch, materialize
 from shoalwatch.llm.components import components
 from shoalwatch.llm.minhash import _forest
 
@@ -171,12 +171,13 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     # scaled by the largest component, so that no norm over- or underflows
     top = F.array_max(F.transform("embedding", F.abs))
     rows = rows.withColumn("embedding", F.when(usable, F.transform("embedding", lambda v: v / top)))
-    classes = materialize(rows.where(F.col("embedding").isNotNull()).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")).select("rep", "m", "embedding"), "vectors")
+    scratch = Scratch()
+    classes = scratch(rows.where(F.col("embedding").isNotNull()).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")).select("rep", "m", "embedding"), "vectors")
     index = fit(classes, sample=sample)
     if index is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + _SLACK
-    placed = materialize(classes.mapInArrow(_place(index, reach), "rep long, m long, embedding array<double>, list int, code binary, error double, probes array<int>"), "placed")
+    placed = scratch(classes.mapInArrow(_place(index, reach), "rep long, m long, embedding array<double>, list int, code binary, error double, probes array<int>"), "placed")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     held = placed.groupBy("list").agg(blocks(F.count(F.lit(1))).alias("nx"))
     asked = placed.select(F.explode("probes").alias("list")).groupBy("list").agg(blocks(F.count(F.lit(1))).alias("nq"))
@@ -186,11 +187,12 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     base = placed.join(sizes, "list").withColumn("i", F.pmod(F.xxhash64("rep"), "nx").cast("int")).withColumn("j", spread(F.col("nq"))).withColumns({"query": F.lit(False), "own": F.lit(True)}).select(columns)
     ask = placed.withColumnRenamed("list", "home").withColumn("list", F.explode("probes")).join(sizes, "list")
     ask = ask.withColumn("j", F.pmod(F.xxhash64("rep"), "nq").cast("int")).withColumn("i", spread(F.col("nx"))).withColumns({"query": F.lit(True), "own": F.col("home") == F.col("list"), "code": F.lit(None).cast("binary"), "error": F.lit(0.0)}).select(columns)
-    found = materialize(base.union(ask).groupBy("list", "i", "j").applyInArrow(_compare(index, cosine, reach), "a long, b long, n long"), "links")
+    found = scratch(base.union(ask).groupBy("list", "i", "j").applyInArrow(_compare(index, cosine, reach), "a long, b long, n long"), "links")
     links = found.groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "rep")
     labels = components(found.where("b is not null").select("a", "b").union(_same_vector(rows, classes)))
     told = classes.join(links, "rep", "left").join(labels, F.col("rep") == labels["node"], "left")
     told = materialize(told.select(F.col("embedding").alias("e"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")), "labelled")
+    scratch.clear()
     out = rows.join(told, rows["embedding"] == told["e"], "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
