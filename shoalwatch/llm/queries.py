@@ -46,7 +46,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.repeated_lines(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "unit", "start", "end", F.hex("digest").alias("digest"), "kept_doc_id", "kept_unit", "copies")
+    return found.select("doc_id", "unit", "start", "end", "kept_doc_id", "kept_unit", "copies")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +92,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Links of ``linked(a, b)`` in both directions, followed to all that they reach.
+_REACHED = """hop(a, b) AS (SELECT a, b FROM linked UNION SELECT hop.a, linked.b FROM hop JOIN linked ON hop.b = linked.a),
+low AS (SELECT a, min(b) AS b FROM hop GROUP BY a)"""
+
+#: SQL for the queries whose results it can express on whole test tables; the
+#: others are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op2_minhash_near_dedup": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+linked AS (SELECT a, b FROM both_ JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+{_REACHED}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low.b, doc_id)) AS component_id, doc_id <= coalesce(low.b, doc_id) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = doc_id""",
+    "op3_vector_near_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+linked AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id WHERE list_dot_product(x.e, y.e) / (x.norm * y.norm) >= 0.9),
+k AS (SELECT a, count(*) AS n FROM linked GROUP BY a), {_REACHED}
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low.b, vec_id)) AS component_id, vec_id <= coalesce(low.b, vec_id) AS kept
+FROM v LEFT JOIN k ON k.a = vec_id LEFT JOIN low ON low.a = vec_id""",
+    "op6_line_dedup": rf"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+u AS (SELECT doc_id, l, unnest(range(0, len(l))) AS unit FROM l),
+t AS (SELECT doc_id, unit, l[unit + 1] AS text, coalesce(list_sum(list_transform(l[1:unit], lambda x: length(x) + 1)), 0) AS start FROM u),
+x AS (SELECT doc_id, unit, CAST(start AS BIGINT) AS start, CAST(start + length(text) AS BIGINT) AS "end", trim(regexp_replace({_LOWER}, '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS s FROM t),
+r AS (SELECT *, row_number() OVER w AS k, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit) OVER w AS kept_unit, count(*) OVER (PARTITION BY s) AS copies
+  FROM x WHERE len(string_split(s, ' ')) >= 5 WINDOW w AS (PARTITION BY s ORDER BY doc_id, unit))
+SELECT doc_id, unit, start, "end", kept_doc_id, kept_unit, copies FROM r WHERE k > 1""",
+}
