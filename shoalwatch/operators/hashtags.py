@@ -69,6 +69,24 @@ def hashtag_analysis(df: DataFrame, user: str = "user_id", text: str = "text", t
     )
 
 
+def default_window(windows: DataFrame) -> DataFrame:
+    """The middle window, row n // 2 + 1 by start: what a view shows first.
+
+    The order goes over the aggregated windows, not over the uses.
+    """
+    order = Window.orderBy("timewindow_start")
+    placed = windows.select("timewindow_start", F.row_number().over(order).alias("r"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    return placed.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select("timewindow_start")
+
+
+def window_end(start, unit: str, amount: int) -> Column:
+    """End of a window of the declared bin size, whatever window comes next."""
+    step = {"year": (amount * 12, 0), "month": (amount, 0)}.get(unit)
+    if step:
+        return start + F.make_ym_interval(F.lit(0), F.lit(step[0]))
+    return start + F.expr(f"interval {amount} {unit}")
+
+
 def window_share(uses: DataFrame, window: str | None = None) -> DataFrame:
     """``timewindow_start, hashtag, count, n_users, percent`` of each window's uses."""
     rows = uses if window is None else uses.where(F.col("timewindow_start") == F.lit(window).cast("timestamp_ntz"))

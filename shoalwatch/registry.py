@@ -159,6 +159,13 @@ def hashtag_posts(spark, sf_dir):
     return hashtags.raw_posts(tagged, 7, "#c", "2024-01-05 00:00:00", "2024-01-15 00:00:00", ts="ts")
 
 
+@_query(f"""{_USES}, w AS (SELECT DISTINCT timewindow_start FROM uses), r AS (SELECT *, row_number() OVER (ORDER BY timewindow_start) AS r, count(*) OVER () AS n FROM w)
+SELECT timewindow_start, timewindow_start + INTERVAL '12 hours' AS timewindow_end FROM r WHERE r = n // 2 + 1""")
+def hashtag_default_window(spark, sf_dir):
+    found = hashtags.default_window(hashtags.concentration(_uses(spark, sf_dir)))
+    return found.withColumn("timewindow_end", hashtags.window_end(F.col("timewindow_start"), "hour", 12))
+
+
 _MONTHS = """WITH p AS (SELECT ts, (SELECT min(ts) FROM events) AS o FROM events WHERE ts IS NOT NULL),
 g AS (SELECT ts, o, CAST(floor(((year(ts) - year(o)) * 12 + month(ts) - month(o)) / 1.0) AS BIGINT) AS k FROM p)"""
 
