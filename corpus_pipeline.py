@@ -40,9 +40,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to its bytes."""
-    encoded = bpe.with_token_ids(docs.select("doc_id", "lang", "source", "text"))
-    decoded = bpe.with_decoded(encoded)
-    return decoded.select(
+    return bpe.with_round_trip(docs.select("doc_id", "lang", "source", "text")).select(
         "doc_id",
         "lang",
         "source",

@@ -91,6 +91,20 @@ def with_decoded(df: DataFrame, ids: str = "token_ids", out: str = "decoded", *,
     return append_columns(df, [(out, T.BinaryType())], decoded, keep)
 
 
+def with_round_trip(df: DataFrame, text: str = "text", ids: str = "token_ids", decoded: str = "decoded", *, ranks_path: str = RANKS, keep: list[str] | None = None) -> DataFrame:
+    """Add ``with_token_ids`` and ``with_decoded`` of it in one pass.
+
+    One Python worker serves a task, where two chained passes take two.
+    """
+    at = df.columns.index(text)
+
+    def both(batch: pa.RecordBatch) -> list[pa.Array]:
+        packed = [encode(t.as_py(), ranks_path).tobytes() for t in batch.column(at)]
+        return [pa.array(packed, pa.binary()), pa.array((decode(p, ranks_path) for p in packed), pa.binary())]
+
+    return append_columns(df, [(ids, T.BinaryType()), (decoded, T.BinaryType())], both, keep)
+
+
 def with_token_count(df: DataFrame, text: str = "text", out: str = "n_tokens", *, ranks_path: str = RANKS, keep: list[str] | None = None) -> DataFrame:
     """Add column ``out``: the number of tokens of every whole text (null: 0)."""
     at = df.columns.index(text)

@@ -185,6 +185,8 @@ def test_bpe(docs, empty):
     out = bpe.with_decoded(bpe.with_token_ids(docs, keep=["doc_id"])).collect()
     got = sorted(((r["doc_id"], np.frombuffer(r["token_ids"], "<u4").tolist(), bytes(r["decoded"])) for r in out), key=str)
     assert got == want
+    once = bpe.with_round_trip(docs, keep=["doc_id"]).collect()
+    assert sorted(((r["doc_id"], np.frombuffer(r["token_ids"], "<u4").tolist(), bytes(r["decoded"])) for r in once), key=str) == want
     assert bpe.with_token_ids(empty).count() == 0
 
 
