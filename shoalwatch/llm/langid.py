@@ -21,7 +21,7 @@ from shoalwatch.llm.common import append_columns
 
 #: N-grams are hashed to this many buckets.
 BUCKETS = 1 << 15
-#: At most this many labelled documents are learnt from, whole, chosen by hash.
+#: At most this many distinct labelled texts are learnt from, whole, chosen by hash.
 SAMPLE = 8000
 UNDETERMINED = "und"
 _STEPS, _FEW, _MOVE = 30, 1e-3, 1e-4
@@ -117,20 +117,22 @@ class LanguageModel:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", *, sample: int = SAMPLE) -> LanguageModel:
     """Learn n-gram distributions from labelled texts.
 
-    The model is fitted on a bounded sample: the ``sample`` rows with the
-    smallest hashes of their text. Counting is distributed; the driver gets
-    at most one count per language and bucket. Rows without text or
-    language are left out; without any rows the model knows no language.
+    The model is fitted on a bounded sample: the ``sample`` distinct texts
+    with the smallest hashes, each counted once for each of its languages,
+    so that a group of copies weighs no more than one text. Counting is
+    distributed; the driver gets at most one count per language and bucket.
+    Rows without text or language are left out; without any rows the model
+    knows no language.
     """
     rows = (
         labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
         .select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
         .withColumn("_h", F.xxhash64("text"))
     )
-    picked = rows.select("_h").orderBy("_h").limit(sample).agg(F.max("_h").alias("top")).first()["top"]
+    picked = rows.select("_h").distinct().orderBy("_h").limit(sample).agg(F.max("_h").alias("top")).first()["top"]
     if picked is None:
         return LanguageModel([], np.empty((0, BUCKETS)))
-    rows = rows.where(F.col("_h") <= picked)
+    rows = rows.where(F.col("_h") <= picked).dropDuplicates(["_h", "lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
