@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import csv
 import io
+import re
+import shutil
+import tempfile
+import uuid
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +24,7 @@ NO_HEADER_STARTS = ("http", "www", "from ", "if you")
 SEPARATORS = (",", ";", "\t", "|")
 #: Lines looked at for leading notes, and characters for the separator.
 LINES, SAMPLE_CHARS = 51, 65536
+_BREAK, _BOM, _CHUNK = re.compile(rb"\r\n|\r|\n"), b"\xef\xbb\xbf", 65536
 
 
 @dataclass(frozen=True)
@@ -66,25 +74,121 @@ def detect_dialect(lines: list[str]) -> Dialect:
         return Dialect(skip_rows=skip)
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder's name in the folder all executors share; it goes when the process ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared:  # only in local runs
+        shared = tempfile.mkdtemp(prefix="shoalwatch-")
+        atexit.register(shutil.rmtree, shared, True)
+    folder = f"{shared.rstrip('/')}/shoalwatch-{uuid.uuid4().hex}-csv"
+    atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _without_notes(spark: SparkSession, path: str, notes: list[str]) -> str:
+    """Copy the files to the shared folder without their leading notes, byte by byte.
+
+    A file that doesn't begin with the notes is copied whole.
+    """
+    jvm, conf, folder = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), _scratch(spark)
+    for number, name in enumerate(sorted(spark.read.text(path).inputFiles())):
+        source = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        stream = source.getFileSystem(conf).open(source)
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(source)
+        stream = codec.createInputStream(stream) if codec else stream
+        head, ends = b"", []
+        while chunk := bytes(stream.readNBytes(_CHUNK)):
+            head += chunk
+            ends = [m.end() for m in _BREAK.finditer(head)][: len(notes)]
+            if len(ends) == len(notes) and ends[-1] < len(head):
+                break
+        end = ends[-1] if len(ends) == len(notes) else 0
+        own = _BREAK.split(head[:end].removeprefix(_BOM))[:-1]
+        if [line.decode("utf-8", "replace") for line in own] == notes:
+            head = head[end:]
+        target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{number}.csv")
+        out = target.getFileSystem(conf).create(target)
+        out.write(head, 0, len(head))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, True)  # closes both
+    return folder
+
+
+def _open_after(line: str, inside: bool, dialect: Dialect) -> bool:
+    """Whether a quoted field is open at the end of a line, from its state at the start."""
+    at = 0
+    while True:
+        if not inside:
+            if not line.startswith(dialect.quote, at):
+                if (found := line.find(dialect.separator, at)) < 0:
+                    return False
+                at = found + 1
+                continue
+            at += 1
+        if (at := line.find(dialect.quote, at)) < 0:
+            return True
+        inside = line.startswith(dialect.quote, at + 1)  # a doubled one
+        at += 2
+        if not inside:
+            if (found := line.find(dialect.separator, at - 1)) < 0:
+                return False
+            at = found + 1
+
+
+def _with_plain_ends(spark: SparkSession, path: str, dialect: Dialect) -> str:
+    """Copy the files with \\n after every row; breaks in quoted fields stay as they are."""
+    folder = _scratch(spark)
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside = False
+        for batch in batches:
+            out = []
+            for line in batch.column(0).to_pylist():
+                inside = _open_after(line, inside, dialect)
+                out.append(line[:-1] if not inside and line.endswith("\r") else line)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["line"])
+
+    for number, name in enumerate(sorted(spark.read.text(path).inputFiles())):
+        lines = spark.read.text(spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name)).toString(), lineSep="\n")
+        numbered = spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda p: (p[0][0], p[1])), "line string, at long")
+        ordered = numbered.repartition(1).sortWithinPartitions("at").select("line")
+        ordered.mapInArrow(plain, "line string").write.text(f"{folder}/{number}", lineSep="\n")
+    return f"{folder}/*"
+
+
+def _row_end(spark: SparkSession, path: str) -> str | None:
+    """What ends the rows: ``\\n``, ``\\r\\n``, empty for a mixture, None if Spark has to find out."""
+    lines = spark.read.text(path, lineSep="\n")
+    n, cr = lines.agg(F.count(F.lit(1)), F.count_if(F.col("value").endswith("\r"))).first()
+    if n <= len(lines.inputFiles()):  # no \n, or one line
+        return None
+    return "\n" if not cr else "\r\n" if cr == n else ""
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    except Exception:  # the JVM is gone at exit; the folder's owner cleans up
+        return
+
+
 def read_csv(spark: SparkSession, path: str, dialect: Dialect | None = None, *, n_rows: int | None = None, schema: T.StructType | None = None) -> DataFrame:
     """Read with the given or detected dialect; fields beyond the header are cut.
 
+    Quoted fields keep their line breaks, so each file is read by one task.
     Types come from a sample of the first rows; cells that don't fit become
-    null. Leading notes are dropped by line number in the first split of the
-    file; all else streams.
+    null. A file with leading notes is first copied without them, and one of
+    mixed line ends with equal ones. A quote that opens a field and is never
+    closed takes all that follows into the field.
     """
     dialect = dialect or detect_dialect(_head(spark, path))
-    if dialect.skip_rows:
-        lines = spark.read.text(path, wholetext=False)
-        gone = _head(spark, path)[: dialect.skip_rows]
-        # notes are the first lines; a repetition of one deeper in the file stays
-        numbered = lines.rdd.zipWithIndex().filter(lambda p: p[1] >= len(gone)).map(lambda p: p[0][0] or "")
-        source = numbered
-    else:
-        source = path
-    options = {"sep": dialect.separator, "quote": dialect.quote, "escape": dialect.quote, "header": dialect.header, "mode": "PERMISSIVE", "enforceSchema": True}
-    if not dialect.skip_rows:
-        options["multiLine"] = False
+    source = _without_notes(spark, path, _head(spark, path)[: dialect.skip_rows]) if dialect.skip_rows else path
+    options = {"sep": dialect.separator, "quote": dialect.quote, "escape": dialect.quote, "header": dialect.header, "mode": "PERMISSIVE", "enforceSchema": True, "multiLine": True}
+    end = _row_end(spark, source)
+    if end == "":
+        source, end = _with_plain_ends(spark, source, dialect), "\n"
+    if end:  # told, Spark keeps \r\n in quoted fields; found by itself, it becomes \n
+        options["lineSep"] = end
     reader = spark.read.options(**{k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()})
     schema = schema or reader.option("inferSchema", "true").option("samplingRatio", "1.0" if n_rows else "0.1").csv(source).schema
     out = reader.schema(schema).csv(source)

@@ -43,6 +43,34 @@ def test_csv_options_and_ragged_rows(spark, tmp_path):
     assert [tuple(r) for r in out] == [(1, "x|y"), (2, "z"), (3, None)]
 
 
+@pytest.mark.parametrize("notes", ["", "A note on how this table was made by hand\nAnother note: \n"])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_quoted_line_breaks(spark, tmp_path, notes, end):
+    file = tmp_path / "my posts.csv"
+    posts = [f"first line{end}second line", f'{end}a ""quoted"" one, with a comma{end}{end}', "short"]
+    body = [f'{i},"{post}",{i + 4}' for i, post in enumerate(posts)]
+    # a repetition of the notes inside a post stays
+    body.append(f'3,"A note on how this table was made by hand{end}x",7')
+    file.write_bytes((notes.replace("\n", end) + end.join(["user id,text,count", *body]) + end).encode())
+    dialect = csv_source.Dialect(skip_rows=notes.count("\n"))
+    out = csv_source.read_csv(spark, str(file), dialect, schema="user_id long, text string, count long")
+    want = [(i, post.replace('""', '"'), i + 4) for i, post in enumerate(posts)]
+    assert sorted(map(tuple, out.collect())) == [*want, (3, f"A note on how this table was made by hand{end}x", 7)]
+    assert csv_source.read_csv(spark, str(file)).count() == 4
+    assert csv_source.preview_csv(spark, str(file), 4).dtypes[0] == ("user id", "int")
+
+
+@pytest.mark.parametrize("notes", [b"", b"A note, by hand\r\nand one more\n"])
+def test_csv_mixed_line_ends(spark, tmp_path, notes):
+    file = tmp_path / "x.csv"
+    file.write_bytes(notes + b'id,text,word\r\n1,"a\r\n""b"",\nc",x\n2,"d",y\r\n3,5" e,"z\r\n"\r\n4,,w')
+    dialect = csv_source.Dialect(skip_rows=notes.count(b"\n"))
+    out = csv_source.read_csv(spark, str(file), dialect, schema="id long, text string, word string").collect()
+    assert [tuple(r) for r in out] == [(1, 'a\r\n"b",\nc', "x"), (2, "d", "y"), (3, '5" e', "z\r\n"), (4, None, "w")]
+    file.write_bytes(b"id,text\r1,a\r2,b\r")
+    assert [r["text"] for r in csv_source.read_csv(spark, str(file)).collect()] == ["a", "b"]
+
+
 def test_excel(spark, tmp_path):
     df = spark.createDataFrame([(1, "a <b>", 1.5, True), (2, None, None, False)], "id long, t string, x double, f boolean")
     path = str(tmp_path / "x.xlsx")
