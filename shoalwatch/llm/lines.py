@@ -13,20 +13,31 @@ from pyspark.sql import types as T
 
 from shoalwatch.llm.common import append_columns, materialize
 
-#: Shorter lines are never removed: they repeat by chance.
-MIN_WORDS = 5
+#: Lines short in all three are never removed: they repeat by chance. Words are
+#: parted by any white space; of scripts that don't part words, characters count.
+MIN_WORDS, MIN_CHARS, MIN_UNSPACED = 5, 64, 10
+#: Thai, Lao, Tibetan, Myanmar, Khmer, kana, bopomofo and Han.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _BLANK = re.compile(r"[\x09-\x0d\x20]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _SPANS = T.ArrayType(T.StructType([T.StructField("unit", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("digest", T.BinaryType())]))
 
 
+def _counts(unit: str, min_words: int) -> bool:
+    """Whether a line, its ASCII white space collapsed, is long enough to count."""
+    if len(unit) >= MIN_CHARS or len(unit.split()) >= min_words:
+        return True
+    return not unit.isascii() and len(_UNSPACED.findall(unit)) >= MIN_UNSPACED
+
+
 def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, bytes]]:
     """Number, start, end (in characters, line break excluded) and digest of the lines that count."""
     at = 0
     for number, line in enumerate((text or "").split("\n")):
         words = _BLANK.split(line.strip("\t\n\x0b\x0c\r ").translate(_LOWER))
-        if len(words) >= min_words:
-            yield number, at, at + len(line), hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
+        unit = " ".join(words)
+        if len(words) >= min_words or _counts(unit, min_words):
+            yield number, at, at + len(line), hashlib.blake2b(unit.encode(), digest_size=16).digest()
         at += len(line) + 1
 
 
@@ -40,7 +51,8 @@ def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
 
     Occurrences rank by doc_id (null last), hash of the text, and line.
     Null and empty texts have no lines; lines of fewer than ``min_words``
-    words stay. Rows equal in doc_id and text are one document and get the
+    words stay if they also have fewer than ``MIN_CHARS`` characters, and
+    fewer than ``MIN_UNSPACED`` of scripts that don't part words. Rows equal in doc_id and text are one document and get the
     same lines removed. An empty table gives an empty result.
 
     Lines are grouped by digest with counts merged before the shuffle, and

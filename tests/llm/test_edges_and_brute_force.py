@@ -294,6 +294,18 @@ def test_lines(docs, empty):
     assert lines.repeated_lines(left).count() == 0
 
 
+def test_lines_without_ascii_spaces(spark):
+    long = ["版权所有，未经书面许可不得转载本网站的任何内容", "このサイトの内容を無断で転載することを禁じます", "สงวนลิขสิทธิ์ห้ามคัดลอกเนื้อหา", "all\u00a0rights\u00a0reserved\u00a0by\u00a0us", "QUJD" * 40, "http://example.com/" + "a/" * 40]
+    short = ["目录", "next page", "{", "a_name_of_some_length()", ""]
+    rows = [(i, "\n".join([*long, *short, f"text {i}"])) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lines.repeated_lines(df).collect()
+    assert {(r["doc_id"], r["unit"]) for r in found} == {(d, u) for d in (1, 2) for u in range(len(long))}
+    assert {r["copies"] for r in found} == {3}
+    left = {r["doc_id"]: r["text"] for r in lines.without_repeated_lines(df).collect()}
+    assert left == {0: rows[0][1], **{i: "\n".join([*short, f"text {i}"]) for i in (1, 2)}}
+
+
 # --- 7 ---
 
 
