@@ -67,6 +67,18 @@ def _positions(spark: SparkSession, made: list[Template]) -> DataFrame:
     return spark.createDataFrame(rows, "tid int, k int, gram string, tpos int")
 
 
+def _in_order(hits: Column) -> Column:
+    """The most hits whose places rise both in the text and in the template.
+
+    Each hit takes the place of the least end of a chain that isn't below
+    its own; two hits of one place in the text never stand in one chain.
+    """
+    placed = F.transform(F.array_sort(hits), lambda h: -h["back"])
+    start = F.array().cast("array<int>")
+    step = lambda ends, t: F.concat(F.filter(ends, lambda e: e < t), F.array(t), F.slice(F.filter(ends, lambda e: e >= t), 2, F.size(ends) + 1))
+    return F.size(F.aggregate(placed, start, step)).cast("long")
+
+
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, phrases=PHRASES, notices=NOTICES, least: float = LEAST) -> DataFrame:
     """Scan whole texts; one row per input row, other columns dropped.
 
@@ -81,7 +93,9 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, phrases=P
     the templates; what is left is joined to the template positions, word by
     word equal. Hits on one diagonal (place in the text minus place in the
     template) vote for it; neighbouring diagonals merge. A phrase is found
-    where one diagonal has all of its votes. Only hits and one row per
+    where one diagonal has all of its votes. The share of a notice is that
+    of its k-grams which the merged diagonals hold in their order, each
+    counted once; ``spans`` reach over all hits of the diagonals. Only hits and one row per
     document are shuffled, by row; a document's hits are never more than its
     words times the templates of a k-gram.
     """
@@ -108,16 +122,19 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, phrases=P
     )
     hits = grams.join(F.broadcast(table), ["k", "gram"], "left")  # bounded: the templates are parameters
     facts = spark.createDataFrame([(n, t.label, t.grams, t.k, len(t.words)) for n, t in enumerate(made)], "tid int, label string, grams int, tk int, t_words int")
-    by_row = hits.repartition("row").groupBy("row", "doc_id", "n_words", "tid", (F.col("pos") - F.col("tpos")).alias("diag")).agg(F.count("tpos").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    by_row = hits.repartition("row").groupBy("row", "doc_id", "n_words", "tid", (F.col("pos") - F.col("tpos")).alias("diag")).agg(F.count("tpos").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_list(F.when(F.col("tpos").isNotNull(), F.struct("pos", (-F.col("tpos")).alias("back")))).alias("hits"))
     voted = by_row.join(F.broadcast(facts), "tid", "left")
     order = Window.partitionBy("row", "doc_id", "n_words", "tid").orderBy("diag")
     apart = F.coalesce(F.col("diag") - F.lag("diag").over(order) > F.when(F.col("tk") == NOTICE_K, NEAR).otherwise(0), F.lit(True))
     merged = (
         voted.withColumn("island", F.sum(apart.cast("int")).over(order))
         .groupBy("row", "doc_id", "n_words", "tid", "island")
-        .agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("label").alias("label"), F.first("grams").alias("grams"), F.first("tk").alias("tk"))
+        .agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.flatten(F.collect_list("hits")).alias("hits"), F.first("label").alias("label"), F.first("grams").alias("grams"), F.first("tk").alias("tk"))
     )
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
+    # no more hits stand in order than vote
+    promising = (F.col("tk") == NOTICE_K) & (F.col("votes") / F.col("grams") >= least)
+    merged = merged.withColumn("held", F.when(promising, _in_order(F.col("hits"))).otherwise(F.col("votes"))).drop("hits")
+    share = F.least(F.lit(1.0), F.col("held") / F.col("grams"))
     exact = (F.col("tk") == PHRASE_K) & (F.col("votes") == F.col("grams"))
     aligned = (F.col("tk") == NOTICE_K) & (share >= least)
     span = F.struct("label", F.col("lo").cast("long").alias("first_word"), (F.col("hi") + F.col("tk") - 1).cast("long").alias("last_word"), share.alias("share"))

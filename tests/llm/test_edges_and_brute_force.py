@@ -334,6 +334,25 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_notices_are_verified(spark):
+    def most_in_order(words, template):
+        best = [0] * (len(template) + 1)  # longest common subsequence of k-grams
+        for i in range(len(words) - 2):
+            before = list(best)
+            for t in range(len(template) - 2):
+                best[t + 1] = max(best[t], before[t + 1], before[t] + 1 if words[i : i + 3] == template[t : t + 3] else 0)
+        return best[len(template) - 2]
+
+    bsd = next(n for n, label in licenses.NOTICES if label == "bsd").split()  # holds no phrase
+    part, noise = bsd[:9] + ["so", "to", "say"] + bsd[9:], "and binary forms "
+    texts = ["creative commons attribution " * 7, "the terms of " * 18, noise * 18, " ".join(bsd[10:] + bsd[:10]), " ".join(bsd), " ".join(part), noise * 5 + " ".join(bsd), " ".join(bsd * 2)]
+    out = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [out[i]["labels"] for i in range(8)] == [""] * 4 + ["bsd"] * 4
+    for i, text in enumerate(texts[2:], 2):
+        share = most_in_order(text.split(), bsd) / (len(bsd) - 2)
+        assert out[i]["score"] == pytest.approx(share if share >= licenses.LEAST else 0)
+
+
 # --- 8 ---
 
 
