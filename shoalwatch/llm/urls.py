@@ -14,8 +14,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoalwatch.llm.common import materialize
+
 #: At most this many labelled URLs are learnt from, chosen by hash of the URL.
 SAMPLE = 20_000
+#: Suffix statistics of up to so many bytes are broadcast; of more, each row of
+#: a URL meets one of so many copies.
+BROADCAST_BYTES, SALTS = 8 << 20, 32
 TREES, DEPTH, SEED = 8, 4, 17
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ["f_length", "f_host_length", "f_depth", "f_digit_ratio", "f_entropy", "f_params", "f_labels", "f_suffix_rate", "f_suffix_count"]
@@ -89,8 +94,11 @@ def with_features(df: DataFrame, url: str, suffixes: DataFrame | None, prior: fl
     )
     if suffixes is None:
         return out
-    # one row per suffix of the bounded sample at most
-    joined = out.join(F.broadcast(suffixes), "_suffix", "left")
+    if "_salt" in suffixes.columns:
+        out = out.withColumn("_salt", F.monotonically_increasing_id() % SALTS)
+        joined = out.join(suffixes, ["_suffix", "_salt"], "left").drop("_salt")
+    else:
+        joined = out.join(suffixes, "_suffix", "left")
     return joined.withColumns({"f_suffix_rate": F.coalesce("s_rate", F.lit(prior)), "f_suffix_count": F.coalesce("s_count", F.lit(0.0))}).drop("s_rate", "s_count")
 
 
@@ -116,29 +124,27 @@ class UrlModel:
 def train(labelled: DataFrame, url: str = "url", label: str = "label", *, sample: int = SAMPLE) -> UrlModel:
     """Fit boosted trees on URLs labelled 1 (block) or 0 (allow).
 
-    Fitted on a bounded sample: the ``sample`` distinct labelled URLs with
-    the smallest hashes. If it lacks one of the labels, the model answers
+    The rates and counts of suffixes are of all distinct labelled URLs. The
+    trees are fitted on a bounded sample: the ``sample`` distinct labelled
+    URLs with the smallest hashes. If it lacks one of the labels, the model answers
     the label that is there, or allow when there is none. Null URLs or
     labels are left out.
     """
-    picked = (
-        labelled.where(F.col(url).isNotNull() & F.col(label).isNotNull())
-        .groupBy(F.col(url).alias("url"))
-        .agg(F.max(F.col(label).cast("int")).alias("label"))
-        .orderBy(F.xxhash64("url"), "url")
-        .limit(sample)
-        .coalesce(1)
-        .cache()
-    )
+    distinct = labelled.where(F.col(url).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(url).alias("url")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    suffix = F.substring_index(host_of(F.col("url")), ".", -1).alias("_suffix")
+    counts = materialize(distinct.groupBy(suffix).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")), "suffixes")
+    every = counts.agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(F.octet_length("_suffix") + 64).alias("bytes")).first()
+    picked = distinct.orderBy(F.xxhash64("url"), "url").limit(sample).coalesce(1).cache()
     totals = picked.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).first()
     if not totals["n"] or totals["p"] in (0, totals["n"]):
         picked.unpersist()
         return UrlModel(None, 0.5, F.lit(1.0 if totals["p"] else -1.0))
-    prior = totals["p"] / totals["n"]
-    base = with_features(picked, "url", None)
-    n, p = F.count(F.lit(1)), F.sum("label")
-    rows = base.groupBy("_suffix").agg(((p + prior) / (n + 1.0)).alias("s_rate"), n.cast("double").alias("s_count")).collect()  # bounded by the sample
-    suffixes = labelled.sparkSession.createDataFrame(rows, "_suffix string, s_rate double, s_count double")
+    prior = every["p"] / every["n"]
+    suffixes = counts.select("_suffix", ((F.col("p") + prior) / (F.col("n") + 1.0)).alias("s_rate"), F.col("n").cast("double").alias("s_count"))
+    if every["bytes"] <= BROADCAST_BYTES:
+        suffixes = F.broadcast(suffixes)
+    else:
+        suffixes = suffixes.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(picked, "url", suffixes, prior)).select("features", F.col("label").cast("double").alias("label")).coalesce(1).cache()
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, maxMemoryInMB=64).fit(ready)
     margin = F.lit(0.0)

@@ -91,6 +91,19 @@ def test_urls_held_out(spark):
     assert right > 0.95
 
 
+@pytest.mark.parametrize("most", [0, urls.BROADCAST_BYTES])
+def test_url_suffixes_of_all_labelled(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", most)
+    rows = [(f"http://h{i}.s{i % 50}/p{i % 7}", int(i % 50 % 3 == 0)) for i in range(400)]
+    model = urls.train(spark.createDataFrame(rows + rows[:100], "url string, label int"), sample=40)
+    told = [f"http://new.s{i}/" for i in range(51)]
+    scored = urls.with_features(spark.createDataFrame([(u,) for u in told + told], "url string"), "url", model.suffixes, model.prior).collect()
+    prior = sum(label for _, label in rows) / 400
+    want = {u: ((8 * (i % 3 == 0) + prior) / 9, 8.0) if i < 50 else (prior, 0.0) for i, u in enumerate(told)}
+    assert len(scored) == 102 and "_salt" not in scored[0]
+    assert all((r["f_suffix_rate"], r["f_suffix_count"]) == pytest.approx(want[r["url"]]) for r in scored)
+
+
 # --- 2 ---
 
 
