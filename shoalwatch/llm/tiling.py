@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,11 @@ from shoalwatch.llm.common import materialize
 MATCH = 5
 #: Share of a test's words that tiles must cover.
 COVERAGE = 0.5
+#: Words of a tile that counts whatever share of the test it is.
+PASSAGE = 50
 #: Bytes of test texts that are held at once; more are taken in blocks.
 BLOCK_BYTES = 32 << 20
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 @dataclass
@@ -31,6 +36,8 @@ class Tests:
     seeds: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    #: items too short for a seed, by their words
+    short: dict[tuple[bytes, ...], list[int]]
 
 
 def index_tests(ids: list, texts: list[str], match: int = MATCH) -> Tests:
@@ -42,7 +49,29 @@ def index_tests(ids: list, texts: list[str], match: int = MATCH) -> Tests:
     item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
     place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
     order = np.argsort(seeds, kind="stable")
-    return Tests(np.array(ids, np.int64), words, seeds[order], item[order], place[order])
+    short: dict[tuple[bytes, ...], list[int]] = {}
+    for i, w in enumerate(words):
+        if 0 < len(w) < match:
+            short.setdefault(_first_words(texts[i].encode(), match), []).append(i)
+    return Tests(np.array(ids, object), words, seeds[order], item[order], place[order], short)
+
+
+def _first_words(text: bytes, n: int) -> tuple[bytes, ...]:
+    return tuple(m[0].lower() for m in islice(_WORD.finditer(text), n))
+
+
+def _short_items(tests: Tests, text: str, match: int) -> Iterator[tuple]:
+    """Short items that are the whole text or one of its lines, at their first place."""
+    whole, at, found = text.encode(), 0, {}
+    for line in [whole, *whole.split(b"\n")]:
+        words = _first_words(line, match)
+        if words in tests.short and words not in found:
+            found[words] = 0 if line is whole else len(_WORD.findall(whole[:at]))
+        at += 0 if line is whole else len(line) + 1
+    for words, first in found.items():
+        for item in tests.short[words]:
+            n = len(words)
+            yield tests.ids[item], 1.0, 1, n, n, first, first + n - 1
 
 
 def _runs(places: np.ndarray, tests_at: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -88,10 +117,12 @@ def tile(places: np.ndarray, tests_at: np.ndarray, n_test: int, match: int = MAT
 
 
 def contaminated(
-    df: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text: str = "text", *, test_id: str = "item_id", test_text: str = "text", match: int = MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES
+    df: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text: str = "text", *, test_id: str = "item_id", test_text: str = "text", match: int = MATCH, coverage: float = COVERAGE, passage: int = PASSAGE, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """Pairs of a document and a test item that its text covers enough.
 
+    Enough is a share of ``coverage``, or one tile of ``passage`` words.
+
     Columns: ``doc_id, text_hash, item_id, coverage`` (share of the item's words under
     tiles), ``n_tiles, n_matched, n_item`` (words), ``first_word, last_word``
     (of the text, from 0). Words are runs of ASCII letters, digits and bytes
@@ -100,14 +131,16 @@ def contaminated(
     Seeds are rolling hashes of ``match`` words, which a document shares with
     the block of tests that its task holds; runs of seeds are the matches
     that greedy tiling marks, longest first, so reordered passages count.
-    Items with fewer words than ``match`` can't be found. The tests are read
+    Items with fewer words than ``match`` count where they are the whole text
+    or a whole line, as they also stand in unrelated prose. Items with a null
+    id are reported with it. The tests are read
     in blocks of ``block_bytes`` at most, each against all documents; what a
     task holds doesn't grow with the tests. Null or empty texts on either
     side match nothing; repeated rows are reported each; no tests or no
     documents give an empty result.
     """
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    given = tests.select(F.col(test_id).cast("long").alias("item_id"), F.col(test_text).alias("text")).where("text is not null and item_id is not null")
+    given = tests.select(F.col(test_id).cast("long").alias("item_id"), F.col(test_text).alias("text")).where("text is not null")
     blocks = max(1, -(-(given.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     schema = "doc_id long, text_hash long, item_id long, coverage double, n_tiles long, n_matched long, n_item long, first_word long, last_word long"
     out = df.sparkSession.createDataFrame([], schema)
@@ -116,12 +149,12 @@ def contaminated(
         if not rows:
             continue
         shared = df.sparkSession.sparkContext.broadcast(index_tests([r["item_id"] for r in rows], [r["text"] for r in rows], match))
-        found = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_searcher(shared, match, coverage), schema)
+        found = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_searcher(shared, match, coverage, passage), schema)
         out = found if block == 0 else out.union(found)
     return out
 
 
-def _searcher(shared, match: int, coverage: float):
+def _searcher(shared, match: int, coverage: float, passage: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests: Tests = shared.value
         names = ["doc_id", "text_hash", "item_id", "coverage", "n_tiles", "n_matched", "n_item", "first_word", "last_word"]
@@ -138,9 +171,12 @@ def _searcher(shared, match: int, coverage: float):
                 hit, doc = hit[inside], doc[inside]
                 for d in np.unique(doc):
                     row = at + int(d)
-                    for found in _of_document(tests, grams, hit[doc == d], int(w.first[d]), match):
-                        if found[1] >= coverage:
+                    for longest, *found in _of_document(tests, grams, hit[doc == d], int(w.first[d]), match):
+                        if found[1] >= coverage or longest >= passage:
                             out.append((batch.column(0)[row].as_py(), batch.column(2)[row].as_py(), *found))
+            for row, text in enumerate(batch.column(1).to_pylist() if tests.short else []):
+                for found in _short_items(tests, text or "", match):
+                    out.append((batch.column(0)[row].as_py(), batch.column(2)[row].as_py(), *found))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()] + [pa.int64()] * 5
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
@@ -158,7 +194,7 @@ def _of_document(tests: Tests, grams: np.ndarray, hits: np.ndarray, first: int,
         n = len(tests.words[item])
         tiles = tile(places[mine], tests_at[mine], n, match)
         covered = sum(t[2] for t in tiles)
-        yield int(tests.ids[item]), covered / n, len(tiles), covered, n, min(t[0] for t in tiles), max(t[0] + t[2] for t in tiles) - 1
+        yield max(t[2] for t in tiles), tests.ids[item], covered / n, len(tiles), covered, n, min(t[0] for t in tiles), max(t[0] + t[2] for t in tiles) - 1
 
 
 def without_contaminated(df: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

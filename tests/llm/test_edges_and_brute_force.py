@@ -251,6 +251,20 @@ def test_tiling(spark, empty):
     assert sorted(blocks) == sorted(out)
 
 
+def test_tiling_null_ids_short_items_and_passages(spark):
+    rng = random.Random(10)
+    long, nameless = prose(500, rng), prose(20, rng)
+    bench = spark.createDataFrame([(None, nameless), (1, "Who was É?"), (2, long), (3, "the"), (4, " ?! ")], "item_id long, text string")
+    cut = lambda n: " ".join(long.split()[100 : 100 + n])
+    texts = [f"x {nameless} y", "a b\n- who was É\nc", "we ask who was É in the prose", "who\nwas é", "Who\nwas É!\n", cut(50), cut(49), f"z {cut(249)}", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for tests in (bench, bench.where("item_id = 1")):
+        out = tiling.contaminated(docs, tests).select("doc_id", "item_id", "n_matched", "n_item", "first_word", "last_word").collect()
+        want = [(0, None, 20, 20, 1, 20), (1, 1, 3, 3, 2, 4), (4, 1, 3, 3, 0, 2), (5, 2, 50, 500, 0, 49), (7, 2, 249, 500, 1, 249)]
+        assert sorted(map(tuple, out)) == [w for w in want if tests is bench or w[1] == 1]
+    assert sorted(r["doc_id"] for r in tiling.without_contaminated(docs, bench).collect()) == [2, 3, 6, 8, 9]
+
+
 def brute_tiles(text, test, match):
     """Plain greedy string tiling over words."""
     free_text, free_test, tiles = [True] * len(text), [True] * len(test), []
