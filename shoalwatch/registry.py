@@ -181,9 +181,10 @@ def calendar_month_windows(spark, sf_dir):
 # --- n-grams ---
 
 
-def _ngram_tables(spark, sf_dir, exact_ids: bool = True) -> ngrams.NgramTables:
+def _ngram_tables(spark, sf_dir, exact_ids: bool = True, ascii_only: bool = True) -> ngrams.NgramTables:
     turns = _table(spark, sf_dir, "conversations").withColumn("message_id", F.concat_ws("-", "conv_id", "turn"))
-    return ngrams.ngram_tables(turns, "role", "message_id", "text", "turn", order=["conv_id", "turn", "role", "text"], tokens=tokenize_ascii(F.col("message_text")), exact_ids=exact_ids)
+    tokens = tokenize_ascii(F.col("message_text")) if ascii_only else None
+    return ngrams.ngram_tables(turns, "role", "message_id", "text", "turn", order=["conv_id", "turn", "role", "text"], tokens=tokens, exact_ids=exact_ids)
 
 
 _NGRAMS = """
@@ -222,6 +223,12 @@ def ngram_summary_hashed(spark, sf_dir):
     return ngrams.ngram_summary(_ngram_tables(spark, sf_dir, exact_ids=False)).drop("ngram_id")
 
 
+@_query()
+def ngram_summary_all_scripts(spark, sf_dir):
+    """With the analysis' own tokenizer, which SQL can't express."""
+    return ngrams.ngram_summary(_ngram_tables(spark, sf_dir, ascii_only=False))
+
+
 @_query(f"""{_NGRAMS} SELECT ngram_id, n, words, total_reps, distinct_posters, user_id, CAST(count(*) OVER (PARTITION BY ngram_id, user_id) AS INTEGER) AS reps_per_user,
 message_surrogate_id, message_id, message_text, timestamp FROM summary JOIN x USING (ngram_id) JOIN k USING (message_surrogate_id)""")
 def ngram_full_report(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from pathlib import Path
 
 import duckdb
@@ -9,6 +10,8 @@ import pandas as pd
 import pytest
 
 from shoalwatch import registry
+from shoalwatch.functions.tokenizer import tokenize_text
+from shoalwatch.operators.ngrams import ANALYSIS
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,6 +45,21 @@ def test_query(spark, tables, name):
         assert len(got)
 
 
+def test_ngrams_of_all_scripts(spark, tmp_path):
+    turns = [(1, 1, "user", "一二三四 #tag @you"), (1, 2, "bot", "一二三四"), (2, 1, "user", "See #tag @you now"), (2, 2, "user", "see #tag @you later")]
+    turns += [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in spark.read.parquet(f"{SF}/conversations.parquet").where("conv_id > 2").collect()]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    posters = defaultdict(list)
+    for _, _, role, text in turns:
+        words = tokenize_text(text, ANALYSIS) if text and role else []
+        for gram in {(" ".join(words[i : i + n]), n) for n in (3, 4, 5) for i in range(len(words) - n + 1)}:
+            posters[gram].append(role)
+    want = {(*gram, len(p), len(set(p))) for gram, p in posters.items() if len(p) > 1}
+    got = registry.QUERIES["ngram_summary_all_scripts"](spark, str(tmp_path)).collect()
+    assert {(r["words"], r["n"], r["total_reps"], r["distinct_posters"]) for r in got} == want and len(got) == len(want)
+    assert {("一 二 三 四", 4, 2, 2), ("see #tag @you", 3, 2, 1)} <= want
+
+
 def test_entry(spark):
     import __spark_entry__
 
