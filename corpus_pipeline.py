@@ -15,7 +15,10 @@ DOMINANT = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no language, or of a mixture that none leads."""
+    """Drop documents without letters, or of a mixture that no language leads.
+
+    A language that was never learnt gets a learnt one and stays.
+    """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     model = langid.train(docs.where(~held_out))
     told = langid.with_language(docs, model)
