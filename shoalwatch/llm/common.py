@@ -74,6 +74,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def internal(df: DataFrame, *names: str) -> list[str]:
+    """Column names made from ``names`` that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    mark = next(m for m in (f"__{i}" for i in range(len(taken) + 1)) if not any(n.lower() + m in taken for n in names))
+    return [n + mark for n in names]
+
+
 def append_columns(
     df: DataFrame,
     fields: list[tuple[str, T.DataType]],

@@ -1,100 +1,273 @@
-"""Substring dedup by line hashing."""
+"""Substring dedup by hashing lines, paragraphs and sentences.
+
+A text is cut into units at line breaks, at white space after the end of a
+sentence or before a capital letter, and at full stops of scripts without
+spaces. Units are grouped by digest over the corpus; consecutive units that
+occur earlier make a run, and a run goes if it is long enough. So a passage
+is found wherever it was put into a line, and short lines that many
+documents share stay. A short unit's digest reaches into the words after it,
+so that neither names nor one-word sentences repeat by chance.
+"""
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoalwatch.llm.common import append_columns, materialize
+from shoalwatch.llm.common import Scratch, internal, materialize
+from shoalwatch.llm.textkit import U, mix
 
-#: Lines short in all three are never removed: they repeat by chance. Words are
-#: parted by any white space; of scripts that don't part words, characters count.
-MIN_WORDS, MIN_CHARS, MIN_UNSPACED = 5, 64, 10
-#: Thai, Lao, Tibetan, Myanmar, Khmer, kana, bopomofo and Han.
-_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
-_BLANK = re.compile(r"[\x09-\x0d\x20]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_SPANS = T.ArrayType(T.StructType([T.StructField("unit", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("digest", T.BinaryType())]))
+#: A run of repeated units goes if it has this size at least, see ``Units``.
+MIN_SIZE = 40
+#: The digest of a unit covers words of this size in all, where the text has them.
+REACH = 5
+#: Characters of texts that are cut at once; longer texts come in parts.
+PART_CHARS = 1 << 18
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Line feed, record separator, ideographic full stop, full-width ! and ?
+_BREAKS = (0x0A, 0x1E, 0x3002, 0xFF01, 0xFF1F)
+#: Scripts that don't part words: Thai to Tibetan, Myanmar, Khmer, kana,
+#: bopomofo, Han; as first and last code points.
+UNSPACED = [(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)]
+_SAFE = re.compile("\n|(?<=[.!?])[ \t]")
+_NEXT = re.compile(r"(?:\s*[^\s]+){0,%d}\s?" % REACH)
 
 
-def _counts(unit: str, min_words: int) -> bool:
-    """Whether a line, its ASCII white space collapsed, is long enough to count."""
-    if len(unit) >= MIN_CHARS or len(unit.split()) >= min_words:
-        return True
-    return not unit.isascii() and len(_UNSPACED.findall(unit)) >= MIN_UNSPACED
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: a random odd code of its lower-cased letter, and its kind."""
+    n = sys.maxunicode + 1
+    lower = np.arange(n, dtype=np.uint64)
+    lower[65:91] += U(32)
+    kind = np.zeros(n, np.uint8)
+    kind[list(range(9, 14)) + [32]] = 1
+    for first, last in UNSPACED:
+        kind[first : last + 1] = 2
+    kind[[c for c in range(n) if unicodedata.category(chr(c)) == "Lu"]] = 3
+    kind[list(_BREAKS)] = 4
+    return mix((lower + U(1)) * U(_BASES[0])) | U(1), kind
 
 
-def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, bytes]]:
-    """Number, start, end (in characters, line break excluded) and digest of the lines that count."""
-    at = 0
-    for number, line in enumerate((text or "").split("\n")):
-        words = _BLANK.split(line.strip("\t\n\x0b\x0c\r ").translate(_LOWER))
-        unit = " ".join(words)
-        if len(words) >= min_words or _counts(unit, min_words):
-            yield number, at, at + len(line), hashlib.blake2b(unit.encode(), digest_size=16).digest()
-        at += len(line) + 1
-
-
-def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
-    """Lines to remove: all but the earliest ranked occurrence of each.
-
-    Columns: ``doc_id, text_hash, unit`` (line number from 0), ``start, end``
-    (characters of the original text), ``digest`` (of the line: A-Z
-    lower-cased, white space collapsed), ``kept_doc_id, kept_unit`` (the
-    occurrence that stays), ``copies`` (occurrences in all).
-
-    Occurrences rank by doc_id (null last), hash of the text, and line.
-    Null and empty texts have no lines; lines of fewer than ``min_words``
-    words stay if they also have fewer than ``MIN_CHARS`` characters, and
-    fewer than ``MIN_UNSPACED`` of scripts that don't part words. Rows equal in doc_id and text are one document and get the
-    same lines removed. An empty table gives an empty result.
-
-    Lines are grouped by digest with counts merged before the shuffle, and
-    only lines of repeated digests are joined back; a line that a third of
-    all documents hold is a skewed join, which Spark splits.
+@functools.lru_cache(maxsize=4)
+def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
+        p = np.full(n, base, U)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def _hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    """Polynomial hashes of the parts of ``codes`` from ``starts`` to ``ends``."""
+    power, inverse = _powers(which, 1 << max(19, len(codes).bit_length()))
+    sums = np.zeros(len(codes) + 1, U)
+    np.cumsum(codes * power[: len(codes)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
+
+
+@dataclass
+class Units:
+    """Units of some text, in order; those without words are left out.
+
+    ``starts`` and ``ends`` in characters. Words are runs without white space
+    and breaks; a word has the size 1, or an eighth of its characters if that
+    is more, or half of its characters in scripts that don't part words.
+    ``h1, h2`` are digests of the unit's words, A-Z lower-cased, and of the
+    words after it until ``REACH`` is reached.
     """
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    docs = docs.withColumn("text_hash", F.xxhash64("text"))
-    at = docs.columns.index("text")
 
-    def spans(batch: pa.RecordBatch) -> list[pa.Array]:
-        kind = pa.list_(pa.struct([("unit", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("digest", pa.binary())]))
-        rows = [[dict(zip(("unit", "start", "end", "digest"), u)) for u in units(t.as_py(), min_words)] for t in batch.column(at)]
-        return [pa.array(rows, kind)]
+    starts: np.ndarray
+    ends: np.ndarray
+    sizes: np.ndarray
+    h1: np.ndarray
+    h2: np.ndarray
+
+
+def cut_units(text: str, borders: np.ndarray | None = None) -> Units:
+    """``borders`` are the places where joined texts begin, each after a line feed."""
+    codes, kinds = _tables()
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    n = len(x)
+    kind = kinds[x]
+    stop = kind == 4
+    blank = (x == 32) | (x == 9)
+    parts = np.zeros(n, bool)
+    parts[:-1] = kind[1:] == 3
+    parts[1:] |= (x[:-1] == 46) | (x[:-1] == 33) | (x[:-1] == 63)
+    stop |= blank & parts
+    inside = ~(stop | (kind == 1))
+    begins, closes = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    words, word_ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
+    if not len(words):
+        none = np.empty(0, np.int64)
+        return Units(none, none, none, none, none.astype(np.int32))
+    number = np.cumsum(stop)[words]
+    first = np.flatnonzero(np.diff(number, prepend=-1))
+    last = np.append(first[1:], len(words))
+    dense = np.concatenate(([0], np.cumsum(kind == 2)))
+    weight = np.maximum(np.maximum(1, (word_ends - words) // 8), (dense[word_ends] - dense[words]) // 2)
+    weighed = np.concatenate(([0], np.cumsum(weight)))
+    # words up to the end of the own text
+    limit = np.full(len(first), len(words))
+    if borders is not None:
+        upto = np.append(np.searchsorted(words, borders[1:]), len(words))
+        limit = upto[np.searchsorted(borders, words[first], "right") - 1]
+    reach = np.minimum(limit, np.maximum(last, np.searchsorted(weighed, weighed[first] + REACH)))
+    own = _hashes(codes[x], words, word_ends, 0)
+    # a unit reaches to the breaks around it
+    breaks = np.flatnonzero(stop)
+    k = number[first]
+    starts = np.concatenate(([0], breaks + 1))[k]
+    ends = np.append(breaks, n)[k]
+    return Units(starts, ends, weighed[last] - weighed[first], _hashes(own, first, reach, 0).view(np.int64), (_hashes(own, first, reach, 1) >> U(32)).astype(np.uint32).view(np.int32))
+
+
+def _parts(text: str) -> Iterator[tuple[int, int, str]]:
+    """A long text in parts that end with a break: start, size, and the part with the next words."""
+    at = 0
+    while len(text) - at > PART_CHARS:
+        place = _SAFE.search(text, at + PART_CHARS)
+        if place is None:
+            break
+        end = place.start() + 1
+        yield at, end - at, text[at : _NEXT.match(text, end).end()]
+        at = end
+    yield at, len(text) - at, text[at:]
+
 
-    found = append_columns(docs, [("lines", _SPANS)], spans, keep=["doc_id", "text_hash"])
-    lines = materialize(found.select("doc_id", "text_hash", F.inline("lines")), "lines")
+_FOUND = "doc_id long, text_hash long, unit int, start long, end long, size int, h1 long, h2 int"
+
+
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units of ``doc_id, text, text_hash``, texts joined up to ``PART_CHARS``."""
+
+    def told(rows: list[tuple[int | None, int, int, int, int]], text: str, size: int | None = None) -> pa.RecordBatch:
+        # rows: doc_id, hash, units before, place of ``text`` in the whole text, place of the row in ``text``
+        borders = np.array([r[4] for r in rows])
+        u = cut_units(text, borders)
+        if size is not None:
+            mine = u.starts < size
+            u = Units(u.starts[mine], u.ends[mine], u.sizes[mine], u.h1[mine], u.h2[mine])
+        row = np.searchsorted(borders, u.starts, "right") - 1
+        count = np.arange(len(row)) - np.searchsorted(row, row) + np.array([r[2] for r in rows], np.int64)[row]
+        shift = np.array([r[3] for r in rows], np.int64)[row] - borders[row]
+        doc = pa.array([r[0] for r in rows], pa.int64()).take(pa.array(row))
+        text_hash = pa.array([r[1] for r in rows], pa.int64()).take(pa.array(row))
+        columns = [doc, text_hash, pa.array(count, pa.int32()), pa.array(u.starts + shift, pa.int64()), pa.array(u.ends + shift, pa.int64()), pa.array(u.sizes, pa.int32()), pa.array(u.h1), pa.array(u.h2)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "unit", "start", "end", "size", "h1", "h2"])
+
+    for batch in batches:
+        rows: list[tuple] = []
+        texts: list[str] = []
+        held = 0
+        for doc_id, text, text_hash in zip(*(c.to_pylist() for c in batch.columns)):
+            if not text:
+                continue
+            if len(text) > PART_CHARS:
+                before = 0
+                for at, size, part in _parts(text):
+                    out = told([(doc_id, text_hash, before, at, 0)], part, size)
+                    before += len(out)
+                    yield out
+                continue
+            if held + len(text) > PART_CHARS:
+                yield told(rows, "\n".join(texts))
+                rows, texts, held = [], [], 0
+            rows.append((doc_id, text_hash, 0, 0, held))
+            texts.append(text)
+            held += len(text) + 1
+        if rows:
+            yield told(rows, "\n".join(texts))
+
+
+def repeated_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, min_size: int = MIN_SIZE) -> DataFrame:
+    """Runs of units to remove: each unit has an earlier ranked occurrence.
+
+    Columns: ``doc_id, text_hash, unit`` (number of the run's first unit in
+    its text, from 0), ``start, end`` (characters of the original text),
+    ``n_units, size`` (see ``Units``), ``kept_doc_id, kept_unit`` (the first
+    occurrence of the run's first unit, which stays), ``copies`` (of that
+    unit, in all).
+
+    Occurrences rank by doc_id (null last), hash of the text, and unit; the
+    earliest of a unit never goes. Runs smaller than ``min_size`` stay. Null
+    and empty texts, and texts of white space only, have no units. Rows
+    equal in doc_id and text are one document and get the same runs removed.
+    An empty table gives an empty result; other columns are not read.
+
+    Digests have 96 bits. Counts are merged before the shuffle, and a unit
+    that a third of all documents hold is a skewed join, which Spark splits.
+    Only repeated units are gathered by document.
+    """
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    scratch = Scratch()
+    units = scratch(docs.mapInArrow(_find, _FOUND), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "unit")
-    groups = lines.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    groups = materialize(groups, "groups")
-    joined = lines.join(groups, "digest")
-    return joined.where(rank != F.col("first")).select(
-        "doc_id", "text_hash", "unit", "start", "end", "digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.unit").alias("kept_unit"), "copies"
-    )
+    groups = units.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    again = units.join(scratch(groups, "groups").hint("merge"), ["h1", "h2"]).where(rank != F.col("first"))
+    again = again.select("doc_id", "text_hash", "unit", "start", "end", "size", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.unit").alias("kept_unit"), "copies")
+    again = scratch(again, "repeated").repartition("doc_id", "text_hash").dropDuplicates(["doc_id", "text_hash", "unit"])
+    order = Window.partitionBy("doc_id", "text_hash").orderBy("unit")
+    runs = again.withColumn("run", F.col("unit") - F.row_number().over(order)).groupBy("doc_id", "text_hash", "run")
+    head = F.min_by(F.struct("kept_doc_id", "kept_unit", "copies"), "unit").alias("head")
+    runs = runs.agg(F.min("unit").alias("unit"), F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_units"), F.sum("size").alias("size"), head)
+    found = materialize(runs.where(F.col("size") >= min_size).select("doc_id", "text_hash", "unit", "start", "end", "n_units", "size", "head.*"), "runs")
+    scratch.clear()
+    return found
 
 
-def without_repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of ``df`` with repeated lines cut out of ``text``.
+def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, min_size: int = MIN_SIZE) -> DataFrame:
+    """All columns of ``df`` with repeated runs cut out of ``text``.
 
-    The line breaks of removed lines go too. Documents of which nothing but
-    white space stays are dropped if they had something before.
+    The character after a run (the break that ends its last unit) goes too.
+    Documents of which nothing but white space stays are dropped if they
+    lost something; all others stay, null texts and ids included. Columns of
+    any name pass through. The runs are joined by shuffle at every size, as
+    they grow with the corpus.
     """
-    gone = repeated_lines(df, doc_id, text, min_words=min_words)
-    gone = materialize(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("unit").alias("_gone")), "removed")
-    keyed = df.withColumn("_hash", F.xxhash64(text))
-    joined = keyed.join(gone.withColumnsRenamed({"doc_id": "_id", "text_hash": "_text"}), (F.col("_hash") == F.col("_text")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "left")
-    left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(_cut(F.col(text), F.col("_gone")))
-    cut = joined.withColumn(text, left)
-    emptied = F.col("_gone").isNotNull() & (F.trim(F.regexp_replace(text, r"\s+", "")) == "")
-    return cut.where(~emptied).select(*df.columns)
-
-
-def _cut(text: Column, gone: Column) -> Column:
-    lines = F.split(text, "\n", -1)
-    return F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i.cast("long"))), "\n")
+    gone, key_id, key_text, own = internal(df, "gone", "key_id", "key_text", "hash")
+    runs = repeated_runs(df, doc_id, text, min_size=min_size)
+    per_doc = runs.groupBy(F.col("doc_id").alias(key_id), F.col("text_hash").alias(key_text)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(gone))
+    same = (F.col(own) == F.col(key_text)) & F.col(doc_id).cast("long").eqNullSafe(F.col(key_id))
+    joined = df.withColumn(own, F.xxhash64(text)).join(per_doc.hint("merge"), same, "left").select(*df.columns, gone)
+    names, at, last = df.columns, df.columns.index(text), len(df.columns)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs_of = batch.column(last)
+            columns = batch.columns[:last]
+            if runs_of.null_count < len(batch):
+                texts, keep = [], []
+                for whole, cuts in zip(columns[at], runs_of):
+                    if not cuts.is_valid:
+                        texts.append(whole.as_py())
+                        keep.append(True)
+                        continue
+                    left, place = [], 0
+                    whole = whole.as_py()
+                    for span in cuts.as_py():
+                        left.append(whole[place : span["start"]])
+                        place = span["end"] + 1
+                    texts.append("".join(left) + whole[place:])
+                    keep.append(bool(texts[-1].strip()))
+                columns[at] = pa.array(texts, columns[at].type)
+                batch = pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+                yield batch
+            else:
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
+    return joined.mapInArrow(cut, schema)

@@ -45,8 +45,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.repeated_lines(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "unit", "start", "end", "kept_doc_id", "kept_unit", "copies")
+    return lines.repeated_runs(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_UNSPACED = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in lines.UNSPACED)
+_PART = r"[^\x09-\x0D\x1E\x20]+"
 #: Links of ``linked(a, b)`` in both directions, followed to all that they reach.
 _REACHED = """hop(a, b) AS (SELECT a, b FROM linked UNION SELECT hop.a, linked.b FROM hop JOIN linked ON hop.b = linked.a),
 low AS (SELECT a, min(b) AS b FROM hop GROUP BY a)"""
@@ -118,11 +119,19 @@ k AS (SELECT a, count(*) AS n FROM linked GROUP BY a), {_REACHED}
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low.b, vec_id)) AS component_id, vec_id <= coalesce(low.b, vec_id) AS kept
 FROM v LEFT JOIN k ON k.a = vec_id LEFT JOIN low ON low.a = vec_id""",
     "op6_line_dedup": rf"""
-WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-u AS (SELECT doc_id, l, unnest(range(0, len(l))) AS unit FROM l),
-t AS (SELECT doc_id, unit, l[unit + 1] AS text, coalesce(list_sum(list_transform(l[1:unit], lambda x: length(x) + 1)), 0) AS start FROM u),
-x AS (SELECT doc_id, unit, CAST(start AS BIGINT) AS start, CAST(start + length(text) AS BIGINT) AS "end", trim(regexp_replace({_LOWER}, '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS s FROM t),
-r AS (SELECT *, row_number() OVER w AS k, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit) OVER w AS kept_unit, count(*) OVER (PARTITION BY s) AS copies
-  FROM x WHERE len(string_split(s, ' ')) >= 5 WINDOW w AS (PARTITION BY s ORDER BY doc_id, unit))
-SELECT doc_id, unit, start, "end", kept_doc_id, kept_unit, copies FROM r WHERE k > 1""",
+WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([.!?])[\x20\x09]', '\1' || chr(30), 'g'), '[\x20\x09](\p{{Lu}})', chr(30) || '\1', 'g') AS t FROM documents),
+b AS (SELECT doc_id, translate(t, chr(10) || '。！？', repeat(chr(30), 4)) AS t FROM m),
+l AS (SELECT doc_id, string_split(t, chr(30)) AS l FROM b),
+d AS (SELECT doc_id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_PART}') AS w FROM b),
+z AS (SELECT doc_id, w, list_transform(w, lambda x: greatest(1, length(x) // 8, length(regexp_replace(x, '[^{_UNSPACED}]', '', 'g')) // 2)) AS z FROM d),
+u AS (SELECT doc_id, unnest(l) AS text, unnest(range(0, len(l))) AS p, unnest(list_transform(l, lambda x: length(x) + 1)) AS step, unnest(list_transform(l, lambda x: len(regexp_extract_all(x, '{_PART}')))) AS c FROM l),
+o AS (SELECT *, sum(step) OVER k - step AS start, CAST(sum(c) OVER k - c AS BIGINT) AS f FROM u WINDOW k AS (PARTITION BY doc_id ORDER BY p)),
+s AS (SELECT doc_id, p, start, start + length(text) AS "end", list_sum(z[f + 1:f + c]) AS size, array_to_string(w[f + 1:f + greatest(c, coalesce(list_filter([1, 2, 3, 4], lambda j: list_sum(z[f + 1:f + j]) >= 5)[1], 5))], ' ') AS s
+  FROM o JOIN z USING (doc_id) WHERE c > 0),
+x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS unit FROM s),
+r AS (SELECT *, row_number() OVER w AS k, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit) OVER w AS kept_unit, count(*) OVER (PARTITION BY s) AS copies FROM x WINDOW w AS (PARTITION BY s ORDER BY doc_id, unit)),
+g AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM r WHERE k > 1)
+SELECT doc_id, CAST(min(unit) AS INT) AS unit, CAST(min(start) AS BIGINT) AS start, CAST(max("end") AS BIGINT) AS "end", count(*) AS n_units, CAST(sum(size) AS BIGINT) AS size,
+  arg_min(kept_doc_id, unit) AS kept_doc_id, CAST(arg_min(kept_unit, unit) AS INT) AS kept_unit, arg_min(copies, unit) AS copies
+FROM g GROUP BY doc_id, run HAVING sum(size) >= {lines.MIN_SIZE}""",
 }

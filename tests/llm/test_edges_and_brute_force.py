@@ -6,14 +6,18 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from shoalwatch.llm import bpe, langid, licenses, lines, minhash, queries, suffixes, tiling, token_counts, urls, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that operators might use inside.
+CLASHING = ["_id", "_text", "_hash", "_gone", "hash", "gone", "s_rate", "f_depth", "_told", "_suffix", "_salt", "key", "rep", "at", "n", "m"]
 RNG = random.Random(3)
 VOCABULARY = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randint(2, 6))) for _ in range(400)]
 
@@ -299,38 +303,107 @@ def test_tiles_are_greedy():
 # --- 6 ---
 
 
-def test_lines(docs, empty):
-    seen, gone = {}, collections.Counter()
-    rows = sorted((r for r in set(corpus())), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-    for doc, text, *_ in rows:
-        for u, _, _, digest in lines.units(text):
-            if seen.setdefault(digest, (doc, u)) != (doc, u):
-                gone[doc, u] += 1
-    out = lines.repeated_lines(docs).select("doc_id", "unit").distinct().collect()
-    assert {(r[0], r[1]) for r in out} == set(gone)
-    texts = {r[0]: r[1] for r in corpus() if r[0] is not None}
-    for r in lines.repeated_lines(docs).where("doc_id is not null").collect():
-        assert texts[r["doc_id"]][r["start"] : r["end"]] == texts[r["doc_id"]].split("\n")[r["unit"]]
-    assert lines.repeated_lines(empty).count() == 0
-    left = lines.without_repeated_lines(docs)
-    assert left.columns == docs.columns
-    kept = {r["doc_id"]: r["text"] for r in left.collect()}
-    assert kept[3] == "" and kept[4] is None and 1 not in kept
-    want = "\n".join(x for i, x in enumerate(texts[45].split("\n")) if (45, i) not in gone)
-    assert kept.get(45, "") == want
-    assert lines.repeated_lines(left).count() == 0
-
-
-def test_lines_without_ascii_spaces(spark):
-    long = ["版权所有，未经书面许可不得转载本网站的任何内容", "このサイトの内容を無断で転載することを禁じます", "สงวนลิขสิทธิ์ห้ามคัดลอกเนื้อหา", "all\u00a0rights\u00a0reserved\u00a0by\u00a0us", "QUJD" * 40, "http://example.com/" + "a/" * 40]
-    short = ["目录", "next page", "{", "a_name_of_some_length()", ""]
-    rows = [(i, "\n".join([*long, *short, f"text {i}"])) for i in range(3)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = lines.repeated_lines(df).collect()
-    assert {(r["doc_id"], r["unit"]) for r in found} == {(d, u) for d in (1, 2) for u in range(len(long))}
-    assert {r["copies"] for r in found} == {3}
-    left = {r["doc_id"]: r["text"] for r in lines.without_repeated_lines(df).collect()}
-    assert left == {0: rows[0][1], **{i: "\n".join([*short, f"text {i}"]) for i in (1, 2)}}
+def brute_units(text):
+    """(start, end, size, words of the digest), by a plain reading of the rule."""
+    text = text or ""
+    stops = [i for i, c in enumerate(text) if c in "\n\x1e。！？" or c in " \t" and (text[i - 1 : i] in (".", "!", "?") or unicodedata.category(text[i + 1 : i + 2] or " ") == "Lu")]
+    found, words = [], []
+    for lo, hi in zip([0, *(i + 1 for i in stops)], [*stops, len(text)]):
+        mine = re.findall("[^\t-\r ]+", text[lo:hi])
+        if mine:
+            found.append((lo, hi, len(words), len(mine)))
+            words += mine
+    unspaced = lambda w: sum(any(a <= ord(c) <= b for a, b in lines.UNSPACED) for c in w)
+    size = [max(1, len(w) // 8, unspaced(w) // 2) for w in words]
+    out = []
+    for lo, hi, at, n in found:
+        reach = n
+        while at + reach < len(words) and sum(size[at : at + reach]) < lines.REACH:
+            reach += 1
+        out.append((lo, hi, sum(size[at : at + n]), " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words[at : at + reach])))
+    return out
+
+
+def brute_runs(rows, least):
+    """{(doc_id, text): [(unit, start, end, size)]} of runs of units that occur earlier."""
+    seen, runs = set(), {}
+    for doc, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        now, mine = [], []
+        for u, (lo, hi, size, words) in enumerate([*brute_units(text), (0, 0, 0, None)]):
+            if words in seen and words is not None:
+                now.append((u, lo, hi, size))
+                continue
+            seen.add(words)
+            if sum(x[3] for x in now) >= least:
+                mine.append((now[0][0], now[0][1], now[-1][2], sum(x[3] for x in now)))
+            now = []
+        if mine:
+            runs[doc, text] = mine
+    return runs
+
+
+def sentences(n, rng):
+    return " ".join(prose(rng.randint(1, 12), rng).capitalize() + rng.choice([".", ".", "!", "?", ""]) for _ in range(n))
+
+
+def passages():
+    """Texts with one passage in lines, sentences, and amid words; short lines that repeat; long and odd texts."""
+    rng = random.Random(8)
+    passage, footer = sentences(9, rng), "All rights reserved. Printed in Ulm."
+    rows = [(i, f"{sentences(4, rng)}\n{footer}") for i in range(20)]
+    rows += [(20 + i, f"{prose(i, rng)} {passage} {prose(7 - i, rng)}\n{footer}\n") for i in range(8)]
+    rows += [(28 + i, f"{sentences(2, rng)}{rng.choice(['\n', ' ', chr(30), '。'])}{passage}") for i in range(8)]
+    rows += [(36, passage), (37, passage.upper()), (38, passage + "\n" + passage), (39, sentences(3000, rng)), (40, None), (41, ""), (42, " \n\t "), (43, "É\x00Ä" * 300), (None, passage)]
+    return rows + [rows[-1], rows[36], rows[0], rows[40]]
+
+
+@pytest.mark.parametrize("least", [1, 40])
+def test_lines(spark, empty, least):
+    rows = passages()
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(n) for n in CLASHING}).repartition(4)
+    want = brute_runs(rows, least)
+    got = collections.defaultdict(list)
+    texts = dict(rows)
+    for r in lines.repeated_runs(df, min_size=least).collect():
+        got[r["doc_id"], texts[r["doc_id"]]].append((r["unit"], r["start"], r["end"], r["size"]))
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert lines.repeated_runs(empty, min_size=least).count() == 0
+    left = lines.without_repeats(df, min_size=least)
+    assert left.columns == df.columns and lines.without_repeats(empty).count() == 0
+    kept = collections.Counter()
+    for doc, text in rows:
+        short, place = "", 0
+        for _, lo, hi, _ in want.get((doc, text), []):
+            short, place = short + text[place:lo], hi + 1
+        short = text if text is None else short + text[place:]
+        if (doc, text) not in want or short.strip():
+            kept[doc, short] += 1
+    assert collections.Counter((r["doc_id"], r["text"]) for r in left.collect()) == kept
+    assert {r[n] for r in left.collect() for n in CLASHING} == set(CLASHING)
+
+
+def test_passage_goes_and_short_lines_stay():
+    runs = brute_runs(passages(), 40)
+    assert {d for d, _ in runs} == {*range(21, 37), 38, None}  # in 37 each capital begins a unit
+    rest = [t for (d, t) in runs if d in range(21, 28)]
+    assert all("All rights reserved" in t[hi:] for t in rest for *_, hi, _ in runs[next(d for d, x in runs if x == t), t])
+
+
+def test_units_without_ascii_spaces():
+    for text in ["版权所有，未经书面许可不得转载。本网站的任何内容", "このサイトの内容を無断で転載することを禁じます", "สงวนลิขสิทธิ์ห้ามคัดลอกเนื้อหา", "all\u00a0rights\u00a0reserved", "QUJD" * 40, "http://example.com/" + "a/" * 40, "A", " ", "。", "a.b c. D"]:
+        u = lines.cut_units(text)
+        assert list(zip(u.starts, u.ends, u.sizes)) == [x[:3] for x in brute_units(text)]
+
+
+def test_long_texts_are_cut_in_parts(monkeypatch):
+    rng = random.Random(2)
+    texts = [sentences(400, rng), sentences(3, rng), None, sentences(90, rng) + "\n", prose(3000, rng), "é。" * 500, sentences(200, rng)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array(range(len(texts)), pa.int64())], names=["doc_id", "text", "text_hash"])
+    whole = [r for b in lines._find([batch]) for r in b.to_pylist()]
+    for size in (50, 333, 2000):
+        monkeypatch.setattr(lines, "PART_CHARS", size)
+        assert [r for b in lines._find([batch]) for r in b.to_pylist()] == whole
+    assert [(r["start"], r["end"], r["size"]) for r in whole if r["doc_id"] == 0] == [x[:3] for x in brute_units(texts[0])]
 
 
 # --- 7 ---
