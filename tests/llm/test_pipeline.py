@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from shoalwatch.llm import bpe, lines, tiling
 
-from test_edges_and_brute_force import brute_components, brute_tiles, shingles
+from test_edges_and_brute_force import brute_components, brute_runs, brute_tiles, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,18 +39,14 @@ def plain(rows, tests):
     label = brute_components(sorted(docs), linked)
     docs = {i: t for i, t in docs.items() if label[i] == i}
 
-    seen, cut = set(), {}
-    for i in sorted(docs):
-        kept = []
-        for line in docs[i].split("\n"):
-            words = re.sub("[A-Z]", lambda m: m[0].lower(), line).split()
-            unit = " ".join(words)
-            if len(words) >= lines.MIN_WORDS and unit in seen:
-                continue
-            seen |= {unit} if len(words) >= lines.MIN_WORDS else set()
-            kept.append(line)
-        if "".join(kept).strip() or len(kept) == len(docs[i].split("\n")):
-            cut[i] = "\n".join(kept)
+    runs, cut = brute_runs(list(docs.items()), lines.MIN_SIZE), {}
+    for i, t in docs.items():
+        left, place = "", 0
+        for _, lo, hi, _ in runs.get((i, t), []):
+            left, place = left + t[place:lo], hi + 1
+        left += t[place:]
+        if left.strip() or (i, t) not in runs:
+            cut[i] = left
 
     word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     tests = [word(t["text"]) for t in tests]
