@@ -29,6 +29,8 @@ PER_LIST, MOST_LISTS = 64, 256
 SUBSPACES, CODES = 8, 32
 #: Vectors and queries of one comparison cell.
 BLOCK = 1024
+#: Numbers that the vectors of one side of a cell hold at most, for large dimensions.
+CELL_NUMBERS = 1 << 20
 _ROUNDS, _SEED, _SLACK = 8, 5, 1e-6
 
 
@@ -71,11 +73,9 @@ def _unit(arr: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(vectors: DataFrame, *, sample: int = SAMPLE) -> Index | None:
-    """Fit on the ``sample`` distinct vectors with the smallest hashes."""
+def fit(vectors: DataFrame, *, sample: int = SAMPLE) -> Index:
+    """Fit on the ``sample`` vectors with the smallest hashes; there is one at least."""
     rows = vectors.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample).toArrow()
-    if not len(rows):
-        return None
     x = _unit(rows.column(0).combine_chunks())
     c = _kmeans(x, max(1, min(MOST_LISTS, len(x) // PER_LIST)))
     residual = x - c[_distances(x, c).argmin(1)]
@@ -153,32 +153,52 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     Returns per row ``vec_id, n_links`` (other vectors linked directly),
     ``component_id`` (the smallest vec_id reachable), ``kept``. Vectors that
     are null, empty, zero, or hold null or non-finite components link with
-    nothing, as do those whose dimension isn't the commonest (the smaller of
-    equals). Rows with one vec_id count as one node of components. A row
-    with a null vec_id links with nothing and has a null component. An empty
-    table gives an empty result.
-
-    Equal vectors make one class with a weight; classes are compared in
-    cells of bounded size, of which only sums of links and a spanning forest
-    come out. The index is fitted on a bounded sample and holds every row.
+    nothing; vectors of different dimensions don't link, each dimension has
+    an index of its own. Rows with one vec_id count as one node of
+    components. A row with a null vec_id links with nothing and has a null
+    component. An empty table gives an empty result.
+
+    Equal vectors make one class with a weight, known by a 128-bit digest;
+    classes are compared in cells of bounded size, of which only sums of
+    links and a spanning forest come out. The indexes are fitted on bounded
+    samples and hold every row.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.coalesce(finite & F.exists("embedding", lambda v: v != 0), F.lit(False)) & F.col("vec_id").isNotNull()
-    dim = rows.where(usable).groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    usable = usable & (F.size("embedding") == (dim["dim"] if dim else 0))
-    # scaled by the largest component, so that no norm over- or underflows
+    # scaled by the largest component, so that no norm over- or underflows; + 0.0 makes one of both zeros
     top = F.array_max(F.transform("embedding", F.abs))
-    rows = rows.withColumn("embedding", F.when(usable, F.transform("embedding", lambda v: v / top)))
+    rows = rows.withColumn("embedding", F.when(usable, F.transform("embedding", lambda v: v / top + F.lit(0.0))))
+    digest = F.when(F.col("embedding").isNotNull(), F.struct(F.xxhash64("embedding").alias("x"), F.xxhash64(F.lit(1), "embedding").alias("y")))
+    rows = rows.withColumn("digest", digest)
     scratch = Scratch()
-    classes = scratch(rows.where(F.col("embedding").isNotNull()).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")).select("rep", "m", "embedding"), "vectors")
-    index = fit(classes, sample=sample)
-    if index is None:
+    keys = materialize(rows.select("vec_id", "digest"), "keys")
+    grouped = rows.where(F.col("digest").isNotNull()).groupBy("digest")
+    classes = scratch(grouped.agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("embedding").alias("embedding")).withColumn("dim", F.size("embedding")), "vectors")
+    dims = [r["dim"] for r in classes.select("dim").distinct().orderBy("dim").collect()]
+    found = None
+    for dim in dims:
+        links = _links(classes.where(F.col("dim") == dim).select("rep", "m", "embedding"), dim, cosine, sample, scratch)
+        found = links if found is None else found.unionByName(links)
+    if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    links = found.groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "rep")
+    labels = components(found.where("b is not null").select("a", "b").union(_same_vector(keys, classes)))
+    told = classes.join(links, "rep", "left").join(labels, F.col("rep") == labels["node"], "left")
+    told = materialize(told.select(F.col("digest").alias("of"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")), "labelled")
+    scratch.clear()
+    out = keys.join(told, F.col("digest") == F.col("of"), "left")
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _links(classes: DataFrame, dim: int, cosine: float, sample: int, scratch: Scratch) -> DataFrame:
+    """``a, n`` (classes and the links of each) and ``a, b`` (a spanning forest) of one dimension."""
+    index = fit(classes, sample=sample)
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + _SLACK
     placed = scratch(classes.mapInArrow(_place(index, reach), "rep long, m long, embedding array<double>, list int, code binary, error double, probes array<int>"), "placed")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    block = max(16, min(BLOCK, CELL_NUMBERS // dim))
+    blocks = lambda n: F.ceil(n / block).cast("int")
     held = placed.groupBy("list").agg(blocks(F.count(F.lit(1))).alias("nx"))
     asked = placed.select(F.explode("probes").alias("list")).groupBy("list").agg(blocks(F.count(F.lit(1))).alias("nq"))
     sizes = F.broadcast(held.join(asked, "list"))  # one row per list, MOST_LISTS at most
@@ -187,19 +207,11 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     base = placed.join(sizes, "list").withColumn("i", F.pmod(F.xxhash64("rep"), "nx").cast("int")).withColumn("j", spread(F.col("nq"))).withColumns({"query": F.lit(False), "own": F.lit(True)}).select(columns)
     ask = placed.withColumnRenamed("list", "home").withColumn("list", F.explode("probes")).join(sizes, "list")
     ask = ask.withColumn("j", F.pmod(F.xxhash64("rep"), "nq").cast("int")).withColumn("i", spread(F.col("nx"))).withColumns({"query": F.lit(True), "own": F.col("home") == F.col("list"), "code": F.lit(None).cast("binary"), "error": F.lit(0.0)}).select(columns)
-    found = scratch(base.union(ask).groupBy("list", "i", "j").applyInArrow(_compare(index, cosine, reach), "a long, b long, n long"), "links")
-    links = found.groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "rep")
-    labels = components(found.where("b is not null").select("a", "b").union(_same_vector(rows, classes)))
-    told = classes.join(links, "rep", "left").join(labels, F.col("rep") == labels["node"], "left")
-    told = materialize(told.select(F.col("embedding").alias("e"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")), "labelled")
-    scratch.clear()
-    out = rows.join(told, rows["embedding"] == told["e"], "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return scratch(base.union(ask).groupBy("list", "i", "j").applyInArrow(_compare(index, cosine, reach), "a long, b long, n long"), "links")
 
 
-def _same_vector(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _same_vector(keys: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the classes of rows that share a vec_id."""
-    some = rows.where(F.col("embedding").isNotNull())
-    twice = some.groupBy("vec_id").agg(F.count_distinct("embedding").alias("n")).where("n > 1").select("vec_id")
-    return some.join(twice, "vec_id").join(classes.select("rep", "embedding"), "embedding").where("rep != vec_id").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
+    some = keys.where(F.col("digest").isNotNull())
+    twice = some.groupBy("vec_id").agg(F.count_distinct("digest").alias("n")).where("n > 1").select("vec_id")
+    return some.join(twice, "vec_id").join(classes.select("rep", "digest"), "digest").where("rep != vec_id").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import unicodedata
@@ -131,7 +132,7 @@ def brute_components(ids, linked):
     return label
 
 
-@pytest.mark.parametrize("percent", [85, 80])
+@pytest.mark.parametrize("percent", [85, 80, 50])
 def test_near_duplicates(docs, percent):
     rows = [r for r in corpus() if r[0] is not None]
     sets = {r[0]: shingles(r[1]) for r in rows}
@@ -167,6 +168,43 @@ def test_near_duplicates_empty_and_repeated(spark, empty):
     assert minhash.without_near_duplicates(two).count() == 1
 
 
+def test_agreement_and_tables_follow_the_similarity():
+    for percent in range(40, 100, 5):
+        wide, half = minhash.banding(percent)
+        assert 2 * wide * half == 32
+        least, s = minhash.least_agreement(percent), percent / 100
+        below = [sum(math.comb(32, k) * s**k * (1 - s) ** (32 - k) for k in range(n)) for n in (least, least + 1)]
+        assert below[0] <= minhash.AGREE_MISS < below[1]
+
+
+def test_one_row_of_an_id_stays(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "q r s t u v", "y"), (1, "q r s t u v", "z"), (2, "other words are in this text", "v"), (None, "a b c d e f", "w"), (None, None, "u"), (3, None, "t"), (4, "", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").coalesce(1)
+    out = [tuple(r) for r in minhash.without_near_duplicates(df).collect()]
+    assert len(out) == 6 and {r[2] for r in out} >= set("vwuts")
+    assert out.count((1, "q r s t u v", "z")) == 0  # of equal rows the first read stays
+
+
+@pytest.mark.parametrize(
+    "apply",
+    [
+        lambda df, _: urls.judge(df.withColumn("url", F.concat(F.lit("http://a.b/"), "text")), queries.RULES).drop("url", "host", "path", "rule", "verdict", "block_margin"),
+        lambda df, _: minhash.without_near_duplicates(df),
+        lambda df, _: lines.without_repeats(df),
+        lambda df, tests: tiling.without_contaminated(df, tests),
+        lambda df, _: bpe.with_round_trip(df).drop("token_ids", "decoded"),
+        lambda df, _: langid.with_language(df, langid.train(df, lang="rep")).drop("lang_pred", "score", "lang_mix"),
+    ],
+)
+def test_clashing_names_pass_through(spark, apply):
+    rows = [(i, f"text number {i} of these") for i in range(5)] + [(None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(n) for n in CLASHING})
+    out = apply(df, spark.createDataFrame([(1, "no such test item here")], "item_id long, text string"))
+    assert sorted(out.columns) == sorted(df.columns)
+    assert {tuple(r[n] for n in CLASHING) for r in out.collect()} == {tuple(CLASHING)}
+    assert out.count() == 6
+
+
 # --- 3 ---
 
 
@@ -175,7 +213,7 @@ def test_vectors(spark):
     base = rng.normal(size=(60, 16))
     rows = [base[i % 60] + rng.normal(size=16) * 0.1 * (i % 4) for i in range(400)] + [base[0]] * 30 + [base[1] * 7]
     data = [(i, [float(v) for v in r]) for i, r in enumerate(rows)]
-    odd = [(900, None), (901, []), (902, [0.0] * 16), (903, [float("nan")] + [1.0] * 15), (904, [None] + [1.0] * 15), (905, [float("inf")] * 16), (906, [1.0, 2.0]), (None, data[0][1])]
+    odd = [(900, None), (901, []), (902, [0.0] * 16), (903, [float("nan")] + [1.0] * 15), (904, [None] + [1.0] * 15), (905, [float("inf")] * 16), (906, [1.0, 2.0]), (907, [2.0, 4.0]), (908, [1.0, 0.0]), (909, [5.0]), (910, [1.0]), (None, data[0][1])]
     out = vectors.near_duplicates(spark.createDataFrame(data + odd, "vec_id long, embedding array<double>").withColumn("n_links", F.lit("x")).repartition(4)).collect()
     x = np.array(rows)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -185,6 +223,9 @@ def test_vectors(spark):
     for r in out:
         if r["vec_id"] is None:
             assert r["n_links"] == 0 and r["component_id"] is None and not r["kept"]
+        elif r["vec_id"] in (906, 907, 909, 910):  # each dimension links within itself
+            low = 906 if r["vec_id"] < 909 else 909
+            assert (r["n_links"], r["component_id"], r["kept"]) == (1, low, r["vec_id"] == low)
         elif r["vec_id"] >= 900:
             assert (r["n_links"], r["component_id"], r["kept"]) == (0, r["vec_id"], True)
         else:
@@ -232,6 +273,7 @@ def test_token_counts(docs, empty, spark):
     limits = spark.createDataFrame([(n,) for n in (0, 1, 7, 100, 10**7)], "limit long")
     for r in token_counts.truncated_totals(sums, limits).collect():
         assert r["truncated_total"] == sum(min(x, r["limit"]) for x in lengths)
+    assert token_counts.truncated_totals(sums, limits).count() == 5
     assert token_counts.suffix_sums(token_counts.length_histogram(empty)).count() == 0
 
 
