@@ -164,14 +164,16 @@ def judge(df: DataFrame, rules: list[Rule], url: str = "url", *, sample: int = S
     judged by their features alone. Repeated rows are judged alike; a
     clashing column is replaced; an empty table stays empty.
     """
-    host, path = host_of(F.col(url)), path_of(F.col(url))
-    rule = rule_column(rules, F.col("host"), F.col("path"))
-    verdicts = {r.pattern: r.verdict for r in rules}
+    new = ["host", "path", "rule", "verdict", "block_margin"]
+    # the row travels as one column, so that its names meet none of the names below
+    rows = df.select(F.struct(*[c for c in df.columns]).alias("row"), F.col(url).alias("url"))
+    judged = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    judged = judged.withColumn("rule", rule_column(rules, F.col("host"), F.col("path")))
     told = F.lit(None).cast("string")
-    for pattern, verdict in verdicts.items():
-        told = F.when(F.col("rule") == pattern, F.lit(verdict)).otherwise(told)
-    ruled = df.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("_told", told)
-    model = train(ruled.where(F.col("_told").isNotNull()).select(url, (F.col("_told") == "block").cast("int").alias("label")), url, sample=sample)
-    scored = with_features(ruled, url, model.suffixes, model.prior).withColumn("block_margin", model.margin)
-    verdict = F.coalesce("_told", F.when(F.col("block_margin") > 0, "block").otherwise("allow"))
-    return scored.withColumn("verdict", verdict).drop("_told", "_suffix", *FEATURES)
+    for rule in rules:
+        told = F.when(F.col("rule") == rule.pattern, F.lit(rule.verdict)).otherwise(told)
+    judged = judged.withColumn("told", told)
+    model = train(judged.where(F.col("told").isNotNull()).select("url", (F.col("told") == "block").cast("int").alias("label")), sample=sample)
+    scored = with_features(judged, "url", model.suffixes, model.prior).withColumn("block_margin", model.margin)
+    verdict = F.coalesce("told", F.when(F.col("block_margin") > 0, "block").otherwise("allow"))
+    return scored.withColumn("verdict", verdict).select(*[F.col("row")[c].alias(c) for c in df.columns if c not in new], *new)
