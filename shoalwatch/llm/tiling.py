@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalwatch.llm import textkit
-from shoalwatch.llm.common import materialize
+from shoalwatch.llm.common import internal, materialize
 
 #: Words of the shortest match that counts, and of a seed.
 MATCH = 5
@@ -171,7 +171,7 @@ def _searcher(shared, match: int, coverage: float, passage: int):
                 hit, doc = hit[inside], doc[inside]
                 for d in np.unique(doc):
                     row = at + int(d)
-                    for longest, *found in _of_document(tests, grams, hit[doc == d], int(w.first[d]), match):
+                    for longest, *found in _of_document(tests, w.hashes, grams, hit[doc == d], int(w.first[d]), match):
                         if found[1] >= coverage or longest >= passage:
                             out.append((batch.column(0)[row].as_py(), batch.column(2)[row].as_py(), *found))
             for row, text in enumerate(batch.column(1).to_pylist() if tests.short else []):
@@ -183,21 +183,26 @@ def _searcher(shared, match: int, coverage: float, passage: int):
     return search
 
 
-def _of_document(tests: Tests, grams: np.ndarray, hits: np.ndarray, first: int, match: int) -> Iterator[tuple]:
+def _of_document(tests: Tests, words: np.ndarray, grams: np.ndarray, hits: np.ndarray, first: int, match: int) -> Iterator[tuple]:
     lo, hi = (np.searchsorted(tests.seeds, grams[hits], side) for side in ("left", "right"))
     each = hi - lo
     places = np.repeat(hits - first, each)
     seed = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(lo, each)
     items, tests_at = tests.item[seed], tests.place[seed]
     for item in np.unique(items):
-        mine = items == item
+        mine = np.flatnonzero(items == item)
         n = len(tests.words[item])
+        for i in range(match):  # equal hashes of a seed are confirmed word by word
+            mine = mine[words[first + places[mine] + i] == tests.words[item][tests_at[mine] + i]]
+        if not len(mine):
+            continue
         tiles = tile(places[mine], tests_at[mine], n, match)
         covered = sum(t[2] for t in tiles)
         yield max(t[2] for t in tiles), tests.ids[item], covered / n, len(tiles), covered, n, min(t[0] for t in tiles), max(t[0] + t[2] for t in tiles) - 1
 
 
 def without_contaminated(df: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """All columns of the documents that cover no test item enough."""
-    found = materialize(contaminated(df, tests, doc_id, text, **how).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct(), "contaminated")
-    return df.join(found, F.xxhash64(text).eqNullSafe(F.col("_text")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    """All columns, of any names, of the documents that cover no test item enough."""
+    key, hashed = internal(df, "key", "hash")
+    found = materialize(contaminated(df, tests, doc_id, text, **how).select(F.col("doc_id").alias(key), F.col("text_hash").alias(hashed)).distinct(), "contaminated")
+    return df.join(found, F.xxhash64(text).eqNullSafe(F.col(hashed)) & F.col(doc_id).cast("long").eqNullSafe(F.col(key)), "left_anti")
