@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 
 _KEY = "spark.checkpoint.dir"
@@ -18,27 +19,32 @@ _KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
-    Only where the setting is absent, as in local tests, a temporary folder
-    of this machine is set and used.
+    Only where the setting is absent and driver and executors are one
+    process on one machine, as in tests, a temporary folder is set and used;
+    on a cluster, its executors would each write to a disk of their own.
     """
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {_KEY} to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="shoalwatch-")
         spark.conf.set(_KEY, found)
         atexit.register(shutil.rmtree, found, True)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, observed: Observation | None = None, *measures: Column) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
+    ``observed`` gets ``measures`` of the rows while they are written.
+
     Cuts the lineage, so that a lost executor costs a re-read and not a
     recomputation. ``drop_table`` removes a table that is no longer read;
     the others go when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/shoalwatch-{uuid.uuid4().hex}-{tag}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df if observed is None else df.observe(observed, *measures)).write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shoalwatch_path = path

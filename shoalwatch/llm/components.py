@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shoalwatch.llm.common import drop_table, materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their number and checksum, taken while writing."""
+    seen = Observation()
+    table = materialize(edges, "edges", seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
+    return table, (seen.get["n"], seen.get["s"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,12 +39,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     null end and loops are left out; repeated edges count once. Each round
     is written to the shared folder and the one before deleted.
     """
-    now = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u") != F.col("v")).distinct(), "edges")
-    state = _state(now)
+    now, state = _written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u") != F.col("v")).distinct())
     while state[0]:
-        new = materialize(_small_star(_large_star(now)), "edges")
-        drop_table(now)
-        before, state, now = state, _state(new), new
+        before, old = state, now
+        now, state = _written(_small_star(_large_star(old)))
+        drop_table(old)
         if state == before:
             break
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

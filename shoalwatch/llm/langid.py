@@ -144,11 +144,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", *, sample
             at = np.flatnonzero(mine)
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(at), pa.string()), pa.array(at), pa.array(mine[at])], names=["lang", "bucket", "n"])
 
-    counts = rows.select("text", "lang").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(counts["lang"].unique())
+    counts = rows.select("text", "lang").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(set(counts.column("lang").to_pylist()))
     table = np.full((len(languages), BUCKETS), 0.5)
-    row = counts["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy()
-    table[row, counts["bucket"].to_numpy()] += counts["n"].to_numpy()
+    row = {k: i for i, k in enumerate(languages)}
+    table[[row[k] for k in counts.column("lang").to_pylist()], np.asarray(counts.column("bucket"))] += np.asarray(counts.column("n"))
     return LanguageModel(languages, np.log(table / table.sum(axis=1, keepdims=True)))
 
 

@@ -1,36 +1,36 @@
 """Near-duplicate documents by MinHash with tensored banding.
 
 The table keys of one document are all pairs of one half key of collection
-A and one of collection B. A half key joins two minhashes, so 2 * 2 * HALF
-minhashes serve HALF * HALF tables. Two documents of similarity s share a
-key unless all half keys of a collection differ, which happens with a
-probability of about 2 * (1 - s**2)**HALF: 7e-5 at 0.85.
+A and one of collection B. With h half keys of w minhashes in each, 2 * w * h
+minhashes serve h * h tables. Two documents of similarity s share a key
+unless all half keys of a collection differ, which happens with a
+probability of about 2 * (1 - s**w)**h; ``banding`` chooses w and h for a
+similarity.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoalwatch.llm import textkit
-from shoalwatch.llm.common import Scratch, append_columns, materialize
+from shoalwatch.llm.common import Scratch, append_columns, internal, materialize
 from shoalwatch.llm.components import components
 
 SHINGLE = 5
-#: Half keys in each collection; their pairs are the tables.
-HALF = 8
-_PER_HALF = 2
-_HASHES = 2 * HALF * _PER_HALF
-#: Pairs that agree on fewer minhashes are no candidates: at 0.8 or more this
-#: misses a pair with a probability under 1e-4, at 0.85 under 1e-6.
-AGREE = 16
+_HASHES = 32
+#: A pair of the asked similarity shares no table with this probability at most.
+TABLE_MISS = 1e-3
+#: A pair in a table agrees on too few minhashes to be confirmed with this probability at most.
+AGREE_MISS = 1e-6
 #: Shingle frequencies that order a set are counted in this many buckets.
 FREQUENCY_BUCKETS = 1 << 18
 #: Groups of a rare shingle up to this size are compared pair by pair.
@@ -72,12 +72,29 @@ def with_signatures(df: DataFrame, text: str = "text", *, keep: list[str] | None
     return append_columns(df, fields, signed, keep)
 
 
-def _table_keys(classes: DataFrame) -> DataFrame:
+def banding(percent: int) -> tuple[int, int]:
+    """Minhashes in a half key and half keys in a collection: as selective as ``TABLE_MISS`` allows."""
+    for wide in (2, 1):
+        half = _HASHES // 2 // wide
+        if 2 * (1 - (percent / 100) ** wide) ** half <= TABLE_MISS:
+            break
+    return wide, half
+
+
+def least_agreement(percent: int) -> int:
+    """Minhashes that a pair of the similarity shares but for a chance of ``AGREE_MISS``."""
+    s, below, k = percent / 100, 0.0, 0
+    while (below := below + math.comb(_HASHES, k) * s**k * (1 - s) ** (_HASHES - k)) <= AGREE_MISS:
+        k += 1
+    return k
+
+
+def _table_keys(classes: DataFrame, percent: int) -> DataFrame:
     """``key, rep`` for every table."""
-    wide = 4 * _PER_HALF
-    part = lambda i: F.substring("minhashes", i * wide + 1, wide)
-    tables = classes.select("rep", F.struct(*[part(i).alias(f"p{i}") for i in range(2 * HALF)]).alias("p"))
-    return tables.select("rep", F.explode(F.array(*[F.xxhash64(F.col(f"p.p{i}"), F.col(f"p.p{HALF + j}"), F.lit(i * HALF + j)) for i in range(HALF) for j in range(HALF)])).alias("key"))
+    wide, half = banding(percent)
+    part = lambda i: F.substring("minhashes", 4 * wide * i + 1, 4 * wide)
+    tables = classes.select("rep", F.struct(*[part(i).alias(f"p{i}") for i in range(2 * half)]).alias("p"))
+    return tables.select("rep", F.explode(F.array(*[F.xxhash64(F.col(f"p.p{i}"), F.col(f"p.p{half + j}"), F.lit(i * half + j)) for i in range(half) for j in range(half)])).alias("key"))
 
 
 def _agree(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -92,10 +109,12 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     sized = joined.where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)).select("a", "b", "m_a", "m_b")
 
+    least = least_agreement(percent)
+
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keep = pa.array(_agree(batch.column(2), batch.column(3)) >= AGREE)
+                keep = pa.array(_agree(batch.column(2), batch.column(3)) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return sized.mapInArrow(alike, "a long, b long")
@@ -152,9 +171,9 @@ def _prefixes(members: DataFrame, percent: int, shingle: int) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
-    rows = members.select("text").mapInArrow(counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = members.select("text").mapInArrow(counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(FREQUENCY_BUCKETS, np.int64)
-    table[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    table[np.asarray(rows.column("bucket"))] = np.asarray(rows.column("n"))
     shared = members.sparkSession.sparkContext.broadcast(table)
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +304,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     some = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("minhashes").alias("minhashes")), "classes")
 
-    keys = _table_keys(classes)
+    keys = _table_keys(classes, percent)
     shared = scratch(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub")).where("n > 1").drop("n"), "shared-keys")
     buckets = scratch(keys.join(shared, "key").select("key", "rep", "hub"), "buckets")
     members = scratch(buckets.select("rep").distinct(), "members")
@@ -315,11 +334,15 @@ def _same_document(signed: DataFrame) -> DataFrame:
 def without_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
     """All columns of one document of each group: that of the smallest doc_id.
 
-    Of rows that share a doc_id one stays; rows with a null doc_id all stay.
+    Of rows that share a doc_id one stays, that of the smallest hash of the
+    text, and the first read of equal ones; rows with a null doc_id all
+    stay. Columns of any name pass through. The ids are joined by shuffle at
+    every size, as they grow with the corpus.
     """
     found = near_duplicates(df, doc_id, text, percent=percent, shingle=shingle)
-    kept = materialize(found.where("kept").select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    mine = df.join(kept, F.col(doc_id).cast("long") == F.col("_id"), "left_semi")
-    if not df.groupBy(doc_id).count().where(F.col(doc_id).isNotNull() & (F.col("count") > 1)).isEmpty():
-        mine = mine.dropDuplicates([doc_id])
-    return mine.unionByName(df.where(F.col(doc_id).isNull()))
+    key, hashed, number, one = internal(df, "key", "hash", "number", "one")
+    kept = materialize(found.where("kept").select(F.col("doc_id").alias(key)).distinct(), "kept")
+    mine = df.where(F.col(doc_id).cast("long").isNotNull()).withColumns({key: F.col(doc_id).cast("long"), hashed: F.xxhash64(text), number: F.monotonically_increasing_id()})
+    mine = mine.withColumn(one, F.row_number().over(Window.partitionBy(key).orderBy(hashed, number))).where(F.col(one) == 1)
+    mine = mine.join(kept.hint("merge"), key, "left_semi").select(*df.columns)
+    return mine.unionByName(df.where(F.col(doc_id).cast("long").isNull()))
