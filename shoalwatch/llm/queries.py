@@ -63,9 +63,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.with_token_ids(docs, keep=["doc_id"])
-    decoded = bpe.with_decoded(encoded, keep=["doc_id", "token_ids"])
-    return decoded.select(
+    return bpe.with_round_trip(docs, keep=["doc_id"]).select(
         "doc_id",
         F.expr("octet_length(token_ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalwatch.llm import bpe
+from shoalwatch.llm.common import materialize
 
 #: Lengths that share one block of the two-level running sums.
 BLOCK = 1024
@@ -31,8 +32,10 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     documents up to this length).
 
     The sums run on two levels, blocks of lengths and lengths in a block:
-    no task gets more than ``BLOCK`` lengths or one row per block.
+    no task gets more than ``BLOCK`` lengths or one row per block. The
+    histogram is written first, as both levels read it.
     """
+    histogram = materialize(histogram, "lengths")
     blocks = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
@@ -74,11 +77,11 @@ def truncated_totals(sums: DataFrame, limits: DataFrame, limit: str = "limit") -
     longest document nothing is cut. The join is on a stated set of limits.
     """
     asked = limits.select(F.col(limit).cast("long").alias("limit")).distinct()
-    joined = asked.join(F.broadcast(sums.select("n_tokens", "docs_at_least", "truncated_total", "total_tokens")), F.col("n_tokens") >= F.col("limit"), "left")
-    next_up = F.min_by(F.struct("n_tokens", "docs_at_least", "truncated_total"), "n_tokens")
-    found = joined.groupBy("limit").agg(next_up.alias("up"))
+    # the limits, a stated set, go to the lengths; lengths aren't bounded
+    reached = sums.join(F.broadcast(asked.where("limit is not null")), F.col("n_tokens") >= F.col("limit"))
+    found = reached.groupBy("limit").agg(F.min_by(F.struct("n_tokens", "docs_at_least", "truncated_total"), "n_tokens").alias("up"))
     total = sums.agg(F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total"))
-    return found.crossJoin(F.broadcast(total)).select(
+    return asked.join(found, "limit", "left").crossJoin(F.broadcast(total)).select(
         "limit",
         F.coalesce(F.col("up.truncated_total") - (F.col("up.n_tokens") - F.col("limit")) * F.col("up.docs_at_least"), F.col("total")).alias("truncated_total"),
     )
