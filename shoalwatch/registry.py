@@ -188,14 +188,14 @@ def _ngram_tables(spark, sf_dir, exact_ids: bool = True, ascii_only: bool = True
 
 
 _NGRAMS = """
-WITH m AS (SELECT row_number() OVER (ORDER BY conv_id, turn, role, text) AS message_surrogate_id, concat_ws('-', conv_id, turn) AS message_id, text AS message_text, role AS user_id, turn AS timestamp FROM conversations),
-k AS (SELECT *, regexp_extract_all(lower(message_text), '[a-z0-9]+') AS w FROM m WHERE message_text <> '' AND user_id <> ''),
-e AS (SELECT message_surrogate_id, (i - 1) * 10 + n AS pos, n, array_to_string(w[i:i + n - 1], ' ') AS words FROM (SELECT message_surrogate_id, w, unnest(range(1, len(w) + 1)) AS i FROM k), range(3, 6) t(n) WHERE i + n - 1 <= len(w)),
-f AS (SELECT message_surrogate_id, words, n, min(pos) AS pos FROM e GROUP BY 1, 2, 3),
-d AS (SELECT words, n, row_number() OVER (ORDER BY first) - 1 AS ngram_id FROM (SELECT words, n, min((message_surrogate_id, pos)) AS first FROM f GROUP BY 1, 2)),
-x AS (SELECT f.message_surrogate_id, d.ngram_id FROM f JOIN d USING (words)),
-s AS (SELECT ngram_id, count(*) AS total_reps, count(DISTINCT user_id) AS distinct_posters FROM x JOIN k USING (message_surrogate_id) GROUP BY 1 HAVING count(*) > 1),
-summary AS (SELECT ngram_id, words, CAST(n AS INTEGER) AS n, total_reps, distinct_posters FROM d JOIN s USING (ngram_id))"""
+WITH m AS MATERIALIZED (SELECT row_number() OVER (ORDER BY conv_id, turn, role, text) AS message_surrogate_id, concat_ws('-', conv_id, turn) AS message_id, text AS message_text, role AS user_id, turn AS timestamp FROM conversations),
+k AS MATERIALIZED (SELECT *, regexp_extract_all(lower(message_text), '[a-z0-9]+') AS w FROM m WHERE message_text <> '' AND user_id <> ''),
+e AS MATERIALIZED (SELECT message_surrogate_id, (i - 1) * 10 + n AS pos, n, array_to_string(w[i:i + n - 1], ' ') AS words FROM (SELECT message_surrogate_id, w, unnest(range(1, len(w) + 1)) AS i FROM k), range(3, 6) t(n) WHERE i + n - 1 <= len(w)),
+f AS MATERIALIZED (SELECT message_surrogate_id, words, n, min(pos) AS pos FROM e GROUP BY 1, 2, 3),
+d AS MATERIALIZED (SELECT words, n, row_number() OVER (ORDER BY first) - 1 AS ngram_id FROM (SELECT words, n, min((message_surrogate_id, pos)) AS first FROM f GROUP BY 1, 2)),
+x AS MATERIALIZED (SELECT f.message_surrogate_id, d.ngram_id FROM f JOIN d USING (words)),
+s AS MATERIALIZED (SELECT ngram_id, count(*) AS total_reps, count(DISTINCT user_id) AS distinct_posters FROM x JOIN k USING (message_surrogate_id) GROUP BY 1 HAVING count(*) > 1),
+summary AS MATERIALIZED (SELECT ngram_id, words, CAST(n AS INTEGER) AS n, total_reps, distinct_posters FROM d JOIN s USING (ngram_id))"""
 
 
 @_query(f"{_NGRAMS} SELECT * FROM x")

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_SHARED = "spark.checkpoint.dir"
 
 
 def session(name: str = "shoalwatch", **settings: str) -> SparkSession:
@@ -11,3 +19,38 @@ def session(name: str = "shoalwatch", **settings: str) -> SparkSession:
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder's name in the folder all executors share; it goes when the process ends.
+
+    Without ``spark.checkpoint.dir``, only local sessions have such a folder.
+    """
+    shared = spark.conf.get(_SHARED, None) or spark.sparkContext.getConf().get(_SHARED, None)
+    if not shared:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {_SHARED} to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="shoalwatch-")
+        spark.conf.set(_SHARED, shared)
+        atexit.register(shutil.rmtree, shared, True)
+    folder = f"{shared.rstrip('/')}/shoalwatch-{uuid.uuid4().hex}-{tag}"
+    atexit.register(remove, spark, folder)
+    return folder
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    except Exception:  # the JVM is gone at exit; the folder's owner cleans up
+        return
+
+
+def written(df: DataFrame, tag: str, *by: str) -> DataFrame:
+    """``df`` as a table in the shared folder, computed once and read as often as needed.
+
+    It has a folder for each value of ``by``.
+    """
+    folder = scratch(df.sparkSession, tag)
+    df.write.partitionBy(*by).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

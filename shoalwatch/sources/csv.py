@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import csv
 import io
 import re
-import shutil
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shoalwatch.session import scratch
+
 # fixed values: what marks a header
 KEYWORDS = ("id", "name", "date", "time", "user", "tweet", "text", "count", "number", "sent", "screen", "retweeted", "favorited")
 NO_HEADER_STARTS = ("http", "www", "from ", "if you")
@@ -74,23 +72,12 @@ def detect_dialect(lines: list[str]) -> Dialect:
         return Dialect(skip_rows=skip)
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder's name in the folder all executors share; it goes when the process ends."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared:  # only in local runs
-        shared = tempfile.mkdtemp(prefix="shoalwatch-")
-        atexit.register(shutil.rmtree, shared, True)
-    folder = f"{shared.rstrip('/')}/shoalwatch-{uuid.uuid4().hex}-csv"
-    atexit.register(_remove, spark, folder)
-    return folder
-
-
 def _without_notes(spark: SparkSession, path: str, notes: list[str]) -> str:
     """Copy the files to the shared folder without their leading notes, byte by byte.
 
     A file that doesn't begin with the notes is copied whole.
     """
-    jvm, conf, folder = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), _scratch(spark)
+    jvm, conf, folder = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), scratch(spark, "csv")
     for number, name in enumerate(sorted(spark.read.text(path).inputFiles())):
         source = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
         stream = source.getFileSystem(conf).open(source)
@@ -136,7 +123,7 @@ def _open_after(line: str, inside: bool, dialect: Dialect) -> bool:
 
 def _with_plain_ends(spark: SparkSession, path: str, dialect: Dialect) -> str:
     """Copy the files with \\n after every row; breaks in quoted fields stay as they are."""
-    folder = _scratch(spark)
+    folder = scratch(spark, "csv")
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside = False
@@ -164,20 +151,12 @@ def _row_end(spark: SparkSession, path: str) -> str | None:
     return "\n" if not cr else "\r\n" if cr == n else ""
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-    except Exception:  # the JVM is gone at exit; the folder's owner cleans up
-        return
-
-
 def read_csv(spark: SparkSession, path: str, dialect: Dialect | None = None, *, n_rows: int | None = None, schema: T.StructType | None = None) -> DataFrame:
     """Read with the given or detected dialect; fields beyond the header are cut.
 
     Quoted fields keep their line breaks, so each file is read by one task.
-    Types come from a sample of the first rows; cells that don't fit become
-    null. A file with leading notes is first copied without them, and one of
+    Types come from all rows, or from the first ``n_rows``; so no cell
+    becomes null for want of fitting, unless a schema is given. A file with leading notes is first copied without them, and one of
     mixed line ends with equal ones. A quote that opens a field and is never
     closed takes all that follows into the field.
     """
@@ -190,7 +169,7 @@ def read_csv(spark: SparkSession, path: str, dialect: Dialect | None = None, *,
     if end:  # told, Spark keeps \r\n in quoted fields; found by itself, it becomes \n
         options["lineSep"] = end
     reader = spark.read.options(**{k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()})
-    schema = schema or reader.option("inferSchema", "true").option("samplingRatio", "1.0" if n_rows else "0.1").csv(source).schema
+    schema = schema or reader.option("inferSchema", "true").csv(source).schema
     out = reader.schema(schema).csv(source)
     return out.limit(n_rows) if n_rows else out
 

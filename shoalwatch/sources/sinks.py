@@ -5,15 +5,17 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shoalwatch.functions.numbering import numbered
+from shoalwatch.session import written
 from shoalwatch.sources.excel import write_excel
 
 FORMATS = ("parquet", "csv", "xlsx", "json")
-#: Rows above which an export is offered in chunks, their default and least size.
-LARGE, DEFAULT_CHUNK, LEAST_CHUNK = 50_000, 50_000, 100
+#: Rows of the smallest chunk.
+LEAST_CHUNK = 100
 
 
 @dataclass(frozen=True)
@@ -74,14 +76,10 @@ def write_json_array(df: DataFrame, path: str) -> None:
 def with_chunks(df: DataFrame, rows: int, *order: str) -> DataFrame:
     """Add ``chunk`` from 0: consecutive ``rows`` rows in the given order.
 
-    Row numbers come from per-partition counts over a range partitioning, so
-    no single task sees all rows.
+    Rows are numbered where a range partitioning puts them, so no single
+    task sees all rows.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    within = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_i")) - 1)
-    sizes = within.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a partition
-    return within.join(F.broadcast(before), "_p").withColumn("chunk", F.floor((F.col("_before") + F.col("_r")) / rows).cast("long")).drop("_p", "_i", "_r", "_before")
+    return numbered(df, "chunk", *order).withColumn("chunk", F.floor(F.col("chunk") / rows).cast("long"))
 
 
 def export(df: DataFrame, path: str, kind: str, policy: ExportPolicy = ExportPolicy(), *, order: list[str] | None = None) -> list[str]:
@@ -96,7 +94,9 @@ def export(df: DataFrame, path: str, kind: str, policy: ExportPolicy = ExportPol
     chunks = -(-n // policy.chunk_rows)
     if chunks <= 1:
         return [write(df, path, kind)] if chunks else []
+    # each chunk's files lie in a folder of their own, and a chunk reads no other
     cut = with_chunks(df, policy.chunk_rows, *(order or df.columns))
+    cut = written(cut, "chunks", "chunk")
     return [write(cut.where(F.col("chunk") == k).drop("chunk"), f"{path}_{k}", kind) for k in range(chunks)]
 
 
