@@ -18,19 +18,27 @@ EMAIL = r"\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z|]{2,}\b"
 MENTION = r"@\w+"
 HASHTAG = r"#\w+"
 CASHTAG = r"\$[a-z]{1,5}\b"
-EMOJI = r"[\U0001F600-\U0001F64F\U0001F300-\U0001F5FF\U0001F680-\U0001F6FF\U0001F1E0-\U0001F1FF✀-➿\U0001F900-\U0001F9FF☀-⛿]"
-NUMERIC = r"\d+(?:st|nd|rd|th)(?!\w)|[$€£¥₹₽¢]\d+(?:[.,]\d+)*|\d+(?:[.,]\d+)+|\d+\.?\d*%?"
-LATIN = r"[a-z]+(?:\.[a-z]+)+\.?|[a-z]+(?:[-'’`][a-z]+)*[-'’`]?"
-HANGUL = r"[가-힯]+"
-IDEOGRAPHS = r"[一-鿿㐀-䶿぀-ゟ゠-ヿ가-힯]+"
-ARABIC = r"[؀-ۿݐ-ݿࢠ-ࣿ]+"
-THAI = r"[฀-๿]+"
-SOUTHEAST_ASIAN = r"[ក-៿က-႟ᨀ-᨟ᬀ-᭿]+"
+#: Emoticons; pictographs; transport; regional indicators; dingbats; supplemental pictographs; miscellaneous symbols.
+EMOJI = r"[\U0001F600-\U0001F64F\U0001F300-\U0001F5FF\U0001F680-\U0001F6FF\U0001F1E0-\U0001F1FF\u2700-\u27BF\U0001F900-\U0001F9FF\u2600-\u26FF]"
+#: Ordinals; amounts after a sign of dollar, euro, pound, yen, rupee, rouble, cent; grouped numbers; plain ones.
+NUMERIC = r"\d+(?:st|nd|rd|th)(?!\w)|[$\u20AC\u00A3\u00A5\u20B9\u20BD\u00A2]\d+(?:[.,]\d+)*|\d+(?:[.,]\d+)+|\d+\.?\d*%?"
+#: Dotted abbreviations; ASCII words with hyphens, apostrophes (U+2019 too) and backticks.
+LATIN = r"[a-z]+(?:\.[a-z]+)+\.?|[a-z]+(?:[-'\u2019`][a-z]+)*[-'\u2019`]?"
+#: Hangul syllables and the rest of their block.
+HANGUL = r"[\uAC00-\uD7AF]+"
+#: Han, Han extension A, hiragana, katakana, Hangul.
+IDEOGRAPHS = r"[\u4E00-\u9FFF\u3400-\u4DBF\u3040-\u309F\u30A0-\u30FF\uAC00-\uD7AF]+"
+#: Arabic, its supplement, its extension A.
+ARABIC = r"[\u0600-\u06FF\u0750-\u077F\u08A0-\u08FF]+"
+THAI = r"[\u0E00-\u0E7F]+"
+#: Khmer, Myanmar, Buginese, Balinese.
+SOUTHEAST_ASIAN = r"[\u1780-\u17FF\u1000-\u109F\u1A00-\u1A1F\u1B00-\u1B7F]+"
 PUNCTUATION = r"[.!?;:,\-()\[\]{}\"']"
-#: Scripts whose characters are tokens: CJK, kana, Thai, Lao, Myanmar, Khmer.
-CHARACTER_SCRIPTS = r"一-鿿㐀-䶿぀-ゟ゠-ヿ฀-๿຀-໿က-႟ក-៿"
-#: Tokens of these characters alone are emoji.
-EMOJI_ONLY = r"[\U0001F600-\U0001F64F\U0001F300-\U0001F5FF\U0001F680-\U0001F6FF\U0001F1E6-\U0001F1FF☀-⛿✀-➿\U0001F900-\U0001F9FF\U0001FA70-\U0001FAFF‍︎️\U000E0020-\U000E007F]+"
+#: Scripts whose characters are tokens: Han, Han extension A, hiragana, katakana, Thai, Lao, Myanmar, Khmer.
+CHARACTER_SCRIPTS = r"\u4E00-\u9FFF\u3400-\u4DBF\u3040-\u309F\u30A0-\u30FF\u0E00-\u0E7F\u0E80-\u0EFF\u1000-\u109F\u1780-\u17FF"
+#: Tokens of these alone are emoji: emoticons, pictographs, transport, regional indicators, miscellaneous
+#: symbols, dingbats, supplemental and extended pictographs; joiner, variation selectors 15 and 16, tags.
+EMOJI_ONLY = r"[\U0001F600-\U0001F64F\U0001F300-\U0001F5FF\U0001F680-\U0001F6FF\U0001F1E6-\U0001F1FF\u2600-\u26FF\u2700-\u27BF\U0001F900-\U0001F9FF\U0001FA70-\U0001FAFF\u200D\uFE0E\uFE0F\U000E0020-\U000E007F]+"
 URL_TAIL = ".!?;:,)]}\"'"
 ABBREVIATION = r"[a-z]{1,3}(?:\.[a-z]{1,3})+\.?"
 # --- end of fixed values ---
@@ -84,17 +92,22 @@ def _patterns(config: TokenizerConfig):
         (config.include_punctuation, PUNCTUATION),
     ]
     off = [p for on, p in ((config.include_urls, URL), (config.include_emails, EMAIL), (config.include_numeric, NUMERIC)) if not on]
-    union = lambda parts: regex.compile("|".join(f"(?:{p})" for p in parts), regex.IGNORECASE)
+    names = {URL: "link", _WORDS: "word"}
+    union = lambda parts: regex.compile("|".join(f"(?P<{names[p]}>{p})" if p in names else f"(?:{p})" for p in parts), regex.IGNORECASE)
     return union([p for on, p in kinds if on]), union(off) if off else None
 
 
-def _looks_like_url(token: str) -> bool:
-    if "@" in token and "." in token and token[0] != "@":
-        return False
-    if token.startswith(("http://", "https://", "www.")) or "://" in token:
-        return True
-    dotted = "." in token and "@" not in token and any(map(str.isalpha, token))
-    return dotted and not _abbreviation.fullmatch(token)
+def _without_tail(match: regex.Match) -> str:
+    """The matched token; links lose the punctuation behind them.
+
+    A link is what the alternative of links found, unless it holds an address
+    with ``@``; and a dotted word that is too long for an abbreviation.
+    """
+    token = match[0]
+    address = "@" in token and "." in token
+    if match.lastgroup == "link" and not address or match.lastgroup == "word" and token[-1] == "." and not _abbreviation.fullmatch(token):
+        return token.rstrip(URL_TAIL)
+    return token
 
 
 def _by_script(token: str) -> list[str]:
@@ -120,11 +133,11 @@ def tokenize_text(text: str | None, config: TokenizerConfig = DEFAULT) -> list[s
     wanted, unwanted = _patterns(config)
     if unwanted:
         text = " ".join(unwanted.sub(" ", text).split())
-    found = [m for m in wanted.findall(text) if m.strip()]
-    if not found:
-        found = [text.strip()] if text.strip() else []
-    else:
-        found = [part for t in found for part in _by_script(t.rstrip(URL_TAIL) if _looks_like_url(t) else t)]
+    found = [m for m in wanted.finditer(text) if not m[0].isspace()]
+    if found:
+        found = [part for m in found for part in _by_script(_without_tail(m))]
+    elif text.strip():
+        found = [text.strip()]
     out = []
     for token in found:
         token = token.strip() if config.strip_whitespace else token

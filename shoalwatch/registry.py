@@ -263,6 +263,26 @@ def tokenize_documents(spark, sf_dir):
     return docs.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
+#: A text, and its tokens with bars between them.
+_CASES = [
+    ("Late again: the 7th tram, 45 min!", "late|again|the|7th|tram|45|min"),
+    ("Ask @ana or #help at http://wx.example/a?b=1).", "ask|@ana|or|#help|at|http://wx.example/a?b=1"),
+    ("The U.K. and e.u. don't re-open", "the|u.k.|and|e.u.|don't|re-open"),
+    ("$XYZ up 2.5% to €1,200", "$xyz|up|2.5|to|€1,200"),
+    ("山川 and 바다 or كتب", "山|川|and|바다|or|كتب"),
+    ("ขอบ", "ข|อ|บ"),
+    ("Добрый день", "добрый день"),
+    ("naïve ﬂag", "na|ve|ag"),
+    (" ", ""),
+]
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in c)) for c in _CASES) + ") t(text, tokens)")
+def tokenizer_cases(spark, sf_dir):
+    rows = spark.createDataFrame([(text,) for text, _ in _CASES], "text string")
+    return rows.select("text", F.array_join(tokenize("text"), "|").alias("tokens"))
+
+
 @_query("SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)")
 def tokenize_documents_ascii(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", tokenize_ascii(F.col("text")).alias("tokens"))
