@@ -80,8 +80,9 @@ def _fallback(kind: T.DataType) -> Semantic:
 def infer(df: DataFrame, *, threshold: float = THRESHOLD, sample: int = SAMPLE) -> dict[str, Semantic]:
     """Semantic type of each column: the first whose share of valid values exceeds ``threshold``.
 
-    All checks of all columns are one aggregate over at most ``sample``
-    rows. Nulls count as invalid, so columns without values, and empty
+    Of the clock formats, the first that any value has is the column's, and
+    the others aren't tried. All checks of all columns are one aggregate over
+    the first ``sample`` rows. Nulls count as invalid, so columns without values, and empty
     tables, are free text (or the number or boolean they hold).
     """
     rows = df.limit(sample)
@@ -93,7 +94,9 @@ def infer(df: DataFrame, *, threshold: float = THRESHOLD, sample: int = SAMPLE)
     shares = rows.agg(*checks).first().asDict() if checks else {}
     out = {}
     for f in df.schema:
-        fits = (s for i, (s, _) in enumerate(plan[f.name]) if shares[f"{f.name}\0{i}"] > threshold)
+        found = [(s, shares[f"{f.name}\0{i}"]) for i, (s, _) in enumerate(plan[f.name])]
+        clock = next((s for s, share in found if s.type == "time" and share > 0), None)
+        fits = (s for s, share in found if share > threshold and (s.type != "time" or s == clock))
         out[f.name] = next(fits, _fallback(f.dataType))
         if out[f.name].name == "datetime":
             zones = rows.select(F.collect_set(F.regexp_extract(F.col(f"`{f.name}`"), r"( [A-Z]{3,4}|[+-]\d{2}:\d{2})$", 1))).first()[0]

@@ -9,7 +9,6 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalwatch.functions.tokenizer import tokenize_text
 from shoalwatch.operators import coordination, hashtags, ngrams, posts
 from shoalwatch.plans import automap, semantics
 from shoalwatch.plans.schema import Column, Interface, Output, Param, TimeBin, resolve_params
@@ -76,13 +75,19 @@ class Suite:
             raise ValueError(f"no column fits {missing}")
         return semantics.prepare(df, mapping, found)
 
-    def run(self, id: str, df: DataFrame, params: dict[str, Any] | None = None) -> dict[str, Tables]:
-        """A primary and its secondaries: tables by analysis and output."""
+    def run(self, id: str, df: DataFrame, params: dict[str, Any] | None = None, *, secondary_params: dict[str, dict[str, Any]] | None = None) -> dict[str, Tables]:
+        """A primary and its secondaries: tables by analysis and output.
+
+        ``secondary_params`` has the parameters of secondaries by their id.
+        """
+        given = secondary_params or {}
+        if unknown := given.keys() - {s.interface.id for s in self.secondaries(id)}:
+            raise ValueError(f"{sorted(unknown)} are no secondaries of {id}")
         primary = self.get(id)
         values = resolve_params(primary.interface, params or {})
         out = {id: _checked(primary, primary.run(df, values))}
         for secondary in self.secondaries(id):
-            own = resolve_params(secondary.interface, {})
+            own = resolve_params(secondary.interface, given.get(secondary.interface.id, {}))
             out[secondary.interface.id] = _checked(secondary, secondary.run(out, own))
         return out
 
@@ -126,8 +131,8 @@ DEFAULT_SUITE = Suite(
             lambda df, p: {"character_count": posts.character_count(df, fudge_factor=p["fudge_factor"])},
         ),
         Analysis(
-            Interface("long_messages", "Long messages", "1.0", outputs=(Output("long_messages", _columns("message_id", "character_count", "is_long")),)),
-            lambda out, p: {"long_messages": posts.long_message_report(out["character_count"]["character_count"])},
+            Interface("long_messages", "Long messages", "1.0", params=(Param("longer_than", 100, 0, 1_000_000),), outputs=(Output("long_messages", _columns("message_id", "character_count", "is_long")),)),
+            lambda out, p: {"long_messages": posts.long_message_report(out["character_count"]["character_count"], longer_than=p["longer_than"])},
             base="character_count",
         ),
         Analysis(
@@ -153,9 +158,11 @@ DEFAULT_SUITE = Suite(
         View("time_interval_frequencies", "temporal", lambda out, **k: posts.temporal_labels(out["temporal"]["interval_count"])),
         View("ngram_top", "ngrams", lambda out, **k: ngrams.top(out["ngram_stats"]["ngram_stats"], **k)),
         View("ngram_search", "ngrams", lambda out, **k: ngrams.search(out["ngram_stats"]["ngram_stats"], **k)),
+        View("ngram_posts", "ngrams", lambda out, chosen: ngrams.posts_of(out["ngram_stats"]["ngram_full"], chosen)),
         View("ngram_scatter", "ngrams", lambda out, **k: ngrams.scatter(out["ngram_stats"]["ngram_stats"], **k)),
         View("hashtag_gini", "hashtags", lambda out, **k: out["hashtags"]["hashtag_analysis"].select("timewindow_start", "gini", "gini_smooth")),
         View("hashtag_share", "hashtags", lambda out, **k: hashtags.share_with_users(_uses(out["hashtags"]["hashtag_analysis"]), **k)),
+        View("hashtag_posts", "hashtags", lambda out, posts, **k: hashtags.raw_posts(posts, text="message_text", **k)),
         View("hashtag_users", "hashtags", lambda out, **k: hashtags.tag_users(_uses(out["hashtags"]["hashtag_analysis"]), **k)),
     ],
 )
@@ -165,10 +172,3 @@ def _uses(analysis: DataFrame) -> DataFrame:
     """The fact table back from the aligned lists."""
     pairs = analysis.select(F.col("timewindow_start").cast("timestamp_ntz").alias("timewindow_start"), F.explode(F.arrays_zip("users", "hashtags")).alias("p"))
     return pairs.select("timewindow_start", F.col("p.users").alias("user_id"), F.col("p.hashtags").alias("hashtag"))
-
-
-class WordTokenizer:
-    """The plug-in protocol of tokenizers: ``tokenize(text) -> list of tokens``."""
-
-    def tokenize(self, text: str) -> list[str]:
-        return tokenize_text(text)

@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from shoalwatch.functions.tokenizer import tokenize, tokenize_ascii
 from shoalwatch.operators import coordination, hashtags, ngrams, posts
-from shoalwatch.plans import automap, semantics
+from shoalwatch.functions.numbering import numbered
+from shoalwatch.plans import automap, compare, semantics
 from shoalwatch.plans.schema import Column
-from shoalwatch.sources.sinks import human_columns, with_chunks
+from shoalwatch.session import scratch
+from shoalwatch.sources.csv import Dialect, read_csv
+from shoalwatch.sources.sinks import human_columns, with_chunks, write
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -329,6 +332,52 @@ def column_automap(spark, sf_dir):
     return spark.createDataFrame(list(automap.automap(found, wanted).items()), "input string, column_name string")
 
 
+# --- tables side by side ---
+
+
+@_query("""SELECT c_custkey AS key, CAST(c_acctbal AS DOUBLE) AS amount, CAST(NULL AS VARCHAR) AS part FROM customer UNION ALL SELECT o_orderkey, CAST(o_custkey AS DOUBLE), o_orderpriority FROM orders""")
+def stacked_tables(spark, sf_dir):
+    customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("amount"))
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("amount"), F.col("o_orderpriority").alias("part"))
+    return compare.stacked([customers, orders], fill=True)
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN 'o_orderkey' WHEN o_orderstatus = 'F' THEN 'o_totalprice' END AS differing FROM orders WHERE o_orderkey % 10 = 3 OR o_orderstatus = 'F'")
+def differing_orders(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    changed = orders.where("o_orderkey % 10 <> 3").withColumn("o_totalprice", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return compare.differing_rows(orders, changed, ["o_orderkey"]).withColumn("differing", F.array_join("differing", ","))
+
+
+@_query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+def nations_as_text(spark, sf_dir):
+    return compare.as_text(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@_query("SELECT row_number() OVER (ORDER BY total_reps DESC, n_words, words) AS place, words, total_reps FROM (SELECT unnest(string_split(role, ' ')) AS words, 1 AS n_words, count(*) AS total_reps FROM conversations GROUP BY 1)")
+def author_ranking(spark, sf_dir):
+    """Ranks in an order of several keys, so that the order itself is checked."""
+    roles = _table(spark, sf_dir, "conversations").select(F.explode(F.split("role", " ")).alias("words")).groupBy("words").agg(F.count(F.lit(1)).alias("total_reps"))
+    return numbered(roles, "place", F.desc("total_reps"), "words").withColumn("place", F.col("place") + 1)
+
+
+@_query("SELECT o_orderkey, CAST(o_orderdate AS DATE)::TIMESTAMP AS day, strftime(o_orderdate, '%H:%M:00') AS clock FROM orders")
+def semantic_dates_and_clocks(spark, sf_dir):
+    """Date strings are times at midnight; 12-hour clocks are times of day."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.date_format("o_orderdate", "hh:mm a").alias("clock"))
+    found = semantics.infer(orders)
+    return orders.select("o_orderkey", semantics.convert(F.col("day"), found["day"]).alias("day"), semantics.convert(F.col("clock"), found["clock"]).alias("clock"))
+
+
+@_query("SELECT doc_id, source, text FROM documents")
+def csv_round_trip(spark, sf_dir):
+    """Texts with line breaks and quotes, written as CSV and read back."""
+    folder = scratch(spark, "round-trip")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    write(docs, folder, "csv")
+    return read_csv(spark, f"{folder}.csv", Dialect(), schema=docs.schema)
+
+
 # --- export ---
 
 

@@ -23,6 +23,38 @@ def sheet_names(path: str) -> list[str]:
     return [s.get("name") for s in root.findall("m:sheets/m:sheet", _NS)]
 
 
+# fixed values: the built-in number formats that show dates or times, as first and last ids
+DATE_FORMATS = [(14, 22), (27, 36), (45, 47), (50, 58)]
+_QUIET = re.compile(r'"[^"]*"|\\.|_.|\*.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', re.IGNORECASE)
+
+
+def _date_styles(book: zipfile.ZipFile) -> tuple[set[int], set[int]]:
+    """Cell styles that show a number as a date or time, and those of times alone."""
+    if "xl/styles.xml" not in book.namelist():
+        return set(), set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    codes = {int(f.get("numFmtId")): _QUIET.sub("", f.get("formatCode", "")).lower() for f in root.findall("m:numFmts/m:numFmt", _NS)}
+    dates, times = set(), set()
+    for style, own in enumerate(root.findall("m:cellXfs/m:xf", _NS)):
+        id = int(own.get("numFmtId", 0))
+        code = codes.get(id)
+        if any(a <= id <= b for a, b in DATE_FORMATS) if code is None else re.search("[dmyhs]", code) and "general" not in code:
+            dates.add(style)
+            if 18 <= id <= 21 or 45 <= id <= 47 if code is None else not re.search("[dy]", code) and re.search("[hs]", code):
+                times.add(style)
+    return dates, times
+
+
+def _moment(number: float, time_alone: bool, from_1904: bool) -> dt.datetime | str:
+    """What a serial day number stands for; a time of day alone is its text."""
+    seconds = dt.timedelta(seconds=round(number * 86400, 3))
+    if time_alone and 0 <= number < 1:
+        return str((dt.datetime.min + seconds).time())
+    # the first system counts a 29 February 1900 that never was
+    start = dt.datetime(1904, 1, 1) if from_1904 else dt.datetime(1899, 12, 30 if number >= 60 else 31)
+    return start + seconds
+
+
 def _column(reference: str) -> int:
     n = 0
     for c in re.match("[A-Z]+", reference)[0]:
@@ -31,13 +63,20 @@ def _column(reference: str) -> int:
 
 
 def sheet_rows(path: str, sheet: str | None = None) -> Iterator[list]:
-    """Rows of a sheet (the only or first one by default); gaps are null."""
+    """Rows of a sheet (the only or first one by default); gaps are null.
+
+    Numbers in a format of dates are ``datetime``; 2958465 is the last day
+    of the year 9999.
+    """
     with zipfile.ZipFile(path) as book:
         root = ElementTree.fromstring(book.read("xl/workbook.xml"))
         sheets = {s.get("name"): s.get(_REL) for s in root.findall("m:sheets/m:sheet", _NS)}
         wanted = sheets[sheet] if sheet else next(iter(sheets.values()))
         links = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
         target = next(r.get("Target") for r in links if r.get("Id") == wanted).lstrip("/")
+        settings = root.find("m:workbookPr", _NS)
+        from_1904 = settings is not None and settings.get("date1904") in ("1", "true")
+        dates, times = _date_styles(book)
         shared: list[str] = []
         if "xl/sharedStrings.xml" in book.namelist():
             for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall("m:si", _NS):
@@ -50,7 +89,10 @@ def sheet_rows(path: str, sheet: str | None = None) -> Iterator[list]:
                 for cell in row.findall("m:c", _NS):
                     at = _column(cell.get("r")) if cell.get("r") else len(out)
                     out += [None] * (at - len(out))
-                    out.append(_value(cell, shared))
+                    value, style = _value(cell, shared), int(cell.get("s") or 0)
+                    if style in dates and isinstance(value, (int, float)) and not isinstance(value, bool) and 0 <= value < 2_958_466:
+                        value = _moment(value, style in times, from_1904)
+                    out.append(value)
                 row.clear()
                 yield out
 
@@ -65,7 +107,9 @@ def _value(cell, shared: list[str]):
         return shared[int(value.text)]
     if kind == "b":
         return value.text == "1"
-    if kind in ("str", "e", "d"):
+    if kind == "d":
+        return dt.datetime.fromisoformat(value.text).replace(tzinfo=None)
+    if kind in ("str", "e"):
         return value.text
     number = float(value.text)
     return int(number) if number.is_integer() else number
@@ -79,7 +123,7 @@ def _schema(path: str, sheet: str | None) -> T.StructType:
         for seen, value in zip(kinds, row):
             if value is not None:
                 seen.add(type(value))
-    spark = {frozenset([int]): T.LongType(), frozenset([float]): T.DoubleType(), frozenset([int, float]): T.DoubleType(), frozenset([bool]): T.BooleanType()}
+    spark = {frozenset([int]): T.LongType(), frozenset([float]): T.DoubleType(), frozenset([int, float]): T.DoubleType(), frozenset([bool]): T.BooleanType(), frozenset([dt.datetime]): T.TimestampNTZType()}
     return T.StructType([T.StructField(str(name or f"column_{i}"), spark.get(frozenset(seen), T.StringType())) for i, (name, seen) in enumerate(zip(header, kinds))])
 
 
@@ -104,6 +148,10 @@ def _cast(value, kind: T.DataType):
             return None
         if isinstance(kind, T.StringType):
             return str(value)
+        if isinstance(kind, T.TimestampNTZType):
+            return value if isinstance(value, dt.datetime) else None
+        if isinstance(value, dt.datetime):
+            return None
         if isinstance(kind, T.BooleanType):
             return value if isinstance(value, bool) else None
         return int(value) if isinstance(kind, T.LongType) else float(value)

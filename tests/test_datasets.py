@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import logging
 import warnings
+import zipfile
+from xml.sax.saxutils import escape
 
 import pytest
+from pyspark.sql import functions as F
 
-from shoalwatch.plans import automap, semantics
+from shoalwatch.plans import automap, compare, semantics
 from shoalwatch.plans.schema import Column, Interface, Param, TimeBin, resolve_params
 from shoalwatch.plans.suite import DEFAULT_SUITE, Analysis, Suite
 from shoalwatch.plans.workspace import JsonFormatter, Workspace
@@ -81,6 +85,68 @@ def test_excel(spark, tmp_path):
     assert sorted(back.collect()) == sorted(df.collect())
 
 
+def test_excel_dates(spark, tmp_path):
+    """Styled numbers are times, whatever gives the style; other numbers stay numbers."""
+    path = tmp_path / "d.xlsx"
+    excel.write_excel(spark.range(1), str(path))
+    main = excel._NS["m"]
+    formats = [(0, None), (22, None), (164, "yyyy-mm-dd"), (165, "[$-409]h:mm AM/PM;@"), (166, '0.0" days"'), (20, None), (167, "General")]
+    styles = f'<styleSheet xmlns="{main}"><numFmts>' + "".join(f'<numFmt numFmtId="{i}" formatCode="{escape(c, {chr(34): "&quot;"})}"/>' for i, c in formats if c) + "</numFmts><cellXfs>" + "".join(f'<xf numFmtId="{i}"/>' for i, _ in formats) + "</cellXfs></styleSheet>"
+    names = ["plain", "stamp", "day", "clock", "days", "time", "general", "iso"]
+    numbers = [["45000.25", "45000.25", "45000", "0.5", "2.5", "0.75", "7", None], ["1", "61", "59", "0.25", "3.5", "0", "8", None]]
+    row = lambda r: "".join(f'<c s="{i}"><v>{v}</v></c>' for i, v in enumerate(r) if v) + '<c t="d"><v>2024-02-29T10:00:00</v></c>'
+    sheet = f'<worksheet xmlns="{main}"><sheetData><row>' + "".join(f'<c t="inlineStr"><is><t>{n}</t></is></c>' for n in names) + "</row>" + "".join(f"<row>{row(r)}</row>" for r in numbers) + "</sheetData></worksheet>"
+    with zipfile.ZipFile(path) as old:
+        parts = {n: old.read(n) for n in old.namelist()} | {"xl/styles.xml": styles.encode(), "xl/worksheets/sheet1.xml": sheet.encode()}
+    for base, shift in ((False, 0), (True, 1462)):
+        book = parts["xl/workbook.xml"].replace(b"<sheets>", b'<workbookPr date1904="1"/><sheets>' if base else b"<sheets>")
+        with zipfile.ZipFile(path, "w") as new:
+            for n, data in (parts | {"xl/workbook.xml": book}).items():
+                new.writestr(n, data)
+        out = registry.load(spark, str(path))
+        kinds = dict(out.dtypes)
+        assert {n for n in names if kinds[n] == "timestamp_ntz"} == {"stamp", "day", "iso"}
+        assert (kinds["plain"], kinds["days"], kinds["general"], kinds["clock"], kinds["time"]) == ("double", "double", "bigint", "string", "string")
+        a, b = out.collect()
+        days = dt.timedelta(days=shift)
+        assert (a["stamp"], a["day"], a["iso"]) == (dt.datetime(2023, 3, 15, 6) + days, dt.datetime(2023, 3, 15) + days, dt.datetime(2024, 2, 29, 10))
+        assert (a["clock"], a["time"], b["clock"], b["time"]) == ("12:00:00", "18:00:00", "06:00:00", "00:00:00")
+        if not base:
+            assert (b["stamp"], b["day"]) == (dt.datetime(1900, 3, 1), dt.datetime(1900, 2, 28))
+
+
+def test_tables_side_by_side(spark):
+    a = spark.createDataFrame([(1, "x", 1.0), (2, None, 2.0), (3, "z", 3.0), (None, "n", 0.0)], "k int, t string, x double")
+    b = spark.createDataFrame([(1, "x", 1.5), (2, None, 2.0), (4, "z", 3.0), (None, "m", 1.0)], "k int, t string, x double")
+    found = {r["k"]: r["differing"] for r in compare.differing_rows(a, b, ["k"]).collect()}
+    assert found == {1: ["x"], 3: ["k"], 4: ["k"], None: ["t", "x"]}
+    assert compare.differing_rows(a, a, ["k"]).count() == 0
+    with pytest.raises(ValueError, match="columns differ"):
+        compare.differing_rows(a, b.drop("t"), ["k"])
+    both = compare.stacked([a.select("k"), b.select(F.col("k").cast("double").alias("k")), a.select("k", "t")], fill=True)
+    assert dict(both.dtypes) == {"k": "double", "t": "string"} and both.count() == 12
+    shown = compare.as_text(a.withColumn("s", F.struct("k")).withColumn("l", F.array("t")))
+    assert {kind for _, kind in shown.dtypes} == {"string"}
+    assert shown.where("k = 1").first()["s"] == '{"k":1}'
+    batches = list(compare.record_batches(spark.range(250).withColumn("l", F.array("id")), 100))
+    assert [len(x) for x in batches] == [100, 100, 50] and batches[0].schema.names == ["id", "l"]
+    assert list(compare.record_batches(a.where("false"))) == []
+
+
+def test_the_first_clock_format_that_fits_is_taken(spark):
+    mixed = spark.createDataFrame([("10:20:30",)] + [(f"0{i}:15 pm",) for i in range(1, 9)], "c string")
+    assert semantics.infer(mixed)["c"].type != "time"  # HH:mm:ss is the format, and doesn't hold for enough values
+    assert semantics.infer(mixed.where("c like '%pm'"))["c"].name == "time:hh:mm a"
+
+
+def test_parameters_of_secondaries_and_views(spark):
+    posts = spark.createDataFrame([("m1", "short"), ("m2", "a bit longer")], "message_id string, message_text string")
+    out = DEFAULT_SUITE.run("character_count", posts, secondary_params={"long_messages": {"longer_than": 6}})
+    assert {r["message_id"]: r["is_long"] for r in out["long_messages"]["long_messages"].collect()} == {"m1": False, "m2": True}
+    with pytest.raises(ValueError, match="no secondaries"):
+        DEFAULT_SUITE.run("character_count", posts, secondary_params={"ngram_stats": {}})
+
+
 def test_exports(spark, tmp_path):
     df = spark.range(250).withColumnRenamed("id", "n")
     assert sinks.export_name("a", "a") == "a" and sinks.export_name("a", "b") == "b__a"
@@ -161,7 +227,9 @@ def test_suite_and_workspace(spark, tmp_path):
         assert work.load_table(spark, id, *output).count() > 0
         loaded = {a: {o: work.load_table(spark, id, a, o) for o in outs} for a, outs in _outputs(analysis).items()}
         for view in DEFAULT_SUITE.views_of(analysis):
-            more = {"hashtag_share": {"window": "2024-01-01 00:00:00"}, "hashtag_users": {"hashtag": "#sale0"}}.get(view.id, {})
+            chosen = loaded["ngrams"]["ngrams"] if analysis == "ngrams" else None
+            mapped = DEFAULT_SUITE.map_columns(analysis, table)
+            more = {"ngram_posts": {"chosen": chosen}, "hashtag_posts": {"posts": mapped, "user_id": mapped.first()["user_id"] if analysis == "hashtags" else None, "hashtag": "#", "start": "1900-01-01 00:00:00", "end": "2100-01-01 00:00:00", "ts": "timestamp"}, "hashtag_share": {"window": "2024-01-01 00:00:00"}, "hashtag_users": {"hashtag": "#sale0"}}.get(view.id, {})
             assert view.run(loaded, **more).count() > 0
     assert len(work.analyses(first)) == 5
     with pytest.raises(ValueError, match="hashtag"):
