@@ -1,11 +1,14 @@
 """Embedding near-dedup by inverted lists and product quantisation.
 
 Unit vectors are indexed by their nearest coarse centroid and by codes of
-the residual's subspaces. A query probes every list that can hold a vector
-within the distance of the similarity; asymmetric table look-ups give
-distances to the codes, and all that the codes' own errors don't rule out
-are compared exactly, in double precision. Both bounds are the triangle
-inequality's, so no link is lost.
+the residual's subspaces. A query probes its nearest lists, as many as pairs
+right at the similarity need by a measurement on the fitted index, and of
+these the ones that can hold a vector within the distance at all. Asymmetric
+table look-ups give distances to the codes, and all that the codes' own
+errors don't rule out are compared exactly, in double precision. The bounds
+on distances are the triangle inequality's and lose no link; the number of
+probes leaves a pair of the lowest similarity out with a chance of about
+1 / ``TRIALS``, and closer ones with less.
 """
 
 from __future__ import annotations
@@ -23,9 +26,11 @@ from shoalwatch.llm.components import components
 from shoalwatch.llm.minhash import _forest
 
 #: Centroids and codes are fitted on at most this many distinct vectors.
-SAMPLE = 8192
-#: Lists: one for each so many sampled vectors, up to the bound.
-PER_LIST, MOST_LISTS = 64, 256
+SAMPLE = 16384
+#: Lists: one for each so many distinct vectors, up to the bound.
+PER_LIST, MOST_LISTS = 256, 1024
+#: Pairs at the lowest similarity on which the number of probes is measured.
+TRIALS = 4096
 SUBSPACES, CODES = 8, 32
 #: Vectors and queries of one comparison cell.
 BLOCK = 1024
@@ -39,6 +44,8 @@ class Index:
     centroids: np.ndarray
     #: subspaces x codes x width; the last subspace is padded with zeros
     codebooks: np.ndarray
+    #: nearest lists that a query looks at
+    probes: int
 
     @property
     def width(self) -> int:
@@ -56,11 +63,16 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :])
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest row of c for each row of x, some rows at a time."""
+    return np.concatenate([_distances(x[i : i + BLOCK], c).argmin(1) for i in range(0, len(x), BLOCK)])
+
+
 def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
     rng = np.random.default_rng(_SEED)
     c = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(_ROUNDS):
-        near = _distances(x, c).argmin(1)
+        near = _nearest(x, c)
         n = np.bincount(near, minlength=k)
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
@@ -68,19 +80,36 @@ def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def _probes(x: np.ndarray, centroids: np.ndarray, cosine: float) -> int:
+    """Nearest lists among which the partners of ``TRIALS`` made pairs of the cosine all are."""
+    rng = np.random.default_rng(_SEED)
+    most = 0
+    for _ in range(0, TRIALS, BLOCK):
+        one = x[rng.integers(len(x), size=BLOCK)]
+        away = rng.normal(size=one.shape)
+        away -= (away * one).sum(1, keepdims=True) * one
+        length = np.linalg.norm(away, axis=1, keepdims=True)
+        other = cosine * one + np.sqrt(max(0.0, 1 - cosine**2)) * np.divide(away, length, where=length > 0, out=np.zeros_like(away))
+        far = _distances(one, centroids)
+        home = _distances(other, centroids).argmin(1)
+        most = max(most, int((far < far[np.arange(BLOCK), home][:, None]).sum(1).max()))
+    return most + 1
+
+
 def _unit(arr: pa.Array) -> np.ndarray:
     x = np.asarray(arr.flatten()).astype(np.float64).reshape(len(arr), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(vectors: DataFrame, *, sample: int = SAMPLE) -> Index:
+def fit(vectors: DataFrame, *, cosine: float, sample: int = SAMPLE) -> Index:
     """Fit on the ``sample`` vectors with the smallest hashes; there is one at least."""
+    n = vectors.count()
     rows = vectors.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample).toArrow()
     x = _unit(rows.column(0).combine_chunks())
-    c = _kmeans(x, max(1, min(MOST_LISTS, len(x) // PER_LIST)))
-    residual = x - c[_distances(x, c).argmin(1)]
+    c = _kmeans(x, max(1, min(MOST_LISTS, n // PER_LIST, len(x))))
+    residual = x - c[_nearest(x, c)]
     width = -(-x.shape[1] // SUBSPACES)
-    index = Index(c, np.zeros((SUBSPACES, min(CODES, len(x)), width)))
+    index = Index(c, np.zeros((SUBSPACES, min(CODES, len(x)), width)), _probes(x, c, cosine))
     parts = index.split(residual)
     index.codebooks = np.stack([_kmeans(np.ascontiguousarray(parts[:, m]), min(CODES, len(x))) for m in range(SUBSPACES)])
     return index
@@ -104,7 +133,9 @@ def _place(index: Index, reach: float):
             # the nearest a vector can come to the border of another list's cell
             with np.errstate(divide="ignore", invalid="ignore"):
                 border = (d - d[np.arange(len(x)), near][:, None]) / (2 * gaps[near])
-            probed = ~(border > reach) & (np.arange(len(gaps))[None, :] > near[:, None])
+            # a pair of lists is looked at from the one of the smaller number
+            closest = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1) < index.probes
+            probed = closest & ~(border > reach) & (np.arange(len(gaps))[None, :] > near[:, None])
             probes = [[int(n), *np.flatnonzero(p).tolist()] for n, p in zip(near, probed)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(near, pa.int32()), pa.array([bytes(r) for r in codes.astype(np.uint8)], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int32()))],
@@ -194,7 +225,7 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
 
 def _links(classes: DataFrame, dim: int, cosine: float, sample: int, scratch: Scratch) -> DataFrame:
     """``a, n`` (classes and the links of each) and ``a, b`` (a spanning forest) of one dimension."""
-    index = fit(classes, sample=sample)
+    index = fit(classes, cosine=cosine, sample=sample)
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + _SLACK
     placed = scratch(classes.mapInArrow(_place(index, reach), "rep long, m long, embedding array<double>, list int, code binary, error double, probes array<int>"), "placed")
     block = max(16, min(BLOCK, CELL_NUMBERS // dim))

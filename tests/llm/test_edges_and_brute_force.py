@@ -208,7 +208,25 @@ def test_clashing_names_pass_through(spark, apply):
 # --- 3 ---
 
 
-def test_vectors(spark):
+def test_probes_reach_pairs_of_the_lowest_similarity():
+    """Random directions, the hardest for lists; 60 lists and pairs right at the similarity."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for cosine in (0.9, 0.8):
+        c = vectors._kmeans(x, 60)
+        probes = vectors._probes(x, c, cosine)
+        away = rng.normal(size=x.shape)
+        away -= (away * x).sum(1, keepdims=True) * x
+        y = cosine * x + np.sqrt(1 - cosine**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+        far, home = vectors._distances(x, c), vectors._nearest(y, c)
+        rank = (far < far[np.arange(len(x)), home][:, None]).sum(1)
+        assert (rank < probes).mean() >= 0.998
+
+
+@pytest.mark.parametrize("per_list", [vectors.PER_LIST, 8])
+def test_vectors(spark, monkeypatch, per_list):
+    monkeypatch.setattr(vectors, "PER_LIST", per_list)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 16))
     rows = [base[i % 60] + rng.normal(size=16) * 0.1 * (i % 4) for i in range(400)] + [base[0]] * 30 + [base[1] * 7]
