@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shoalwatch.llm.license_texts import TEXTS
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words in a rolling hash of phrases, and of notices.
@@ -23,18 +26,19 @@ PHRASES = [
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 ]
-#: Notices found by alignment: opening words of well-known public licenses.
+#: Found by alignment: short notices, and whole texts.
 NOTICES = [
     ("this work is licensed under the gnu general public license version 3", "gpl"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
     ("licensed under the apache license version 2 0", "apache"),
     ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache"),
     ("released under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license", "mpl"),
+    *((text, label) for label, text in TEXTS),
 ]
 
 
@@ -49,10 +53,14 @@ class Template:
         return len(self.words) - self.k + 1
 
 
+def words_of(text: str) -> tuple[str, ...]:
+    return tuple(re.findall(WORD, text.translate(str.maketrans(_UPPER, _LOWER))))
+
+
 def templates(phrases=PHRASES, notices=NOTICES) -> list[Template]:
     """Phrases and notices; each needs as many words as its rolling hash."""
-    made = [Template(tuple(p.split()), label, PHRASE_K) for p, label in phrases]
-    made += [Template(tuple(p.split()), label, NOTICE_K) for p, label in notices]
+    made = [Template(words_of(p), label, PHRASE_K) for p, label in phrases]
+    made += [Template(words_of(p), label, NOTICE_K) for p, label in notices]
     if any(t.grams < 1 for t in made):
         raise ValueError("a phrase or notice has fewer words than its rolling hash")
     return made
