@@ -147,6 +147,21 @@ def join_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def rolling_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Karp-Rabin hashes of all runs of k consecutive words, by their first word.
+
+    Each follows from the one before: a polynomial over the words' hashes,
+    from running sums.
+    """
+    n = len(hashes) - k + 1
+    if n < 1:
+        return np.empty(0, U)
+    power, inverse = _powers(max(RUN_BYTES * 2, 1 << len(hashes).bit_length()))
+    sums = np.zeros(len(hashes) + 1, U)
+    np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
+    return mix((sums[k:] - sums[:n]) * inverse[:n])
+
+
 def shingle_sets(w: Words, k: int) -> Iterator[np.ndarray]:
     """For each text its sorted distinct k-word shingles.
 

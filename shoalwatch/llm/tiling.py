@@ -44,7 +44,7 @@ def index_tests(ids: list, texts: list[str], match: int = MATCH) -> Tests:
     words = []
     for _, w in textkit.words(pa.array(texts, pa.string()), textkit.ALNUM):
         words += [w.hashes[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
-    grams = [textkit.join_hashes(w, match) for w in words]
+    grams = [textkit.rolling_hashes(w, match) for w in words]
     seeds = np.concatenate(grams) if grams else np.empty(0, np.uint64)
     item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
     place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
@@ -128,8 +128,8 @@ def contaminated(
     (of the text, from 0). Words are runs of ASCII letters, digits and bytes
     that are not ASCII, A-Z lower-cased.
 
-    Seeds are rolling hashes of ``match`` words, which a document shares with
-    the block of tests that its task holds; runs of seeds are the matches
+    Seeds are running Karp-Rabin hashes of ``match`` words, joined with the sorted
+    ones of the block of tests that the task holds and confirmed word by word; runs of seeds are the matches
     that greedy tiling marks, longest first, so reordered passages count.
     Items with fewer words than ``match`` count where they are the whole text
     or a whole line, as they also stand in unrelated prose. Items with a null
@@ -161,7 +161,7 @@ def _searcher(shared, match: int, coverage: float, passage: int):
         for batch in batches:
             out: list[tuple] = []
             for at, w in textkit.words(batch.column(1), textkit.ALNUM):
-                grams = textkit.join_hashes(w.hashes, match)
+                grams = textkit.rolling_hashes(w.hashes, match)
                 if not len(grams) or not len(tests.seeds):
                     continue
                 spot = np.minimum(np.searchsorted(tests.seeds, grams), len(tests.seeds) - 1)
