@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,6 +119,8 @@ class UrlModel:
     suffixes: DataFrame | None
     prior: float
     margin: Column
+    #: the fitted trees that ``margin`` spells out
+    trees: GBTClassificationModel | None = None
 
 
 def train(labelled: DataFrame, url: str = "url", label: str = "label", *, sample: int = SAMPLE) -> UrlModel:
@@ -152,7 +154,7 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", *, sample
         margin = margin + _tree_column(tree.toDebugString.splitlines()[1:]) * float(weight)
     ready.unpersist()
     picked.unpersist()
-    return UrlModel(suffixes, prior, margin)
+    return UrlModel(suffixes, prior, margin, model)
 
 
 def judge(df: DataFrame, rules: list[Rule], url: str = "url", *, sample: int = SAMPLE) -> DataFrame:

@@ -12,9 +12,10 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from shoalwatch.llm import bpe, langid, licenses, lines, minhash, queries, suffixes, tiling, token_counts, urls, vectors
+from shoalwatch.llm import bpe, langid, licenses, lines, minhash, queries, suffixes, textkit, tiling, token_counts, urls, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators might use inside.
@@ -82,7 +83,7 @@ def test_urls(spark):
         fits = [x for x in queries.RULES if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
         best = max(fits, key=lambda x: len(x.pattern), default=None)
         assert (r["host"], r["path"], r["rule"]) == (host, path, best and best.pattern)
-        assert r["verdict"] == best.verdict if best else r["verdict"] in ("allow", "block")
+        assert r["verdict"] == (best.verdict if best else "block" if r["block_margin"] > 0 else "allow")
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), queries.RULES).count() == 0
     only = urls.judge(spark.createDataFrame([(1, "http://a.zz/")], "page_id long, url string"), queries.RULES).first()
     assert only["verdict"] == "allow"
@@ -94,6 +95,10 @@ def test_urls_held_out(spark):
     scored = urls.with_features(spark.createDataFrame(rows[200:], "url string, label int"), "url", model.suffixes, model.prior)
     right = scored.agg(F.avg(((model.margin > 0).cast("int") == F.col("label")).cast("int"))).first()[0]
     assert right > 0.95
+    # the expression is the fitted trees' own answer
+    features = VectorAssembler(inputCols=urls.FEATURES, outputCol="features").transform(scored.withColumn("margin", model.margin))
+    for r in model.trees.transform(features).collect():
+        assert r["margin"] == pytest.approx(r["rawPrediction"][1]) and (r["margin"] > 0) == (r["prediction"] == 1)
 
 
 @pytest.mark.parametrize("most", [0, urls.BROADCAST_BYTES])
@@ -329,6 +334,24 @@ def test_tiling_null_ids_short_items_and_passages(spark):
     assert sorted(r["doc_id"] for r in tiling.without_contaminated(docs, bench).collect()) == [2, 3, 6, 8, 9]
 
 
+def test_tiling_of_long_texts(spark):
+    rng = random.Random(13)
+    item, other = prose(40, rng), "la " * 60
+    texts = [prose(60_000, rng) + " " + item + " " + prose(60_000, rng), prose(120_000, rng), "x" * 2_000_000 + " " + item, "la " * 20_000]
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    out = tiling.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_matched"]) for r in out) == [(0, 1, 40), (2, 1, 40), (3, 2, 60)]
+
+
+def test_rolling_hashes_tell_runs_apart():
+    rng = np.random.default_rng(7)
+    words = rng.integers(0, 4, size=3000).astype(np.uint64)
+    got = textkit.rolling_hashes(textkit.mix(words), 5)
+    runs = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    assert len(got) == len(runs) and len(set(zip(runs, got.tolist()))) == len(set(runs)) == len(set(got.tolist()))
+    assert len(textkit.rolling_hashes(textkit.mix(words[:4]), 5)) == 0
+
+
 def brute_tiles(text, test, match):
     """Plain greedy string tiling over words."""
     free_text, free_test, tiles = [True] * len(text), [True] * len(test), []
@@ -514,9 +537,66 @@ def test_notices_are_verified(spark):
         assert out[i]["score"] == pytest.approx(share if share >= licenses.LEAST else 0)
 
 
+def test_whole_licence_texts(spark):
+    rng = random.Random(12)
+    texts = [t for _, t in licenses.TEXTS]
+    changed = [" ".join(w for i, w in enumerate(t.split()) if i % 9) for t in texts]  # one word in nine is missing
+    around = [f"{prose(30, rng)} {t} {prose(30, rng)}" for t in texts]
+    rows = list(enumerate(texts + changed + around + [prose(300, rng), texts[1].split(". ")[2]]))
+    out = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(texts)
+    for i, (label, text) in enumerate(licenses.TEXTS):
+        for r in (out[i], out[n + i], out[2 * n + i]):
+            assert label in r["labels"].split(",")
+        assert out[i]["score"] == out[2 * n + i]["score"] == 1
+        whole = max((s["last_word"] - s["first_word"] + 1, s["first_word"]) for s in out[2 * n + i]["spans"] if s["label"] == label)
+        assert abs(whole[0] - len(licenses.words_of(text))) <= 2 * licenses.NEAR and abs(whole[1] - 30) <= licenses.NEAR
+    assert out[3 * n]["labels"] == out[3 * n + 1]["labels"] == ""  # a sentence of a text is not the text
+
+
 # --- 8 ---
 
 
+def test_mixtures_against_plain_em():
+    """Every set of languages, each by plain EM run to the end."""
+    rng = np.random.default_rng(6)
+    table = rng.dirichlet(np.full(langid.BUCKETS, 0.02), size=3) + 1e-6
+    logp = np.log(table / table.sum(axis=1, keepdims=True))
+    model = langid.LanguageModel(["aa", "bb", "cc"], logp)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäöüéñ "))
+    for k in range(40):
+        text = "".join(rng.choice(letters, size=int(rng.integers(3, 400))))
+        if not langid.has_letter(text):
+            continue
+        values, counts = np.unique(langid.ngram_buckets(text), return_counts=True)
+        best = None
+        for chosen in ([0], [1], [2], [0, 1], [0, 2], [1, 2], [0, 1, 2]):
+            p, w = np.exp(logp[chosen][:, values]), np.full(len(chosen), 1 / len(chosen))
+            for _ in range(3000):
+                w = w * (p @ (counts / (w @ p))) / counts.sum()
+            score = counts @ np.log(w @ p) - len(chosen) * 0.5 * np.log(counts.sum())
+            if best is None or score > best[0]:
+                best = score, dict(zip((model.languages[c] for c in chosen), w))
+        lang, share, shares = model.mixture(text)
+        own = counts @ np.log(sum(w * np.exp(logp[model.languages.index(name)][values]) for name, w in shares.items())) - len(shares) * 0.5 * np.log(counts.sum())
+        assert own == pytest.approx(best[0], abs=max(0.05, 1e-4 * abs(best[0])))
+        if set(shares) == set(best[1]):
+            assert all(abs(shares[n] - w) < 0.03 for n, w in best[1].items())
+            assert share == pytest.approx(max(best[1].values()), abs=0.03) and (best[1][lang] > max(best[1].values()) - 0.05)
+
+
+def test_language_of_long_and_repeated_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs)
+    long = " ".join(r["text"] for r in docs.where("lang = 'de'").limit(60).collect()) * 8
+    rows = [(0, long), (0, long), (1, "x" * 300_000), (2, "é " * 100_000)]
+    told = langid.with_language(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert len(long) > 200_000 and [r["lang_pred"] for r in told if r["doc_id"] == 0] == ["de", "de"]
+    assert len({(r["score"], str(r["lang_mix"])) for r in told if r["doc_id"] == 0}) == 1 and len(told) == 4
+
+
+
+
 def test_language(spark, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = queries.op8_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
