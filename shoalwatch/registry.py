@@ -17,7 +17,7 @@ from shoalwatch.operators import coordination, hashtags, ngrams, posts
 from shoalwatch.functions.numbering import numbered
 from shoalwatch.plans import automap, compare, semantics
 from shoalwatch.plans.schema import Column
-from shoalwatch.session import scratch
+from shoalwatch.session import scratch, spread
 from shoalwatch.sources.csv import Dialect, read_csv
 from shoalwatch.sources.sinks import human_columns, with_chunks, write
 
@@ -262,7 +262,7 @@ def ngram_posts(spark, sf_dir):
 
 @_query()
 def tokenize_documents(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", tokenize("text").alias("tokens"))
+    docs = spread(_table(spark, sf_dir, "documents")).select("doc_id", tokenize("text").alias("tokens"))
     return docs.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 

@@ -54,3 +54,13 @@ def written(df: DataFrame, tag: str, *by: str) -> DataFrame:
     folder = scratch(df.sparkSession, tag)
     df.write.partitionBy(*by).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the table has fewer files than there are cores.
+
+    A small table is often one file of one row group, which one task would
+    read and work on alone. Tables of more files pass as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
