@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalwatch.llm import bpe, langid, licenses, lines, minhash, suffixes, tiling, token_counts, urls, vectors
+from shoalwatch.session import spread
 
 RULES = [
     urls.Rule("com/en/", "block"),
@@ -19,7 +20,7 @@ RULES = [
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
