@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shoalwatch.llm import bpe, langid, lines, minhash, tiling
 from shoalwatch.llm.common import materialize
+from shoalwatch.session import spread
 
 #: A document stays if its strongest language has this proportion at least.
 DOMINANT = 0.3
@@ -68,7 +69,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
