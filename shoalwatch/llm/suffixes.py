@@ -34,7 +34,7 @@ BLOCK_BYTES = 1 << 20
 SPAN = 256
 #: Window starts that are hashed at once.
 SEGMENT = 1 << 20
-#: Buckets with more different spans are split by hashes of whole windows.
+#: Buckets of more different spans are refined over the cluster, not in one task.
 HOT = 4096
 #: Bytes that are sorted at once.
 SORT_BYTES = 1 << 20
@@ -79,7 +79,6 @@ def spans(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int =
     same span). No window crosses a document's end.
     """
     out: dict[str, list] = {k: [] for k in ("key", "h1", "h2", "n", "place", "again")}
-    stop = np.repeat(ends, np.diff(ends, prepend=0))
     width = length - gram + 1
     for lo in range(0, len(data), SEGMENT):
         part = data[lo : lo + SEGMENT + length - 1]
@@ -89,7 +88,8 @@ def spans(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int =
         first = _Sums(part, 0)
         h = first.hashes(slice(0, len(part) - gram + 1), slice(gram, len(part) + 1))
         v = _least(h, width)
-        fits = stop[lo : lo + windows] - np.arange(lo, lo + windows) >= length
+        here = np.arange(lo, lo + windows)
+        fits = ends[np.searchsorted(ends, here, "right")] - here >= length
         if not fits.any():
             continue
         edge = np.ones(windows, bool)
@@ -122,6 +122,21 @@ def spans(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int =
     return {k: np.concatenate(x) if x else np.empty(0, kinds[k]) for k, x in out.items()}
 
 
+def pointers(part: np.ndarray, which: int, length: int, gram: int) -> np.ndarray:
+    """For each window of ``part`` its q-gram identifiers at later and later offsets, as one number.
+
+    The identifiers are hashes, which all tasks agree on; the last q-gram
+    ends with the window. So equal numbers in both ``which`` are equal windows.
+    """
+    n = len(part) - length + 1
+    sums = _Sums(part, which)
+    grams = sums.hashes(slice(0, len(part) - gram + 1), slice(gram, len(part) + 1))
+    out = grams[:n]
+    for offset in [*range(gram, length - gram, gram), length - gram]:
+        out = mix(out * U(_BASES[1 - which]) + grams[offset : offset + n])
+    return out
+
+
 def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which windows at ``starts`` equal another of them.
 
@@ -290,8 +305,8 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told(held.combine_chunks(), True)
 
 
-def _cut(length: int):
-    """Bytes of open spans; for hot buckets each window by its own hashes."""
+def _cut(length: int, gram: int):
+    """Bytes of open spans; for hot buckets each window by its q-gram identifiers."""
     names = ["hot", "key", "h1", "h2", "n", "again", "block", "places", "need", "bytes"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +318,7 @@ def _cut(length: int):
                 for i in np.flatnonzero(np.asarray(hot)).tolist():
                     at, size = place[i].as_py(), n[i].as_py()
                     part = data[at : at + size + length - 1]
-                    h1, h2 = (_Sums(part, w).hashes(slice(0, size), slice(length, len(part) + 1)) for w in (0, 1))
+                    h1, h2 = (pointers(part, w, length, gram) for w in (0, 1))
                     f = _fold(h1, h1, h2, np.ones(size, np.int64), np.zeros(size, bool), np.arange(at, at + size), block)
                     yield pa.RecordBatch.from_arrays([pa.array([True] * len(f)), *f.columns, pa.array([need[i].as_py()] * len(f)), pa.nulls(len(f), pa.binary())], names=names)
                 cold = pa.array(~np.asarray(hot))
@@ -364,7 +379,8 @@ def _finish(length: int, keep_bytes: bool):
                     at = np.array(part["places"])
                     np.add.at(steps, at, 1)
                     np.add.at(steps, at + part["n"] + length - 1, -1)
-                removed = np.cumsum(steps[:-1]) > 0
+                removed = np.cumsum(steps[:-1], dtype=np.int32, out=steps[:-1]) > 0
+                del steps
                 rows, lo = [], 0
                 for doc_id, size in zip(ids.as_py(), sizes.as_py()):
                     mine, text = removed[lo : lo + size], data[lo : lo + size]
@@ -387,8 +403,10 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     unless ``keep_bytes``). Every row is a document, so repeated rows match
     each other; a null doc_id is returned as null; texts shorter than
     ``length`` keep all bytes; an empty table gives an empty result. Buckets
-    that hold more than ``HOT`` different spans are split by 128-bit hashes
-    of their windows, which is as exact as the hashes of equal spans.
+    that hold more than ``HOT`` different spans are refined by a sort over
+    the cluster, of their windows' q-gram identifiers at later offsets; these
+    are 128-bit hashes, as exact as the hashes of equal spans. A task holds
+    its largest text and some ten bytes for each byte of it.
     """
     if not 16 <= gram <= length:
         raise ValueError("gram must be from 16 to length")
@@ -405,7 +423,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     hot = opened.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT).select(F.col("key").alias("hot_key"))
     opened = opened.join(scratch(hot, "hot"), F.col("key") == F.col("hot_key"), "left").withColumn("hot", F.col("hot_key").isNotNull())
     asked = opened.groupBy("block").agg(F.collect_list(F.struct("key", "n", "place", "hot", "need")).alias("asked"))
-    parts = scratch(blocks.select("block", "data").join(asked, "block").select("block", "data", "asked").mapInArrow(_cut(length), _PARTS), "parts")
+    parts = scratch(blocks.select("block", "data").join(asked, "block").select("block", "data", "asked").mapInArrow(_cut(length, gram), _PARTS), "parts")
     cold = parts.where("not hot").select("key", "block", F.col("places")[0].alias("place"), "n", "bytes", "need")
     sorted_ = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_refined(length), _GONE)
     split = sifted(parts.where("hot").select("key", "h1", "h2", "n", "again", "block", "places"))
