@@ -64,7 +64,8 @@ def encode(text: str | None, ranks_path: str = RANKS) -> np.ndarray:
 
 def decode(ids: bytes | None, ranks_path: str = RANKS) -> bytes:
     """The raw bytes of packed ids; they need not be valid UTF-8."""
-    return encoding(ranks_path).decode_bytes(np.frombuffer(ids or b"", "<u4").tolist())
+    own, packed = encoding(ranks_path), np.frombuffer(ids or b"", "<u4")
+    return b"".join(own.decode_bytes(packed[i : i + PIECE_CHARS].tolist()) for i in range(0, len(packed), PIECE_CHARS))
 
 
 def with_token_ids(df: DataFrame, text: str = "text", out: str = "token_ids", *, ranks_path: str = RANKS, keep: list[str] | None = None) -> DataFrame:

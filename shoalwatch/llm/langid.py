@@ -21,6 +21,8 @@ from shoalwatch.llm.common import append_columns
 
 #: N-grams are hashed to this many buckets.
 BUCKETS = 1 << 15
+#: Characters of a text that are worked on at once.
+PIECE_CHARS = 1 << 20
 #: At most this many distinct labelled texts are learnt from, whole, chosen by hash.
 SAMPLE = 8000
 UNDETERMINED = "und"
@@ -44,17 +46,42 @@ def _codes(text: str) -> np.ndarray:
     return codes[keep]
 
 
-def ngram_buckets(text: str) -> np.ndarray:
-    """Hash buckets of the text's 2- and 3-grams, word borders included."""
-    if not text:
-        return np.empty(0, np.int64)
-    codes = np.concatenate(([np.uint64(_SPACE)], _codes(text), [np.uint64(_SPACE)]))
+def _hashed(codes: np.ndarray, known: int) -> np.ndarray:
+    """Buckets of the 2- and 3-grams of ``codes``, but not of those in the first ``known`` (0 to 2)."""
     two = codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
     three = (two[:-1] ^ np.uint64(0x165667B19E3779F9)) * np.uint64(0xD6E8FEB86659FD93) + codes[2:] * np.uint64(0xC2B2AE3D27D4EB4F)
-    both = np.concatenate((two, three))
+    both = np.concatenate((two[1:] if known == 2 else two, three))
     return ((both ^ (both >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(49)).astype(np.int64) % BUCKETS
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A long text in pieces, cut at spaces where there are any."""
+    at = 0
+    while len(text) - at > PIECE_CHARS:
+        end = text.rfind(" ", at + 1, at + PIECE_CHARS)
+        end = at + PIECE_CHARS if end < 0 else end
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def ngram_counts(text: str) -> np.ndarray:
+    """How often each bucket has one of the text's 2- and 3-grams, word borders included."""
+    total = np.zeros(BUCKETS, np.int64)
+    if not text:
+        return total
+    held = np.array([_SPACE], np.uint64)
+    first = True
+    for piece in _pieces(text):
+        codes = _codes(piece)
+        if not first and held[-1] == _SPACE and codes[0] == _SPACE:
+            codes = codes[1:]  # one run of non-letters
+        joined = np.concatenate((held, codes))
+        total += np.bincount(_hashed(joined, len(held)), minlength=BUCKETS)
+        held, first = joined[-2:], False
+    return total + np.bincount(_hashed(np.append(held, np.uint64(_SPACE)), len(held)), minlength=BUCKETS)
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
@@ -73,7 +100,7 @@ class LanguageModel:
         """
         if not self.languages or not has_letter(text):
             return UNDETERMINED, 0.0, {}
-        counts = np.bincount(ngram_buckets(text))
+        counts = ngram_counts(text)
         seen = np.flatnonzero(counts)
         c = counts[seen].astype(np.float64)
         logp = self.logp[:, seen]
@@ -139,7 +166,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", *, sample
         for batch in batches:
             for t, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 mine = totals.setdefault(language, np.zeros(BUCKETS, np.int64))
-                mine += np.bincount(ngram_buckets(t), minlength=BUCKETS)
+                mine += ngram_counts(t)
         for language, mine in totals.items():
             at = np.flatnonzero(mine)
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(at), pa.string()), pa.array(at), pa.array(mine[at])], names=["lang", "bucket", "n"])

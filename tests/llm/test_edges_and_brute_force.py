@@ -568,7 +568,9 @@ def test_mixtures_against_plain_em():
         text = "".join(rng.choice(letters, size=int(rng.integers(3, 400))))
         if not langid.has_letter(text):
             continue
-        values, counts = np.unique(langid.ngram_buckets(text), return_counts=True)
+        counts = langid.ngram_counts(text)
+        values = np.flatnonzero(counts)
+        counts = counts[values]
         best = None
         for chosen in ([0], [1], [2], [0, 1], [0, 2], [1, 2], [0, 1, 2]):
             p, w = np.exp(logp[chosen][:, values]), np.full(len(chosen), 1 / len(chosen))
@@ -585,6 +587,17 @@ def test_mixtures_against_plain_em():
             assert share == pytest.approx(max(best[1].values()), abs=0.03) and (best[1][lang] > max(best[1].values()) - 0.05)
 
 
+def test_ngrams_of_pieces_are_those_of_the_text(monkeypatch):
+    rng = random.Random(14)
+    texts = ["a", "  ", "ab  cd", "É é1 2", "x" * 50, "".join(rng.choice("ab É.\n ") for _ in range(500)), prose(200, rng)]
+    whole = [langid.ngram_counts(t) for t in texts]
+    spaced = " " + re.sub("[^a-z]+", " ", texts[-1]) + " "
+    assert whole[-1].sum() == 2 * len(spaced) - 3 and whole[0].sum() == 3
+    for size in (2, 3, 7, 40):
+        monkeypatch.setattr(langid, "PIECE_CHARS", size)
+        assert all((langid.ngram_counts(t) == w).all() for t, w in zip(texts, whole))
+
+
 def test_language_of_long_and_repeated_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = langid.train(docs)
@@ -652,6 +665,17 @@ def test_spans_across_segments(monkeypatch):
     assert (keys(whole) == keys(cut)).all() and len(keys(whole)) == len(data) - 49
 
 
+def test_pointers_tell_windows_apart():
+    rng = np.random.default_rng(9)
+    for length, gram in ((200, 64), (130, 64), (128, 64), (64, 64), (40, 16)):
+        part = rng.integers(97, 99, size=40).astype(np.uint8)
+        data = np.tile(part, 30)
+        data[rng.integers(len(data), size=6)] = 120
+        windows = [data[i : i + length].tobytes() for i in range(len(data) - length + 1)]
+        found = list(zip(*(suffixes.pointers(data, w, length, gram).tolist() for w in (0, 1))))
+        assert len(found) == len(windows) and len(set(zip(windows, found))) == len(set(windows)) == len(set(found))
+
+
 def test_refinement_finds_equal_windows():
     rng = np.random.default_rng(0)
     for alphabet in (1, 2, 3, 200):
