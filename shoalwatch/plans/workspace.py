@@ -7,13 +7,18 @@ import fcntl
 import json
 import logging
 import re
-import shutil
 import time
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shoalwatch.session import remove
+from shoalwatch.sources.sinks import ExportPolicy
+
+#: Rows above which a table is exported in chunks, and the chunk if none is remembered.
+LARGE, CHUNK = 50_000, 50_000
+
 
 class JsonFormatter(logging.Formatter):
     """One JSON object per log record."""
@@ -30,11 +35,17 @@ def slug(name: str) -> str:
 
 
 class Workspace:
-    """A folder of projects; every change holds a lock across processes."""
+    """A folder of projects; every change holds a lock across processes.
+
+    Names, parameters and settings lie in ``root`` on the driver. Tables lie
+    in ``tables``, a folder or address that driver and executors share; on
+    one machine that can be ``root`` itself.
+    """
 
-    def __init__(self, root: str | Path):
+    def __init__(self, root: str | Path, tables: str | None = None):
         self.root = Path(root)
         self.root.mkdir(parents=True, exist_ok=True)
+        self.tables = (tables or str(self.root)).rstrip("/")
 
     @contextlib.contextmanager
     def _state(self):
@@ -58,7 +69,7 @@ class Workspace:
         with self._state() as state:
             id = self._unique(state["projects"], name)
             state["projects"][id] = {"name": name, "created": time.time()}
-        df.write.parquet(str(self.root / id / "input.parquet"))
+        df.write.parquet(f"{self.tables}/{id}/input.parquet")
         return id
 
     def projects(self) -> list[dict[str, Any]]:
@@ -73,10 +84,10 @@ class Workspace:
         with self._state() as state:
             del state["projects"][id]
             state["analyses"] = {k: v for k, v in state["analyses"].items() if v["project"] != id}
-        shutil.rmtree(self.root / id, ignore_errors=True)
+        remove(SparkSession.active(), f"{self.tables}/{id}")
 
     def project_table(self, spark: SparkSession, id: str, n_rows: int | None = None) -> DataFrame:
-        df = spark.read.parquet(str(self.root / id / "input.parquet"))
+        df = spark.read.parquet(f"{self.tables}/{id}/input.parquet")
         return df.limit(n_rows) if n_rows else df
 
     def create_analysis(self, project: str, analysis: str, params: dict[str, Any], name: str | None = None) -> str:
@@ -89,13 +100,13 @@ class Workspace:
     def save_tables(self, id: str, tables: dict[str, dict[str, DataFrame]]) -> None:
         for analysis, outputs in tables.items():
             for output, df in outputs.items():
-                df.write.mode("overwrite").parquet(str(self._folder(id) / analysis / f"{output}.parquet"))
+                df.write.mode("overwrite").parquet(f"{self._folder(id)}/{analysis}/{output}.parquet")
 
     def load_table(self, spark: SparkSession, id: str, analysis: str, output: str) -> DataFrame:
-        return spark.read.parquet(str(self._folder(id) / analysis / f"{output}.parquet"))
+        return spark.read.parquet(f"{self._folder(id)}/{analysis}/{output}.parquet")
 
-    def _folder(self, id: str) -> Path:
-        return self.root / "analyses" / id
+    def _folder(self, id: str) -> str:
+        return f"{self.tables}/analyses/{id}"
 
     def finish_analysis(self, id: str) -> None:
         with self._state() as state:
@@ -108,7 +119,7 @@ class Workspace:
     def delete_analysis(self, id: str) -> None:
         with self._state() as state:
             del state["analyses"][id]
-        shutil.rmtree(self._folder(id), ignore_errors=True)
+        remove(SparkSession.active(), self._folder(id))
 
     def settings(self) -> dict[str, Any]:
         with self._state() as state:
@@ -118,6 +129,17 @@ class Workspace:
         with self._state() as state:
             state["settings"] |= values
 
+    def export_policy(self, rows: int, chunk_rows: int | None = None) -> ExportPolicy:
+        """How to export a table: in chunks if it is large, of the size chosen last.
+
+        ``chunk_rows`` is chosen now and remembered.
+        """
+        if chunk_rows is not None:
+            policy = ExportPolicy(chunk_rows)
+            self.update_settings(export_chunk=chunk_rows)
+            return policy
+        return ExportPolicy(self.settings().get("export_chunk", CHUNK) if rows > LARGE else None)
+
     def run(self, suite, project: str, analysis: str, df: DataFrame, params: dict[str, Any] | None = None) -> str:
         """Run and save an analysis; a draft that fails is deleted."""
         id = self.create_analysis(project, analysis, {k: str(v) for k, v in (params or {}).items()})

@@ -217,7 +217,11 @@ POSTS = [(f"user{i % 3}", f"m{i}", f"buy this now please #sale{i % 2}", f"2024-0
 
 def test_suite_and_workspace(spark, tmp_path):
     df = spark.createDataFrame(POSTS, "author string, post_id string, content string, created string")
-    work = Workspace(tmp_path / "w")
+    work = Workspace(tmp_path / "w", f"file://{tmp_path}/tables")
+    assert [work.export_policy(n).chunk_rows for n in (10, 50_000, 50_001)] == [None, None, 50_000]
+    assert work.export_policy(10, 700).chunk_rows == 700 and Workspace(tmp_path / "w").export_policy(60_000).chunk_rows == 700
+    with pytest.raises(ValueError, match="100"):
+        work.export_policy(10, 5)
     first, second = work.create_project("My Posts", df), work.create_project("my posts", df)
     assert (first, second) == ("my_posts", "my_posts_1")
     table = work.project_table(spark, first)
@@ -237,10 +241,12 @@ def test_suite_and_workspace(spark, tmp_path):
     assert len(work.analyses(first, drafts=True)) == 5
     work.update_settings(chunk=100)
     work.update_settings(kind="csv")
-    assert work.settings() == {"chunk": 100, "kind": "csv"}
+    assert work.settings() == {"export_chunk": 700, "chunk": 100, "kind": "csv"}
     work.rename_project(second, "A")
     assert [p["name"] for p in work.projects()] == ["A", "My Posts"]
+    assert (tmp_path / "tables" / first).exists()
     work.delete_project(first)
+    assert not (tmp_path / "tables" / first).exists()
     assert [p["id"] for p in work.projects()] == [second] and work.analyses(first) == []
 
 
