@@ -3,16 +3,18 @@
 A text is cut into units at line breaks, at white space after the end of a
 sentence or before a capital letter, and at full stops of scripts without
 spaces. Units are grouped by digest over the corpus; consecutive units that
-occur earlier make a run, and a run goes if it is long enough. So a passage
-is found wherever it was put into a line, and short lines that many
-documents share stay. A short unit's digest reaches into the words after it,
-so that neither names nor one-word sentences repeat by chance.
+occur earlier make a run, and a run goes if it is long enough with the equal
+words around it. So a passage is found wherever it was put into a line, and
+short lines that many documents share stay. A short unit's digest reaches
+into the words after it, so that neither names nor one-word sentences repeat
+by chance.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import string
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -20,14 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoalwatch.llm.common import Scratch, internal, materialize
 from shoalwatch.llm.textkit import U, mix
 
-#: A run of repeated units goes if it has this size at least, see ``Units``.
+#: A run of repeated units goes if it has this size at least with the equal words around it, see ``Units``.
 MIN_SIZE = 40
 #: The digest of a unit covers words of this size in all, where the text has them.
 REACH = 5
@@ -40,6 +42,8 @@ _BREAKS = (0x0A, 0x1E, 0x3002, 0xFF01, 0xFF1F)
 #: bopomofo, Han; as first and last code points.
 UNSPACED = [(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)]
 _SAFE = re.compile("\n|(?<=[.!?])[ \t]")
+_WORD = r"[^\x09-\x0D\x1E\x20\u3002\uFF01\uFF1F]+"
+_DENSE = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in UNSPACED) + "]"
 _NEXT = re.compile(r"(?:\s*[^\s]+){0,%d}\s?" % REACH)
 
 
@@ -203,10 +207,13 @@ def repeated_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     unit, in all).
 
     Occurrences rank by doc_id (null last), hash of the text, and unit; the
-    earliest of a unit never goes. Runs smaller than ``min_size`` stay. Null
-    and empty texts, and texts of white space only, have no units. Rows
-    equal in doc_id and text are one document and get the same runs removed.
-    An empty table gives an empty result; other columns are not read.
+    earliest of a unit never goes. A passage may begin and end amid units, so
+    the words of the units around a run that stand there in the first
+    occurrence too count as well: runs smaller than ``min_size`` with them
+    stay. Only whole units go. Null and empty texts, and texts of white space
+    only, have no units. Rows equal in doc_id and text are one document and
+    get the same runs removed. An empty table gives an empty result; other
+    columns are not read.
 
     Digests have 96 bits. Counts are merged before the shuffle, and a unit
     that a third of all documents hold is a skewed join, which Spark splits.
@@ -218,17 +225,66 @@ def repeated_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "unit")
     groups = units.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     again = units.join(scratch(groups, "groups").hint("merge"), ["h1", "h2"]).where(rank != F.col("first"))
-    again = again.select("doc_id", "text_hash", "unit", "start", "end", "size", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.unit").alias("kept_unit"), "copies")
+    again = again.select("doc_id", "text_hash", "unit", "start", "end", "size", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.text_hash").alias("kept_text"), F.col("first.unit").alias("kept_unit"), "copies")
     again = scratch(again, "repeated").repartition("doc_id", "text_hash").dropDuplicates(["doc_id", "text_hash", "unit"])
     order = Window.partitionBy("doc_id", "text_hash").orderBy("unit")
     runs = again.withColumn("run", F.col("unit") - F.row_number().over(order)).groupBy("doc_id", "text_hash", "run")
-    head = F.min_by(F.struct("kept_doc_id", "kept_unit", "copies"), "unit").alias("head")
-    runs = runs.agg(F.min("unit").alias("unit"), F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_units"), F.sum("size").alias("size"), head)
-    found = materialize(runs.where(F.col("size") >= min_size).select("doc_id", "text_hash", "unit", "start", "end", "n_units", "size", "head.*"), "runs")
+    head = F.min_by(F.struct("kept_doc_id", "kept_text", "kept_unit", "copies"), "unit").alias("head")
+    tail = F.max_by(F.struct("kept_doc_id", "kept_text", "kept_unit"), "unit").alias("tail")
+    runs = scratch(runs.agg(F.min("unit").alias("unit"), F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_units"), F.sum("size").alias("size"), head, tail), "all-runs")
+    short = runs.where(F.col("size") < min_size)
+    around = _around(short, units, docs, min_size, scratch)
+    grown = short.join(around.hint("merge"), _same(short, around)).where(F.col("size") + F.col("around") >= min_size).select(*[short[c] for c in short.columns])
+    kept = runs.where(F.col("size") >= min_size).unionByName(grown)
+    found = materialize(kept.select("doc_id", "text_hash", "unit", "start", "end", "n_units", "size", "head.kept_doc_id", "head.kept_unit", "head.copies"), "runs")
     scratch.clear()
     return found
 
 
+def _same(a: DataFrame, b: DataFrame, prefix: str = "at_") -> Column:
+    """Whether rows of ``a`` and ``b`` are one unit; ids may be null."""
+    return a["doc_id"].eqNullSafe(b[prefix + "doc_id"]) & (a["text_hash"] == b[prefix + "text_hash"]) & (a["unit"] == b[prefix + "unit"])
+
+
+def _around(runs: DataFrame, units: DataFrame, docs: DataFrame, min_size: int, scratch: Scratch) -> DataFrame:
+    """``at_doc_id, at_text_hash, at_unit, around``: size of the words right before and after a run that stand around its first occurrence too.
+
+    Runs that the whole units around them would not bring to ``min_size``
+    are left out, so only few texts are read again.
+    """
+    side = lambda name, doc, text, unit, own: F.struct(F.lit(name).alias("side"), own.alias("unit"), F.col(doc).alias("kept_doc_id"), F.col(text).alias("kept_text"), unit.cast("int").alias("kept_unit"))
+    before = side("before", "head.kept_doc_id", "head.kept_text", F.col("head.kept_unit") - 1, (F.col("unit") - 1).cast("int"))
+    after = side("after", "tail.kept_doc_id", "tail.kept_text", F.col("tail.kept_unit") + 1, (F.col("unit") + F.col("n_units")).cast("int"))
+    asked = runs.select("doc_id", "text_hash", F.col("unit").alias("run"), F.col("size").alias("inside"), F.explode(F.array(before, after)).alias("b"))
+    asked = asked.select("doc_id", "text_hash", "run", "inside", "b.*").where("unit >= 0 and kept_unit >= 0")
+    own = units.select(F.col("doc_id").alias("at_doc_id"), F.col("text_hash").alias("at_text_hash"), F.col("unit").alias("at_unit"), F.col("size").alias("at_size"))
+    sized = asked.join(own.hint("merge"), _same(asked, own)).select(*[asked[c] for c in asked.columns], "at_size").dropDuplicates(["doc_id", "text_hash", "run", "side"])
+    most = F.sum("at_size").over(Window.partitionBy("doc_id", "text_hash", "run"))
+    asked = scratch(sized.withColumn("most", F.col("inside") + most).where(F.col("most") >= min_size).drop("most", "at_size", "inside"), "borders")
+
+    wanted = asked.select("doc_id", "text_hash", "unit").union(asked.select("kept_doc_id", "kept_text", "kept_unit")).distinct()
+    spans = units.select(*[F.col(c).alias("at_" + c) for c in ("doc_id", "text_hash", "unit")], "start", "end")
+    spans = wanted.join(spans.hint("merge"), _same(wanted, spans)).select("doc_id", "text_hash", "unit", "start", "end").distinct()
+    per_doc = spans.groupBy(F.col("doc_id").alias("in_doc"), F.col("text_hash").alias("in_text")).agg(F.collect_list(F.struct("unit", "start", "end")).alias("spans"))
+    texts = docs.join(per_doc.hint("merge"), docs["doc_id"].eqNullSafe(per_doc["in_doc"]) & (docs["text_hash"] == per_doc["in_text"])).select("doc_id", "text_hash", "text", F.explode("spans").alias("s"))
+    part = F.expr("substring(text, cast(s.start + 1 as int), cast(s.end - s.start as int))")
+    lowered = F.translate(part, string.ascii_uppercase, string.ascii_lowercase)
+    words = scratch(texts.select("doc_id", "text_hash", F.col("s.unit").alias("unit"), F.regexp_extract_all(lowered, F.lit(_WORD), F.lit(0)).alias("words")).distinct(), "border-words")
+
+    mine = words.select(*[F.col(c).alias("at_" + c) for c in ("doc_id", "text_hash", "unit", "words")])
+    theirs = words.select(*[F.col(c).alias("kept_at_" + c) for c in ("doc_id", "text_hash", "unit", "words")])
+    both = asked.join(mine.hint("merge"), _same(asked, mine))
+    first = both["kept_doc_id"].eqNullSafe(theirs["kept_at_doc_id"]) & (both["kept_text"] == theirs["kept_at_text_hash"]) & (both["kept_unit"] == theirs["kept_at_unit"])
+    both = both.join(theirs.hint("merge"), first)
+    toward = lambda c: F.when(F.col("side") == "before", F.reverse(c)).otherwise(F.col(c))
+    both = both.select("doc_id", "text_hash", "run", toward("at_words").alias("a"), toward("kept_at_words").alias("b"))
+    differ = F.array_position(F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y)), False)
+    equal = F.slice("a", F.lit(1), F.when(differ == 0, F.size("a")).otherwise((differ - 1).cast("int")))
+    weight = lambda w: F.greatest(F.lit(1), F.floor(F.length(w) / 8), F.floor((F.length(w) - F.length(F.regexp_replace(w, _DENSE, ""))) / 2))
+    told = both.groupBy("doc_id", "text_hash", "run").agg(F.sum(F.aggregate(equal, F.lit(0).cast("long"), lambda n, w: n + weight(w))).alias("around"))
+    return told.select(F.col("doc_id").alias("at_doc_id"), F.col("text_hash").alias("at_text_hash"), F.col("run").alias("at_unit"), "around")
+
+
 def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, min_size: int = MIN_SIZE) -> DataFrame:
     """All columns of ``df`` with repeated runs cut out of ``text``.
 

@@ -125,12 +125,17 @@ d AS (SELECT doc_id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ
 z AS (SELECT doc_id, w, list_transform(w, lambda x: greatest(1, length(x) // 8, length(regexp_replace(x, '[^{_UNSPACED}]', '', 'g')) // 2)) AS z FROM d),
 u AS (SELECT doc_id, unnest(l) AS text, unnest(range(0, len(l))) AS p, unnest(list_transform(l, lambda x: length(x) + 1)) AS step, unnest(list_transform(l, lambda x: len(regexp_extract_all(x, '{_PART}')))) AS c FROM l),
 o AS (SELECT *, sum(step) OVER k - step AS start, CAST(sum(c) OVER k - c AS BIGINT) AS f FROM u WINDOW k AS (PARTITION BY doc_id ORDER BY p)),
-s AS (SELECT doc_id, p, start, start + length(text) AS "end", list_sum(z[f + 1:f + c]) AS size, array_to_string(w[f + 1:f + greatest(c, coalesce(list_filter([1, 2, 3, 4], lambda j: list_sum(z[f + 1:f + j]) >= 5)[1], 5))], ' ') AS s
+s AS (SELECT doc_id, p, start, start + length(text) AS "end", list_sum(z[f + 1:f + c]) AS size, w[f + 1:f + c] AS v, z[f + 1:f + c] AS vz, array_to_string(w[f + 1:f + greatest(c, coalesce(list_filter([1, 2, 3, 4], lambda j: list_sum(z[f + 1:f + j]) >= 5)[1], 5))], ' ') AS s
   FROM o JOIN z USING (doc_id) WHERE c > 0),
-x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS unit FROM s),
+x AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS unit FROM s),
 r AS (SELECT *, row_number() OVER w AS k, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit) OVER w AS kept_unit, count(*) OVER (PARTITION BY s) AS copies FROM x WINDOW w AS (PARTITION BY s ORDER BY doc_id, unit)),
-g AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM r WHERE k > 1)
-SELECT doc_id, CAST(min(unit) AS INT) AS unit, CAST(min(start) AS BIGINT) AS start, CAST(max("end") AS BIGINT) AS "end", count(*) AS n_units, CAST(sum(size) AS BIGINT) AS size,
-  arg_min(kept_doc_id, unit) AS kept_doc_id, CAST(arg_min(kept_unit, unit) AS INT) AS kept_unit, arg_min(copies, unit) AS copies
-FROM g GROUP BY doc_id, run HAVING sum(size) >= {lines.MIN_SIZE}""",
+g AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM r WHERE k > 1),
+a AS (SELECT doc_id, min(unit) AS unit, min(start) AS start, max("end") AS "end", count(*) AS n_units, sum(size) AS size, arg_min(kept_doc_id, unit) AS kept_doc_id, arg_min(kept_unit, unit) AS kept_unit,
+  arg_min(copies, unit) AS copies, arg_max(kept_doc_id, unit) AS last_doc_id, arg_max(kept_unit, unit) AS last_unit FROM g GROUP BY doc_id, run),
+e AS (SELECT a.*, list_reverse(b.v) AS b, list_reverse(b.vz) AS bz, list_reverse(kb.v) AS kb, n.v AS n, n.vz AS nz, kn.v AS kn FROM a
+  LEFT JOIN x b ON b.doc_id = a.doc_id AND b.unit = a.unit - 1 LEFT JOIN x kb ON kb.doc_id = a.kept_doc_id AND kb.unit = a.kept_unit - 1
+  LEFT JOIN x n ON n.doc_id = a.doc_id AND n.unit = a.unit + a.n_units LEFT JOIN x kn ON kn.doc_id = a.last_doc_id AND kn.unit = a.last_unit + 1),
+t AS (SELECT *, coalesce(list_sum(list_filter(bz, lambda y, i: b[1:i] = kb[1:i])), 0) + coalesce(list_sum(list_filter(nz, lambda y, i: n[1:i] = kn[1:i])), 0) AS around FROM e)
+SELECT doc_id, CAST(unit AS INT) AS unit, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", n_units, CAST(size AS BIGINT) AS size, kept_doc_id, CAST(kept_unit AS INT) AS kept_unit, copies
+FROM t WHERE size + around >= {lines.MIN_SIZE}""",
 }

@@ -387,7 +387,7 @@ def test_tiles_are_greedy():
 
 
 def brute_units(text):
-    """(start, end, size, words of the digest), by a plain reading of the rule."""
+    """(start, end, size, words of the digest, own words with sizes), by a plain reading of the rule."""
     text = text or ""
     stops = [i for i, c in enumerate(text) if c in "\n\x1e。！？" or c in " \t" and (text[i - 1 : i] in (".", "!", "?") or unicodedata.category(text[i + 1 : i + 2] or " ") == "Lu")]
     found, words = [], []
@@ -403,22 +403,42 @@ def brute_units(text):
         reach = n
         while at + reach < len(words) and sum(size[at : at + reach]) < lines.REACH:
             reach += 1
-        out.append((lo, hi, sum(size[at : at + n]), " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words[at : at + reach])))
+        low = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words[at : at + reach]]
+        out.append((lo, hi, sum(size[at : at + n]), " ".join(low), list(zip(low, size[at : at + n]))))
     return out
 
 
+def equal_size(one, other):
+    """Size of the equal words of two sequences of words, up to the first that differ."""
+    total = 0
+    for (w, size), (v, _) in zip(one, other):
+        if w != v:
+            break
+        total += size
+    return total
+
+
 def brute_runs(rows, least):
     """{(doc_id, text): [(unit, start, end, size)]} of runs of units that occur earlier."""
-    seen, runs = set(), {}
+    seen, runs = {}, {}
     for doc, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        units = brute_units(text)
         now, mine = [], []
-        for u, (lo, hi, size, words) in enumerate([*brute_units(text), (0, 0, 0, None)]):
+        for u, (lo, hi, size, words, _) in enumerate([*units, (0, 0, 0, None, None)]):
             if words in seen and words is not None:
-                now.append((u, lo, hi, size))
+                now.append((u, lo, hi, size, seen[words]))
                 continue
-            seen.add(words)
-            if sum(x[3] for x in now) >= least:
-                mine.append((now[0][0], now[0][1], now[-1][2], sum(x[3] for x in now)))
+            seen[words] = units, u
+            if now:
+                total = around = sum(x[3] for x in now)
+                (there, at), (u0, *_) = now[0][4], now[0]
+                if u0 and at:
+                    around += equal_size(units[u0 - 1][4][::-1], there[at - 1][4][::-1])
+                there, at = now[-1][4]
+                if u < len(units) and at + 1 < len(there):
+                    around += equal_size(units[u][4], there[at + 1][4])
+                if around >= least:
+                    mine.append((now[0][0], now[0][1], now[-1][2], total))
             now = []
         if mine:
             runs[doc, text] = mine
@@ -437,6 +457,8 @@ def passages():
     rows += [(20 + i, f"{prose(i, rng)} {passage} {prose(7 - i, rng)}\n{footer}\n") for i in range(8)]
     rows += [(28 + i, f"{sentences(2, rng)}{rng.choice(['\n', ' ', chr(30), '。'])}{passage}") for i in range(8)]
     rows += [(36, passage), (37, passage.upper()), (38, passage + "\n" + passage), (39, sentences(3000, rng)), (40, None), (41, ""), (42, " \n\t "), (43, "É\x00Ä" * 300), (None, passage)]
+    torn = " ".join(sentences(20, rng).split()[3:48])  # begins and ends amid sentences
+    rows += [(44 + i, f"{sentences(3, rng)} so {prose(i + 1, rng)} {torn} {prose(5 - i, rng)}.") for i in range(4)]
     return rows + [rows[-1], rows[36], rows[0], rows[40]]
 
 
@@ -467,7 +489,7 @@ def test_lines(spark, empty, least):
 
 def test_passage_goes_and_short_lines_stay():
     runs = brute_runs(passages(), 40)
-    assert {d for d, _ in runs} == {*range(21, 37), 38, None}  # in 37 each capital begins a unit
+    assert {d for d, _ in runs} == {*range(21, 37), 38, 45, 46, 47, None}  # in 37 each capital begins a unit
     rest = [t for (d, t) in runs if d in range(21, 28)]
     assert all("All rights reserved" in t[hi:] for t in rest for *_, hi, _ in runs[next(d for d, x in runs if x == t), t])
 
