@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalwatch.llm import bpe, langid, licenses, lines, minhash, suffixes, tiling, token_counts, urls, vectors
+from shoalwatch.llm import bpe, crosspolytope, langid, licenses, lines, minhash, negatives, suffixes, tiling, token_counts, urls, variants, vectors
 from shoalwatch.session import spread
 
 RULES = [
@@ -77,6 +77,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return variants.spelling_variants(variants.word_counts(docs, typo_one_in=97))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(negatives.integer_rows(rows.withColumn("label", label), scale=256), every=50)
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = crosspolytope.usable_vectors(_table(spark, sf_dir, "embeddings"))
+    return crosspolytope.nearest(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -88,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -138,4 +157,28 @@ e AS (SELECT a.*, list_reverse(b.v) AS b, list_reverse(b.vz) AS bz, list_reverse
 t AS (SELECT *, coalesce(list_sum(list_filter(bz, lambda y, i: b[1:i] = kb[1:i])), 0) + coalesce(list_sum(list_filter(nz, lambda y, i: n[1:i] = kn[1:i])), 0) AS around FROM e)
 SELECT doc_id, CAST(unit AS INT) AS unit, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", n_units, CAST(size AS BIGINT) AS size, kept_doc_id, CAST(kept_unit AS INT) AS kept_unit, copies
 FROM t WHERE size + around >= {lines.MIN_SIZE}""",
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE p AS MATERIALIZED (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(0, 256) r(i)),
+g AS (SELECT doc_id, unnest(regexp_extract_all(text, '[{variants.LETTERS}]{{5,}}')) AS g FROM documents),
+c AS (SELECT doc_id, translate(g, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS g, count(*) AS n FROM g GROUP BY ALL),
+b AS (SELECT g, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || g)) AS x FROM c),
+y AS (SELECT g, n, list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)) AS y FROM b),
+h AS (SELECT g, n, xor(list_reduce(y, lambda c, e: xor(c >> 8, t[(xor(c, e) & 255) + 1]), 4294967295), 4294967295) AS h FROM y, p),
+d AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(g, 1, h % length(g)) || substr(g, h % length(g) + 2) ELSE g END AS word FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+s AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS MATERIALIZED (SELECT a.word, a.n, b.word AS o, b.n AS m FROM s a JOIN s b ON a.i = b.i AND a.s = b.s AND a.word <> b.word
+  UNION SELECT s.word, s.n, v.word, v.n FROM s JOIN v ON s.s = v.word UNION SELECT v.word, v.n, s.word, s.n FROM s JOIN v ON s.s = v.word),
+f AS MATERIALIZED (SELECT word, count(*) AS n_near, arg_min(o, (-m, o)) AS o, max(m) AS m FROM near GROUP BY 1),
+k AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN o END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM v LEFT JOIN f USING (word)),
+walk(word, root) AS (SELECT word, word FROM k UNION ALL SELECT walk.word, k.form FROM walk JOIN k ON walk.root = k.word WHERE k.form IS NOT NULL),
+ends AS (SELECT walk.word, root FROM walk JOIN k ON walk.root = k.word WHERE k.form IS NULL)
+SELECT word, n, n_near, form, form_n, root FROM k JOIN ends USING (word)""",
+    "op12_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS MATERIALIZED (SELECT a.vec_id AS a, x.vec_id AS x, a.label = x.label AS alike, CAST(list_dot_product(a.e, x.e) AS BIGINT) AS s FROM v a JOIN v x ON a.vec_id <> x.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, x, s FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, x) <= 5)
+SELECT p.a AS anchor_id, p.x AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.x ORDER BY s.s DESC, s.x) AS INTEGER) AS rank, s.x AS negative_id, p.s AS positive_score, s.s AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT s.alike AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s QUALIFY rank <= 3""",
 }
