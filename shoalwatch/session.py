@@ -53,7 +53,14 @@ def written(df: DataFrame, tag: str, *by: str) -> DataFrame:
     """
     folder = scratch(df.sparkSession, tag)
     df.write.partitionBy(*by).parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._shoalwatch_folder = folder
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table of ``written`` that is no longer read."""
+    remove(df.sparkSession, df._shoalwatch_folder)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -4,17 +4,14 @@ from __future__ import annotations
 
 import csv
 import io
-import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoalwatch.session import scratch
+from shoalwatch.sources.quoted import open_lines, quoted_rows, whole_rows
 
 # fixed values: what marks a header
 KEYWORDS = ("id", "name", "date", "time", "user", "tweet", "text", "count", "number", "sent", "screen", "retweeted", "favorited")
@@ -22,7 +19,7 @@ NO_HEADER_STARTS = ("http", "www", "from ", "if you")
 SEPARATORS = (",", ";", "\t", "|")
 #: Lines looked at for leading notes, and characters for the separator.
 LINES, SAMPLE_CHARS = 51, 65536
-_BREAK, _BOM, _CHUNK = re.compile(rb"\r\n|\r|\n"), b"\xef\xbb\xbf", 65536
+_BOM = "\ufeff"
 
 
 @dataclass(frozen=True)
@@ -34,19 +31,28 @@ class Dialect:
 
 
 def looks_like_header(fields: list[str]) -> bool:
-    """Two fields or more, half of them filled, that read like column names."""
-    filled = [f.strip() for f in fields if f.strip()]
-    if len(fields) < 2 or len(filled) < len(fields) // 2 or not filled:
+    """Two fields or more, half of them filled, that read like column names.
+
+    They do if the share of fields with a keyword and the share of fields of
+    a name's length come to a half together.
+    """
+    filled = [f.strip().lower() for f in fields if f.strip()]
+    if len(fields) < 2 or len(filled) < max(1, len(fields) // 2):
         return False
-    score = 0
-    for field in map(str.lower, filled):
-        score += any(k in field for k in KEYWORDS)
-        score += 3 <= len(field) <= 30 and not field.startswith(NO_HEADER_STARTS)
-    return score >= 0.5 * len(filled)
+    named = [f for f in filled if any(k in f for k in KEYWORDS)]
+    short = [f for f in filled if 3 <= len(f) <= 30 and not f.startswith(NO_HEADER_STARTS)]
+    return (len(named) + len(short)) / len(filled) >= 0.5
+
+
+def _head(spark: SparkSession, path: str, line_break: str = "\n") -> list[str]:
+    lines = spark.read.text(path, lineSep=line_break).limit(LINES).collect()  # a fixed number of lines
+    return [r[0].removesuffix("\r").removeprefix(_BOM) for r in lines]
 
 
-def _head(spark: SparkSession, path: str) -> list[str]:
-    return [r[0] for r in spark.read.text(path).limit(LINES).collect()]  # a fixed number of lines
+def _line_break(spark: SparkSession, path: str) -> str:
+    """What ends lines: ``\\n``, or ``\\r`` in a file that has no other."""
+    start = [r[0] for r in spark.read.text(path, lineSep="\n").select(F.substring("value", 1, SAMPLE_CHARS)).limit(2).collect()]
+    return "\r" if len(start) == 1 and "\r" in start[0][:-1] else "\n"
 
 
 def detect_dialect(lines: list[str]) -> Dialect:
@@ -72,106 +78,89 @@ def detect_dialect(lines: list[str]) -> Dialect:
         return Dialect(skip_rows=skip)
 
 
-def _without_notes(spark: SparkSession, path: str, notes: list[str]) -> str:
-    """Copy the files to the shared folder without their leading notes, byte by byte.
+def _plain_rows(spark: SparkSession, path: str, dialect: Dialect) -> str | None:
+    """What ends the rows if every line is one, as Spark's reader cuts them; else None.
 
-    A file that doesn't begin with the notes is copied whole.
+    A line that leaves a quote open isn't a row, and line ends that differ
+    within a table need to be told from those in fields.
     """
-    jvm, conf, folder = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), scratch(spark, "csv")
-    for number, name in enumerate(sorted(spark.read.text(path).inputFiles())):
-        source = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
-        stream = source.getFileSystem(conf).open(source)
-        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(source)
-        stream = codec.createInputStream(stream) if codec else stream
-        head, ends = b"", []
-        while chunk := bytes(stream.readNBytes(_CHUNK)):
-            head += chunk
-            ends = [m.end() for m in _BREAK.finditer(head)][: len(notes)]
-            if len(ends) == len(notes) and ends[-1] < len(head):
-                break
-        end = ends[-1] if len(ends) == len(notes) else 0
-        own = _BREAK.split(head[:end].removeprefix(_BOM))[:-1]
-        if [line.decode("utf-8", "replace") for line in own] == notes:
-            head = head[end:]
-        target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{number}.csv")
-        out = target.getFileSystem(conf).create(target)
-        out.write(head, 0, len(head))
-        jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, True)  # closes both
-    return folder
-
-
-def _open_after(line: str, inside: bool, dialect: Dialect) -> bool:
-    """Whether a quoted field is open at the end of a line, from its state at the start."""
-    at = 0
-    while True:
-        if not inside:
-            if not line.startswith(dialect.quote, at):
-                if (found := line.find(dialect.separator, at)) < 0:
-                    return False
-                at = found + 1
-                continue
-            at += 1
-        if (at := line.find(dialect.quote, at)) < 0:
-            return True
-        inside = line.startswith(dialect.quote, at + 1)  # a doubled one
-        at += 2
-        if not inside:
-            if (found := line.find(dialect.separator, at - 1)) < 0:
-                return False
-            at = found + 1
-
-
-def _with_plain_ends(spark: SparkSession, path: str, dialect: Dialect) -> str:
-    """Copy the files with \\n after every row; breaks in quoted fields stay as they are."""
-    folder = scratch(spark, "csv")
-
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside = False
-        for batch in batches:
-            out = []
-            for line in batch.column(0).to_pylist():
-                inside = _open_after(line, inside, dialect)
-                out.append(line[:-1] if not inside and line.endswith("\r") else line)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["line"])
-
-    for number, name in enumerate(sorted(spark.read.text(path).inputFiles())):
-        lines = spark.read.text(spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name)).toString(), lineSep="\n")
-        numbered = spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda p: (p[0][0], p[1])), "line string, at long")
-        ordered = numbered.repartition(1).sortWithinPartitions("at").select("line")
-        ordered.mapInArrow(plain, "line string").write.text(f"{folder}/{number}", lineSep="\n")
-    return f"{folder}/*"
-
-
-def _row_end(spark: SparkSession, path: str) -> str | None:
-    """What ends the rows: ``\\n``, ``\\r\\n``, empty for a mixture, None if Spark has to find out."""
     lines = spark.read.text(path, lineSep="\n")
-    n, cr = lines.agg(F.count(F.lit(1)), F.count_if(F.col("value").endswith("\r"))).first()
-    if n <= len(lines.inputFiles()):  # no \n, or one line
+    n, cr, quoted = lines.agg(F.count(F.lit(1)), F.count_if(F.col("value").endswith("\r")), F.count_if(F.contains("value", F.lit(dialect.quote)))).first()
+    if n and cr not in (0, n) or quoted and open_lines(spark, path, dialect.separator, dialect.quote):
         return None
-    return "\n" if not cr else "\r\n" if cr == n else ""
+    return "\r\n" if cr else "\n"
+
 
+def _first_rows(spark: SparkSession, path: str, dialect: Dialect, line_break: str, n: int) -> list[str]:
+    """The header and the first ``n`` rows, from as few lines as they take."""
+    notes = _head(spark, path, line_break)[: dialect.skip_rows]
+    want, take = n + dialect.header, 4 * (n + 1 + dialect.skip_rows)
+    while True:
+        lines = spark.read.text(path, lineSep=line_break).select("value", "_metadata.file_path").limit(take).collect()
+        files: dict[str, list[str]] = {}
+        for line, file in lines:
+            files.setdefault(file, []).append(line)
+        rows: list[str] = []
+        for body in files.values():
+            if [x.removesuffix("\r").removeprefix(_BOM) for x in body[: len(notes)]] == notes:
+                body = body[len(notes) :]
+            cut = [r for r in whole_rows(body, dialect.separator, dialect.quote, line_break) if r]
+            rows += cut[1:] if rows and dialect.header else cut  # the first file's header stands for all
+        if len(rows) > want or len(lines) < take:  # the last row may go on
+            return rows[:want]
+        take *= 4
 
-def read_csv(spark: SparkSession, path: str, dialect: Dialect | None = None, *, n_rows: int | None = None, schema: T.StructType | None = None) -> DataFrame:
+
+def _parsed(spark: SparkSession, rows: DataFrame, reader: DataFrameReader) -> DataFrame:
+    """Texts of one row each through Spark's own CSV parser."""
+    return DataFrame(reader._jreader.csv(getattr(rows._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())), spark)
+
+
+def _column_names(spark: SparkSession, header: str, options: dict) -> list[str]:
+    return _parsed(spark, spark.createDataFrame([(header,)], "text string"), spark.read.options(**options | {"header": "true"})).columns
+
+
+def read_csv(spark: SparkSession, path: str, dialect: Dialect | None = None, *, n_rows: int | None = None, schema: T.StructType | str | None = None) -> DataFrame:
     """Read with the given or detected dialect; fields beyond the header are cut.
 
-    Quoted fields keep their line breaks, so each file is read by one task.
-    Types come from all rows, or from the first ``n_rows``; so no cell
-    becomes null for want of fitting, unless a schema is given. A file with leading notes is first copied without them, and one of
-    mixed line ends with equal ones. A quote that opens a field and is never
-    closed takes all that follows into the field.
+    Quoted fields keep their line breaks. Where no line leaves a quote open,
+    Spark's reader reads the files in splits as they are; else, and with
+    leading notes or line ends of both kinds, ``quoted_rows`` cuts the rows,
+    in splits as well, and one table of them is written to the shared
+    folder. Files that begin with the same notes lose them.
+
+    Types come from all rows, or from the first ``n_rows``, which alone are
+    read then; so no cell becomes null for want of fitting, unless a schema
+    is given. A quote that opens a field and is never closed takes all that
+    follows in its file into the field.
     """
-    dialect = dialect or detect_dialect(_head(spark, path))
-    source = _without_notes(spark, path, _head(spark, path)[: dialect.skip_rows]) if dialect.skip_rows else path
-    options = {"sep": dialect.separator, "quote": dialect.quote, "escape": dialect.quote, "header": dialect.header, "mode": "PERMISSIVE", "enforceSchema": True, "multiLine": True}
-    end = _row_end(spark, source)
-    if end == "":
-        source, end = _with_plain_ends(spark, source, dialect), "\n"
-    if end:  # told, Spark keeps \r\n in quoted fields; found by itself, it becomes \n
-        options["lineSep"] = end
-    reader = spark.read.options(**{k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()})
-    schema = schema or reader.option("inferSchema", "true").csv(source).schema
-    out = reader.schema(schema).csv(source)
-    return out.limit(n_rows) if n_rows else out
+    line_break = _line_break(spark, path)
+    head = _head(spark, path, line_break)
+    dialect = dialect or detect_dialect(head)
+    options = {"sep": dialect.separator, "quote": dialect.quote, "escape": dialect.quote, "mode": "PERMISSIVE", "enforceSchema": "true", "maxCharsPerColumn": "-1"}
+    if n_rows is None and not dialect.skip_rows and line_break == "\n" and (end := _plain_rows(spark, path, dialect)):
+        reader = spark.read.options(**options, header=str(dialect.header).lower(), lineSep=end)
+        return reader.schema(schema or reader.option("inferSchema", "true").csv(path).schema).csv(path)
+    options |= {"multiLine": "true", "lineSep": line_break}  # line breaks in a row stay as they are
+    first = _first_rows(spark, path, dialect, line_break, n_rows or 1)
+    if n_rows is None:
+        rows = quoted_rows(spark, path, dialect.separator, dialect.quote, header=dialect.header, notes=head[: dialect.skip_rows], line_break=line_break)
+    else:
+        rows = spark.createDataFrame([(r,) for r in first[dialect.header :]], "text string").coalesce(1)
+    if schema is None:
+        schema = _schema(spark, rows, first, dialect, options)
+    return _parsed(spark, rows, spark.read.options(**options).schema(schema))
+
+
+def _schema(spark: SparkSession, rows: DataFrame, first: list[str], dialect: Dialect, options: dict) -> T.StructType:
+    """Names from the first row, types from all by Spark's own rules."""
+    if not first:
+        return T.StructType()
+    names = _column_names(spark, first[0], options)
+    # a row of empty fields, which has any type, tells how many columns there are
+    blank = spark.createDataFrame([(dialect.separator.join([dialect.quote * 2] * len(names)),)], "text string")
+    found = _parsed(spark, blank.union(rows), spark.read.options(**options, inferSchema="true")).schema
+    return T.StructType([T.StructField(name if dialect.header else f.name, f.dataType) for name, f in zip(names, found)])
 
 
 def preview_csv(spark: SparkSession, path: str, n_rows: int = 5) -> DataFrame:
