@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoalwatch.functions.stats import gini
-from shoalwatch.functions.timebins import rolling_mean, with_tumbling
+from shoalwatch.functions.stats import grouped_gini
+from shoalwatch.functions.timebins import with_rolling_mean, with_tumbling
+from shoalwatch.session import written
 
 #: Java's \S with (?U) ends a tag at any Unicode white space.
 HASHTAG = r"(?U)#\S+"
@@ -41,32 +42,33 @@ def window_tags(posts: DataFrame, unit: str = "hour", amount: int = 1) -> DataFr
 def concentration(uses: DataFrame) -> DataFrame:
     """``timewindow_start, count, n_hashtags, gini, gini_smooth`` per window with data.
 
-    Uses are counted by window and tag before a window's counts meet, so a
-    hot tag costs one row. ``gini_smooth`` is the mean of three neighbouring
-    windows that exist, null at both ends.
+    Uses are counted by window and tag, and windows see how often each count
+    stands: a hot tag costs one row, and so do all tags that are used as
+    often. ``gini_smooth`` is the mean of three neighbouring windows that
+    exist, null at both ends.
     """
     per_tag = uses.groupBy("timewindow_start", "hashtag").agg(F.count(F.lit(1)).alias("c"))
-    windows = per_tag.groupBy("timewindow_start").agg(F.sum("c").alias("count"), F.count(F.lit(1)).alias("n_hashtags"), gini(F.collect_list("c")).alias("gini"))
-    return windows.withColumn("gini_smooth", rolling_mean(F.col("gini"), F.col("timewindow_start")))
+    windows = written(grouped_gini(per_tag, "timewindow_start", "c"), "windows")
+    windows = windows.select("timewindow_start", F.col("total").alias("count"), F.col("n").alias("n_hashtags"), "gini")
+    return with_rolling_mean(windows, "gini", "timewindow_start", "gini_smooth")
 
 
-def hashtag_analysis(df: DataFrame, user: str = "user_id", text: str = "text", ts: str = "timestamp", *, unit: str = "hour", amount: int = 1) -> DataFrame:
-    """The full table with the lists of users and tags, aligned and in time order.
+def hashtag_analysis(df: DataFrame, user: str = "user_id", text: str = "text", ts: str = "timestamp", *, unit: str = "hour", amount: int = 1, lists: bool = True) -> DataFrame:
+    """The full table, with the lists of users and tags, aligned and in time order.
 
-    ``timewindow_start`` is a string ``yyyy-MM-dd HH:mm:ss``. Raises if no
-    post has a hashtag.
+    ``timewindow_start`` is a string ``yyyy-MM-dd HH:mm:ss``. Without
+    ``lists`` no window's uses are gathered; ``window_tags`` has them as
+    rows. Raises if no post has a hashtag.
     """
     posts = tagged_posts(df, user, text, ts)
     if posts.isEmpty():
         raise ValueError("no post holds a hashtag")
     uses = window_tags(posts, unit, amount)
-    pairs = uses.groupBy("timewindow_start").agg(F.array_sort(F.collect_list(F.struct("ts", "user_id", "hashtag"))).alias("p"))
-    lists = pairs.select("timewindow_start", F.col("p.user_id").alias("users"), F.col("p.hashtag").alias("hashtags"))
-    return (
-        lists.join(concentration(uses).drop("n_hashtags"), "timewindow_start")
-        .orderBy("timewindow_start")
-        .withColumn("timewindow_start", F.date_format("timewindow_start", "yyyy-MM-dd HH:mm:ss"))
-    )
+    out = concentration(uses).drop("n_hashtags")
+    if lists:
+        pairs = uses.groupBy("timewindow_start").agg(F.array_sort(F.collect_list(F.struct("ts", "user_id", "hashtag"))).alias("p"))
+        out = pairs.select("timewindow_start", F.col("p.user_id").alias("users"), F.col("p.hashtag").alias("hashtags")).join(out, "timewindow_start")
+    return out.orderBy("timewindow_start").withColumn("timewindow_start", F.date_format("timewindow_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 def default_window(windows: DataFrame) -> DataFrame:

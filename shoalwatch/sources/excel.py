@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
+import glob
+import itertools
+import os
 import re
+import shutil
+import uuid
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -25,6 +31,8 @@ def sheet_names(path: str) -> list[str]:
 
 # fixed values: the built-in number formats that show dates or times, as first and last ids
 DATE_FORMATS = [(14, 22), (27, 36), (45, 47), (50, 58)]
+#: Control characters that XML can't hold.
+_UNWRITABLE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 _QUIET = re.compile(r'"[^"]*"|\\.|_.|\*.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', re.IGNORECASE)
 
 
@@ -127,15 +135,20 @@ def _schema(path: str, sheet: str | None) -> T.StructType:
     return T.StructType([T.StructField(str(name or f"column_{i}"), spark.get(frozenset(seen), T.StringType())) for i, (name, seen) in enumerate(zip(header, kinds))])
 
 
+@dataclass
+class _File(InputPartition):
+    path: str
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, schema: T.StructType, path: str, sheet: str | None):
-        self.schema, self.path, self.sheet = schema, path, sheet
+    def __init__(self, schema: T.StructType, paths: list[str], sheet: str | None):
+        self.schema, self.paths, self.sheet = schema, paths, sheet
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]  # one sheet: a million rows at most
+        return [_File(p) for p in self.paths]  # one sheet: a million rows at most
 
-    def read(self, partition) -> Iterator[tuple]:
-        rows = sheet_rows(self.path, self.sheet)
+    def read(self, partition: _File) -> Iterator[tuple]:
+        rows = sheet_rows(partition.path, self.sheet)
         next(rows, None)
         for row in rows:
             row = (row + [None] * len(self.schema))[: len(self.schema)]
@@ -159,23 +172,82 @@ def _cast(value, kind: T.DataType):
         return None
 
 
+def _local(path: str) -> str:
+    """The path as Python opens it; executors and driver have to see the same files."""
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError(f"spreadsheets are opened as local or mounted files, not {path}")
+    return path.removeprefix("file://").removeprefix("file:")
+
+
+def _files(path: str) -> list[str]:
+    found = sorted(glob.glob(_local(path))) or [_local(path)]
+    return found
+
+
+@dataclass
+class _Staged(WriterCommitMessage):
+    #: chunk and file of each workbook that a task has finished
+    files: list[tuple[int, str]]
+
+
+class _Writer(DataSourceWriter):
+    """Workbooks in a folder beside the targets, put in place when all tasks are done."""
+
+    def __init__(self, names: list[str], targets: list[str], chunked: bool):
+        self.names, self.targets, self.chunked = names, targets, chunked
+        self.folder = os.path.join(os.path.dirname(targets[0]), f"_{uuid.uuid4().hex}")
+        os.makedirs(self.folder)
+
+    def write(self, rows: Iterator) -> _Staged:
+        done = []
+        for chunk, own in itertools.groupby(rows, (lambda r: r[-1]) if self.chunked else (lambda r: 0)):
+            file = os.path.join(self.folder, uuid.uuid4().hex)
+            _book(file, self.names, (r[: len(self.names)] for r in own))
+            done.append((chunk, file))
+        return _Staged(done)
+
+    def commit(self, messages: list[_Staged | None]) -> None:
+        done = [f for m in messages if m for f in m.files]
+        if not self.chunked and not done:
+            _book(file := os.path.join(self.folder, "empty"), self.names, iter(()))
+            done = [(0, file)]
+        for chunk, file in done:
+            os.replace(file, self.targets[chunk])
+        shutil.rmtree(self.folder, ignore_errors=True)  # with what tasks left that ran twice
+
+    def abort(self, messages: list[_Staged | None]) -> None:
+        shutil.rmtree(self.folder, ignore_errors=True)
+
+
 class ExcelSource(DataSource):
-    """``spark.read.format("shoal_xlsx").option("sheet", name).load(path)``."""
+    """``spark.read.format("shoal_xlsx").option("sheet", name).load(path)``; a pattern reads several files.
+
+    As a sink it takes ``targets``, one path a line, and with several of them
+    the number of each row's target in the last column.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "shoal_xlsx"
 
     def schema(self) -> T.StructType:
-        return _schema(self.options["path"], self.options.get("sheet"))
+        return _schema(_files(self.options["path"])[0], self.options.get("sheet"))
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _Reader(schema, self.options["path"], self.options.get("sheet"))
+        return _Reader(schema, _files(self.options["path"]), self.options.get("sheet"))
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
+        chunked = self.options.get("chunked") == "true"
+        return _Writer(schema.names[:-1] if chunked else schema.names, self.options["targets"].split("\n"), chunked)
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str | None = None, *, n_rows: int | None = None) -> DataFrame:
-    """A sheet as a DataFrame; with several sheets one has to be named."""
-    if sheet is None and len(names := sheet_names(path)) > 1:
+    """A sheet as a DataFrame; with several sheets one has to be named.
+
+    A pattern reads several files, each by a task of its own; the first
+    tells columns and types.
+    """
+    if sheet is None and len(names := sheet_names(_files(path)[0])) > 1:
         raise ValueError(f"choose one of the sheets {names}")
     spark.dataSource.register(ExcelSource)
     reader = spark.read.format("shoal_xlsx")
@@ -184,8 +256,39 @@ def read_excel(spark: SparkSession, path: str, sheet: str | None = None, *, n_ro
 
 
 def write_excel(df: DataFrame, path: str) -> None:
-    """Write one sheet, rows streamed; zone information of times is removed."""
-    cell = lambda v: "<c/>" if v is None else f'<c t="b"><v>{int(v)}</v></c>' if isinstance(v, bool) else f"<c><v>{v}</v></c>" if isinstance(v, (int, float)) else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_plain(v))}</t></is></c>'
+    """Write one sheet, rows in the order of ``df``; zone information of times is removed."""
+    write_sheets(df.coalesce(1), [path])
+
+
+def write_sheets(df: DataFrame, targets: list[str], chunk: str | None = None) -> None:
+    """A workbook of one sheet for each target, written by the tasks that hold the rows.
+
+    ``chunk`` names the column with the number of a row's target; rows of a
+    target are in one partition, one after the other. If a task fails, no
+    target has changed and nothing is left beside them.
+    """
+    if chunk:
+        df = df.select(*[c for c in df.columns if c != chunk], chunk)
+    df.sparkSession.dataSource.register(ExcelSource)
+    options = {"targets": "\n".join(map(_local, targets)), "chunked": str(bool(chunk)).lower()}
+    df.write.format("shoal_xlsx").options(**options).mode("append").save()
+
+
+#: Rows that a sheet holds, with its header.
+SHEET_ROWS = 1 << 20
+
+
+def _xml(value) -> str:
+    if value is None:
+        return "<c/>"
+    if isinstance(value, bool):
+        return f'<c t="b"><v>{int(value)}</v></c>'
+    if isinstance(value, (int, float)) and value == value and abs(value) != float("inf"):
+        return f"<c><v>{value}</v></c>"
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_UNWRITABLE.sub("", _plain(value)))}</t></is></c>'
+
+
+def _book(path: str, names: list[str], rows: Iterator) -> None:
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
         book.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
         relation = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -194,9 +297,10 @@ def write_excel(df: DataFrame, path: str) -> None:
         book.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="{_NS["m"]}" xmlns:r="{relation}"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>')
         with book.open("xl/worksheets/sheet1.xml", "w") as out:
             out.write(f'<?xml version="1.0"?><worksheet xmlns="{_NS["m"]}"><sheetData>'.encode())
-            out.write(f"<row>{''.join(map(cell, df.columns))}</row>".encode())
-            for row in df.toLocalIterator():
-                out.write(f"<row>{''.join(map(cell, row))}</row>".encode())
+            for i, row in enumerate(itertools.chain([names], rows)):
+                if i >= SHEET_ROWS:
+                    raise ValueError(f"a sheet holds {SHEET_ROWS} rows; export in chunks")
+                out.write(f"<row>{''.join(map(_xml, row))}</row>".encode())
             out.write(b"</sheetData></worksheet>")
 
 

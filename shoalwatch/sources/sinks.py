@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import os
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoalwatch.functions.numbering import numbered
-from shoalwatch.session import written
-from shoalwatch.sources.excel import write_excel
+from shoalwatch.sources.csv import write_text
+from shoalwatch.sources.excel import write_sheets
 
 FORMATS = ("parquet", "csv", "xlsx", "json")
 #: Rows of the smallest chunk.
 LEAST_CHUNK = 100
+_PLACE, _CHUNK = "place__of_row", "chunk__of_row"
 
 
 @dataclass(frozen=True)
@@ -46,31 +49,87 @@ def flat(df: DataFrame) -> bool:
 
 
 def write(df: DataFrame, path: str, kind: str) -> str:
-    """Write one table; ``path`` without suffix. Nested columns need JSON or parquet."""
-    if kind not in FORMATS:
-        raise ValueError(f"format {kind!r} is none of {FORMATS}")
-    if kind in ("csv", "xlsx") and not flat(df):
-        raise ValueError(f"{kind} can't hold nested columns")
+    """Write one table to ``<path>.<kind>``. Nested columns need JSON or parquet.
+
+    CSV, JSON (one array of rows) and XLSX are one file each, written by one
+    task, in the order of ``df``; ``export`` writes large tables in chunks by
+    many. Parquet is a folder of files.
+    """
+    _allow(df, kind)
     target = f"{path}.{kind}"
     if kind == "parquet":
         df.write.mode("overwrite").parquet(target)
-    elif kind == "csv":
-        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(target)
-    elif kind == "json":
-        write_json_array(df, target)
+    elif kind == "xlsx":
+        write_sheets(df.coalesce(1), [target])
     else:
-        write_excel(df, target)
+        _write_files(df, [target], kind)
     return target
 
 
-def write_json_array(df: DataFrame, path: str) -> None:
-    """One JSON document: an array of rows, streamed."""
-    fields = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("[")
-        for i, row in enumerate(df.select(F.to_json(fields, {"ignoreNullFields": "false"})).toLocalIterator()):
-            out.write(("," if i else "") + row[0])
-        out.write("]")
+def _allow(df: DataFrame, kind: str) -> None:
+    if kind not in FORMATS:
+        raise ValueError(f"format {kind!r} is none of {FORMATS}")
+    if kind in ("csv", "xlsx") and not flat(df):
+        raise ValueError(f"{kind} can't hold nested columns")
+
+
+def _as_json(df: DataFrame) -> Column:
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+
+
+def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of one JSON array from the rows of one task."""
+    mark = "["
+    for batch in batches:
+        lines = batch.column(0).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([(mark if i == 0 else ",") + x for i, x in enumerate(lines)], pa.string())], names=["value"])
+        mark = "," if lines else mark
+    yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == "," else "[]"], pa.string())], names=["value"])
+
+
+def _write_files(df: DataFrame, targets: list[str], kind: str, chunk: str | None = None) -> None:
+    """One file for each target, all of one job, in place at once or not at all.
+
+    ``df`` has its chunk's number in ``chunk``, rows of a chunk in one
+    partition and in order; without it, all rows go to the one target. The
+    tasks write to a folder beside the targets, where Spark's commit leaves
+    nothing of a task that failed; then the files are renamed. If the job
+    fails, the folder goes and no target has changed.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    make = lambda *parts: jvm.org.apache.hadoop.fs.Path(*parts)
+    staged = make(make(targets[0]).getParent(), f"_{uuid.uuid4().hex}")
+    fs = staged.getFileSystem(conf)
+    try:
+        rows = df if chunk else df.coalesce(1)
+        if kind == "json" and not chunk:
+            rows = rows.select(_as_json(df).alias("value")).mapInArrow(_array_lines, "value string")
+        writer = rows.write.partitionBy(chunk) if chunk else rows.write
+        if kind == "csv":
+            writer.option("header", True).option("escape", '"').csv(staged.toString())
+        elif kind == "json":
+            writer.text(staged.toString())
+        else:
+            writer.parquet(staged.toString())
+        moves = []
+        for k, target in enumerate(targets):
+            folder = make(staged, f"{chunk}={k}") if chunk else staged
+            files = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
+            if len(files) > 1:
+                raise RuntimeError(f"{len(files)} tasks wrote to {target}")
+            if not files:  # a table without rows may have no task
+                files = [make(folder, "part-empty")]
+                with_text = fs.create(files[0])
+                with_text.write(bytearray(("[]" if kind == "json" else write_text([df.columns])).encode()))
+                with_text.close()
+            moves.append((files[0], make(target)))
+        for source, target in moves:
+            fs.delete(target, True)
+            if not fs.rename(source, target):
+                raise RuntimeError(f"{target} can't be put in place")
+    finally:
+        fs.delete(staged, True)
 
 
 def with_chunks(df: DataFrame, rows: int, *order: str) -> DataFrame:
@@ -86,19 +145,30 @@ def export(df: DataFrame, path: str, kind: str, policy: ExportPolicy = ExportPol
     """Write in one file, or in chunks ``<path>_<k>.<kind>``; returns the paths.
 
     A table that fits one chunk gives one plain file; an empty table with a
-    chunk size gives none.
+    chunk size gives none. All chunks are written by one job, a chunk by one
+    task, and come into place together.
     """
+    _allow(df, kind)
     if policy.chunk_rows is None:
         return [write(df, path, kind)]
-    n = df.count()
-    chunks = -(-n // policy.chunk_rows)
-    if chunks <= 1:
-        return [write(df, path, kind)] if chunks else []
-    # each chunk's files lie in a folder of their own, and a chunk reads no other
-    cut = with_chunks(df, policy.chunk_rows, *(order or df.columns))
-    cut = written(cut, "chunks", "chunk")
-    return [write(cut.where(F.col("chunk") == k).drop("chunk"), f"{path}_{k}", kind) for k in range(chunks)]
-
-
-def list_exports(folder: str) -> list[str]:
-    return sorted(os.listdir(folder))
+    size = policy.chunk_rows
+    placed = numbered(df, _PLACE, *(order or df.columns))
+    n = placed.count()
+    if n == 0:
+        return []
+    chunks = -(-n // size)
+    targets = [f"{path}.{kind}"] if chunks == 1 else [f"{path}_{k}.{kind}" for k in range(chunks)]
+    if kind == "parquet" and chunks == 1:
+        return [write(df, path, kind)]
+    rows = placed.withColumn(_CHUNK, F.floor(F.col(_PLACE) / size).cast("long"))
+    if kind == "json":
+        last = (F.col(_PLACE) == n - 1) | ((F.col(_PLACE) + 1) % size == 0)
+        line = F.concat(F.when(F.col(_PLACE) % size == 0, "[").otherwise(","), _as_json(df), F.when(last, "]").otherwise(""))
+        rows = rows.select(_CHUNK, _PLACE, line.alias("value"))
+    parts = min(chunks, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism))
+    dealt = rows.repartition(parts, _CHUNK).sortWithinPartitions(_CHUNK, _PLACE).drop(_PLACE)
+    if kind == "xlsx":
+        write_sheets(dealt, targets, _CHUNK)
+    else:
+        _write_files(dealt, targets, kind, _CHUNK)
+    return targets
