@@ -15,14 +15,21 @@ GROUP = 4096
 def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """Add ``name``: the row's rank from 0 by ``order``; ties in any order, which stays.
 
-    Rows are sorted in ranges and written once. A partition's rows are
-    numbered where they lie, and shifted by the sizes of the partitions
-    before it, of which there is one row each.
+    Rows are sorted in ranges and written once.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return in_order(df.repartitionByRange(parts, *order).sortWithinPartitions(*order), name)
+
+
+def in_order(df: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: the row's place from 0 in the order that ``df`` has, as after ``orderBy``.
+
+    The rows are written once. A partition's rows are numbered where they
+    lie, and shifted by the sizes of the partitions before it, of which there
+    is one row each.
+    """
     at, part, before = (f"{name}__{x}" for x in ("at", "part", "before"))
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
-    placed = written(placed, "numbered").withColumn(part, F.shiftright(at, 33))
+    placed = written(df.withColumn(at, F.monotonically_increasing_id()), "numbered").withColumn(part, F.shiftright(at, 33))
     shifts = sums_before(placed.groupBy(part).count(), part, "count", before)
     found = placed.join(F.broadcast(shifts), part)  # one row a partition
     return found.withColumn(name, F.col(before) + F.col(at).bitwiseAND(F.lit(_LOW))).drop(at, part, before)

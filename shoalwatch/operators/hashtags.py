@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalwatch.functions.stats import grouped_gini
-from shoalwatch.functions.timebins import with_rolling_mean, with_tumbling
+from shoalwatch.functions.timebins import utc_wall_clock, with_rolling_mean, with_tumbling
 from shoalwatch.session import written
 
 #: Java's \S with (?U) ends a tag at any Unicode white space.
@@ -22,12 +22,12 @@ def tagged_posts(df: DataFrame, user: str = "user_id", text: str = "text", ts: s
     """``user_id, ts, hashtags`` of the posts that have a hashtag.
 
     ``text`` may also be an array of tags. String times are parsed; what
-    doesn't parse is null.
+    doesn't parse is null. Times with a zone become wall clock in UTC.
     """
     kinds = dict(df.dtypes)
-    when = F.col(ts) if kinds[ts].startswith("timestamp") else F.expr(f"try_cast(`{ts}` as timestamp_ntz)")
+    when = utc_wall_clock(F.col(f"`{ts}`"), kinds[ts])
     tags = F.col(text) if kinds[text].startswith("array") else extract_hashtags(F.col(text))
-    return df.select(F.col(user).alias("user_id"), when.cast("timestamp_ntz").alias("ts"), tags.alias("hashtags")).where(F.size("hashtags") > 0)
+    return df.select(F.col(user).alias("user_id"), when.alias("ts"), tags.alias("hashtags")).where(F.size("hashtags") > 0)
 
 
 def window_tags(posts: DataFrame, unit: str = "hour", amount: int = 1) -> DataFrame:
@@ -115,8 +115,10 @@ def tag_users(uses: DataFrame, hashtag: str, window: str | None = None) -> DataF
 def raw_posts(df: DataFrame, user_id, hashtag: str, start: str, end: str, *, user: str = "user_id", text: str = "text", ts: str = "timestamp") -> DataFrame:
     """A user's posts with a tag between two times, both included.
 
-    The tag is taken literally, not as a pattern.
+    The tag is taken literally, not as a pattern. Times with a zone count,
+    and are shown, as wall clock in UTC.
     """
+    df = df.withColumn(ts, utc_wall_clock(F.col(f"`{ts}`"), dict(df.dtypes)[ts]))
     inside = F.col(ts).between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
     rows = df.where(inside & (F.col(user) == user_id) & F.contains(F.col(text), F.lit(hashtag)))
     return rows.select(F.col(user).alias("user_id"), F.col(text).alias("text"), F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("time")).orderBy("time")

@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shoalwatch.functions.sampling import seeded_sample
+
 THRESHOLD, SAMPLE = 0.8, 100
 # fixed values: zone names and offsets at the end of a time, and clock formats
 ZONE_NAME, ZONE_OFFSET = r" [A-Z]{3,4}$", r"[+-]\d{2}:\d{2}$"
+_ZONE = r"( [A-Z]{3,4}|[+-]\d{2}:\d{2})$"
 CLOCKS = [("HH:mm:ss", r"^\d{2}:\d{2}:\d{2}$"), ("HH:mm", r"^\d{2}:\d{2}$"), ("hh:mm:ss a", r"^\d{2}:\d{2}:\d{2} [AaPp][Mm]$"), ("hh:mm a", r"^\d{2}:\d{2} [AaPp][Mm]$")]
 URL, IDENTIFIER = r"^https?://", r"^@?[A-Za-z0-9_.:-]+$"
 EPOCH_FROM, EPOCH_TO = "2000-01-01", "2100-01-01"
@@ -77,21 +80,24 @@ def _fallback(kind: T.DataType) -> Semantic:
     return Semantic("free_text", "text")
 
 
-def infer(df: DataFrame, *, threshold: float = THRESHOLD, sample: int = SAMPLE) -> dict[str, Semantic]:
+def infer(df: DataFrame, *, threshold: float = THRESHOLD, sample: int = SAMPLE, seed: int = 0) -> dict[str, Semantic]:
     """Semantic type of each column: the first whose share of valid values exceeds ``threshold``.
 
     Of the clock formats, the first that any value has is the column's, and
     the others aren't tried. All checks of all columns are one aggregate over
-    the first ``sample`` rows. Nulls count as invalid, so columns without values, and empty
-    tables, are free text (or the number or boolean they hold).
+    ``sample`` rows, chosen by ``seed`` among all distinct ones. Nulls count
+    as invalid, so columns without values, and empty tables, are free text
+    (or the number or boolean they hold).
     """
-    rows = df.limit(sample)
+    rows = seeded_sample(df, sample, seed)
     checks, plan = [], {}
     for f in df.schema:
         plan[f.name] = _candidates(f.dataType)
         for i, (_, parse) in enumerate(plan[f.name]):
             checks.append(F.coalesce(F.avg(parse(F.col(f"`{f.name}`")).isNotNull().cast("int")), F.lit(0.0)).alias(f"{f.name}\0{i}"))
-    shares = rows.agg(*checks).first().asDict() if checks else {}
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    zones = [F.collect_set(F.regexp_extract(F.col(f"`{c}`"), _ZONE, 1)).alias(f"{c}\0zones") for c in texts]
+    shares = rows.agg(*checks, *zones).first().asDict() if checks else {}
     out = {}
     for f in df.schema:
         found = [(s, shares[f"{f.name}\0{i}"]) for i, (s, _) in enumerate(plan[f.name])]
@@ -99,9 +105,9 @@ def infer(df: DataFrame, *, threshold: float = THRESHOLD, sample: int = SAMPLE)
         fits = (s for s, share in found if share > threshold and (s.type != "time" or s == clock))
         out[f.name] = next(fits, _fallback(f.dataType))
         if out[f.name].name == "datetime":
-            zones = rows.select(F.collect_set(F.regexp_extract(F.col(f"`{f.name}`"), r"( [A-Z]{3,4}|[+-]\d{2}:\d{2})$", 1))).first()[0]
-            if len([z for z in zones if z]) > 1:
-                warnings.warn(f"column {f.name} mixes time zones {sorted(zones)}; they are dropped, not converted", stacklevel=2)
+            seen = sorted(z for z in shares[f"{f.name}\0zones"] if z)
+            if len(seen) > 1:
+                warnings.warn(f"column {f.name} mixes time zones {seen}; they are dropped, not converted", stacklevel=2)
     return out
 
 

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from shoalwatch.functions.tokenizer import tokenize, tokenize_ascii
 from shoalwatch.operators import coordination, hashtags, ngrams, posts
-from shoalwatch.functions.numbering import numbered
+from shoalwatch.functions.numbering import in_order
 from shoalwatch.plans import automap, compare, semantics
 from shoalwatch.plans.schema import Column
 from shoalwatch.session import scratch, spread
+from shoalwatch.sources import registry as importers
 from shoalwatch.sources.csv import Dialect, read_csv
-from shoalwatch.sources.sinks import human_columns, with_chunks, write
+from shoalwatch.sources.sinks import ExportPolicy, export, export_name, human_columns, with_chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -354,11 +355,33 @@ def nations_as_text(spark, sf_dir):
     return compare.as_text(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
 
 
-@_query("SELECT row_number() OVER (ORDER BY total_reps DESC, n_words, words) AS place, words, total_reps FROM (SELECT unnest(string_split(role, ' ')) AS words, 1 AS n_words, count(*) AS total_reps FROM conversations GROUP BY 1)")
-def author_ranking(spark, sf_dir):
-    """Ranks in an order of several keys, so that the order itself is checked."""
-    roles = _table(spark, sf_dir, "conversations").select(F.explode(F.split("role", " ")).alias("words")).groupBy("words").agg(F.count(F.lit(1)).alias("total_reps"))
-    return numbered(roles, "place", F.desc("total_reps"), "words").withColumn("place", F.col("place") + 1)
+# --- order of the reports: ranks, so that the order itself is checked ---
+
+
+@_query(f"{_NGRAMS} SELECT row_number() OVER (ORDER BY n DESC, total_reps DESC, distinct_posters DESC, words) - 1 AS place, ngram_id, words FROM summary")
+def ngram_summary_order(spark, sf_dir):
+    return _placed(ngrams.ngram_summary(_ngram_tables(spark, sf_dir))).select("place", "ngram_id", "words")
+
+
+@_query(f"""{_NGRAMS}, r AS (SELECT *, count(*) OVER (PARTITION BY ngram_id, user_id) AS reps FROM summary JOIN x USING (ngram_id) JOIN k USING (message_surrogate_id))
+SELECT row_number() OVER (ORDER BY n DESC, total_reps DESC, distinct_posters DESC, words, reps DESC, user_id, message_surrogate_id) - 1 AS place, ngram_id, message_surrogate_id FROM r""")
+def ngram_full_report_order(spark, sf_dir):
+    return _placed(ngrams.ngram_full_report(_ngram_tables(spark, sf_dir))).select("place", "ngram_id", "message_surrogate_id")
+
+
+@_query(f"{_WINDOW_USERS}, c AS (SELECT a.user_id AS user_id_1, b.user_id AS user_id_2, count(*) AS n FROM u a JOIN u b USING (window_start) GROUP BY 1, 2) SELECT row_number() OVER (ORDER BY n DESC, user_id_1, user_id_2) - 1 AS place, user_id_1, user_id_2 FROM c")
+def coordination_order(spark, sf_dir):
+    return _placed(coordination.cooccurrence(_table(spark, sf_dir, "events"), "user_id", "ts")).select("place", "user_id_1", "user_id_2")
+
+
+@_query(f"{_USES} SELECT row_number() OVER (ORDER BY count(*) DESC, user_id) - 1 AS place, user_id FROM uses WHERE hashtag = '#purchase' GROUP BY user_id")
+def hashtag_users_order(spark, sf_dir):
+    return _placed(hashtags.tag_users(_uses(spark, sf_dir), "#purchase")).select("place", "user_id")
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Rows with their places in the order in which ``df`` gives them."""
+    return in_order(df, "place")
 
 
 @_query("SELECT o_orderkey, CAST(o_orderdate AS DATE)::TIMESTAMP AS day, strftime(o_orderdate, '%H:%M:00') AS clock FROM orders")
@@ -369,16 +392,55 @@ def semantic_dates_and_clocks(spark, sf_dir):
     return orders.select("o_orderkey", semantics.convert(F.col("day"), found["day"]).alias("day"), semantics.convert(F.col("clock"), found["clock"]).alias("clock"))
 
 
+# --- export ---
+
+
+def _exported(spark: SparkSession, df: DataFrame, kind: str, order: str, rows: int) -> str:
+    """Chunks of ``rows`` rows, one file each; a pattern of their paths."""
+    folder = scratch(spark, "round-trip")
+    path = f"{folder}/{export_name('table', 'report')}"
+    export(df, path, kind, ExportPolicy(rows), order=[order])
+    return f"{path}*.{kind}"
+
+
 @_query("SELECT doc_id, source, text FROM documents")
 def csv_round_trip(spark, sf_dir):
-    """Texts with line breaks and quotes, written as CSV and read back."""
-    folder = scratch(spark, "round-trip")
+    """Texts with line breaks and quotes, written as CSV files and read back."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    write(docs, folder, "csv")
-    return read_csv(spark, f"{folder}.csv", Dialect(), schema=docs.schema)
+    return read_csv(spark, _exported(spark, docs, "csv", "doc_id", 2000), Dialect(), schema=docs.schema)
 
 
-# --- export ---
+@_query("SELECT o_orderkey, o_orderdate, o_totalprice, o_orderpriority FROM orders")
+def csv_inferred(spark, sf_dir):
+    """Names and types of a CSV table from its own header and rows."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    found = read_csv(spark, _exported(spark, orders, "csv", "o_orderkey", 5000))
+    return found.withColumns({"o_orderkey": F.col("o_orderkey").cast("long"), "o_orderdate": F.col("o_orderdate").cast("timestamp_ntz")})
+
+
+@_query("SELECT conv_id, turn, role, text FROM conversations")
+def json_round_trip(spark, sf_dir):
+    """Turns as files of one JSON array each, read back."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    back = importers.load(spark, _exported(spark, turns, "json", "conv_id", 2000))
+    return back.select(*[F.col(f.name).cast(f.dataType) for f in turns.schema])
+
+
+@_query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def xlsx_round_trip(spark, sf_dir):
+    """Customers as workbooks, read back."""
+    customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    back = importers.load(spark, _exported(spark, customers, "xlsx", "c_custkey", 1000))
+    return back.select(*[F.col(f.name).cast(f.dataType) for f in customers.schema])
+
+
+@_query("SELECT CAST(chunk AS BIGINT) AS chunk, count(*) AS n_rows, min(k) AS first_key, max(k) AS last_key FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS chunk, o_orderkey AS k FROM orders) GROUP BY 1")
+def export_files(spark, sf_dir):
+    """What each file of a chunked export holds."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    rows = spark.read.parquet(_exported(spark, orders, "parquet", "o_orderkey", 1000))
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"_(\d+)\.parquet$", 1).cast("long")
+    return rows.select(number.alias("chunk"), F.col("o_orderkey").alias("k")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n_rows"), F.min("k").alias("first_key"), F.max("k").alias("last_key"))
 
 
 @_query("SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS chunk, o_orderkey AS \"Order\" FROM orders")
