@@ -11,15 +11,24 @@ from shoalwatch.llm import bpe, langid, lines, minhash, tiling
 from shoalwatch.llm.common import materialize
 from shoalwatch.session import spread
 
+#: Bytes of texts that Spark hands to Python at once. A task holds a batch several
+#: times over, in Spark, in Arrow and in Python.
+BATCH_BYTES = 4 << 20
 #: A document stays if its strongest language has this proportion at least.
 DOMINANT = 0.3
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes; documents differ too much in length for a count."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters, or of a mixture that no language leads.
 
     A language that was never learnt gets a learnt one and stays.
     """
+    _small_batches(spark)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     model = langid.train(docs.where(~held_out))
     told = langid.with_language(docs, model)
@@ -28,22 +37,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each near-duplicate group."""
+    _small_batches(spark)
     return minhash.without_near_duplicates(docs).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that an earlier document, or an earlier place, has already."""
+    _small_batches(spark)
     cut = lines.without_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold benchmark items."""
+    _small_batches(spark)
     return tiling.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to its bytes."""
+    _small_batches(spark)
     return bpe.with_round_trip(docs.select("doc_id", "lang", "source", "text")).select(
         "doc_id",
         "lang",
