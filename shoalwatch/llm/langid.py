@@ -26,7 +26,7 @@ PIECE_CHARS = 1 << 20
 #: At most this many distinct labelled texts are learnt from, whole, chosen by hash.
 SAMPLE = 8000
 UNDETERMINED = "und"
-_STEPS, _FEW, _MOVE = 30, 1e-3, 1e-4
+_STEPS, _MOVE = 30, 1e-4
 _SPACE = 32
 
 

@@ -77,8 +77,8 @@ def banding(percent: int) -> tuple[int, int]:
     for wide in (2, 1):
         half = _HASHES // 2 // wide
         if 2 * (1 - (percent / 100) ** wide) ** half <= TABLE_MISS:
-            break
-    return wide, half
+            return wide, half
+    raise ValueError(f"{_HASHES} minhashes find pairs of a similarity of {percent} % too seldom; ask for a higher one")
 
 
 def least_agreement(percent: int) -> int:

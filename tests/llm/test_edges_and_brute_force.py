@@ -652,6 +652,12 @@ def test_language(spark, empty):
 # --- 10 ---
 
 
+def test_similarities_that_tables_find_too_seldom():
+    assert minhash.banding(85) == (2, 8) and minhash.banding(38) == (1, 16)
+    with pytest.raises(ValueError, match="higher"):
+        minhash.banding(30)
+
+
 def brute_repeats(texts, length):
     data = [(t or "").encode() for t in texts]
     count = collections.Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
@@ -667,7 +673,6 @@ def brute_repeats(texts, length):
 @pytest.mark.parametrize(("length", "gram", "hot"), [(200, 64, 4096), (60, 24, 4096), (40, 16, 2)])
 def test_suffixes(docs, empty, monkeypatch, length, gram, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
-    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 5000)
     want = sorted(brute_repeats([r[1] for r in corpus()], length))
     out = suffixes.remove_repeats(docs, length=length, gram=gram, keep_bytes=True).collect()
     assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == want
@@ -676,6 +681,17 @@ def test_suffixes(docs, empty, monkeypatch, length, gram, hot):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+def test_suffixes_of_several_blocks(spark):
+    """Blocks within one partition, and a text larger than a block."""
+    rng = random.Random(17)
+    shared = [prose(60, rng) for _ in range(6)]
+    texts = ["".join(rng.choice([prose(30, rng), rng.choice(shared)]) for _ in range(n)) for n in [400] * 8 + [7000]]
+    assert sum(map(len, texts)) > 2 * suffixes.BLOCK_BYTES and len(texts[-1]) > suffixes.BLOCK_BYTES
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    out = suffixes.remove_repeats(df, length=60, gram=24).collect()
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == sorted(brute_repeats(texts, 60))
+
+
 def test_spans_across_segments(monkeypatch):
     rng = np.random.default_rng(1)
     part = rng.integers(97, 100, 700).astype(np.uint8)
