@@ -30,6 +30,8 @@ RECALL = 0.96
 SAMPLE, SAMPLE_NUMBERS = 256, 1 << 20
 #: Axes of the second turn's signs; it is used from so many vectors a bucket on.
 NARROW, FULL = 16, 1024
+#: Buckets of the first table that give each query a bound for the other ones.
+FIRST = 4
 #: Vectors of one cell, and queries; fewer if they are long.
 CELL_ROWS, CELL_QUERIES, CELL_NUMBERS = 4096, 4096, 1 << 19
 _SEED, _NEAR = 11, 1e-9
@@ -220,7 +222,7 @@ def _ask(tables: Tables, groups: int):
                         group = buckets % groups
                         own += [{"cell": t * groups + int(g), "wanted": buckets[group == g].tolist()} for g in np.unique(group)]
                 kind = pa.list_(pa.struct([("cell", pa.int64()), ("wanted", pa.list_(pa.int64()))]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cells, kind)], names=["rep", "vector", "cells"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells, kind)], names=["rep", "vector", "least", "cells"])
 
     return ask
 
@@ -229,14 +231,14 @@ _FOUND = "query long, score double, id long"
 
 
 def _search(k: int):
-    """Rank a cell's rows for its queries, bucket by bucket."""
+    """Rank a cell's rows for its queries, bucket by bucket; below ``least`` nothing is of use."""
 
     def search(table: pa.Table) -> pa.Table:
         role = np.asarray(table.column("asks"))
         asks, rows = (table.filter(pa.array(m)) for m in (role, ~role))
         q, x = (_matrix(t.column("vector")) for t in (asks, rows))
         q_id, x_id = (np.asarray(t.column("rep")) for t in (asks, rows))
-        bucket = np.asarray(rows.column("bucket"))
+        bucket, least = np.asarray(rows.column("bucket")), np.asarray(asks.column("least"))
         wanted = asks.column("wanted").combine_chunks()
         own = np.repeat(np.arange(len(q)), np.diff(np.asarray(wanted.offsets))) if len(q) else np.empty(0, np.int64)
         flat = np.asarray(wanted.flatten())
@@ -244,6 +246,8 @@ def _search(k: int):
         for b in np.intersect1d(bucket, flat):
             who, which = own[flat == b], np.flatnonzero(bucket == b)
             i, score, j = _ranked(q[who], x[which], x_id[which], k)
+            use = score >= least[who[i]]
+            i, score, j = i[use], score[use], j[use]
             for column, values in zip(out, (who[i], score, x_id[which[j]])):
                 column.append(values)
         i, score, id = (np.concatenate(c) for c in out)
@@ -254,20 +258,20 @@ def _search(k: int):
 
 
 def _candidates(tables: Tables, classes: DataFrame, asked: DataFrame, n: int, k: int, scratch: Scratch) -> DataFrame:
-    """``query, score, id`` of the best ``k`` that each cell has for each query."""
+    """``query, score, id`` of the best ``k`` that each cell has for each query of ``asked`` (``rep, vector, least``)."""
     rows_at_most = max(16, min(CELL_ROWS, CELL_NUMBERS // tables.dim))
     groups = min(tables.buckets, -(-n // rows_at_most))
     kind = dict(classes.dtypes)["vector"]
     placed = scratch(classes.select("rep", "vector").mapInArrow(_place(tables), f"rep long, vector {kind}, buckets array<long>"), "placed")
-    asking = scratch(asked.mapInArrow(_ask(tables, groups), f"rep long, vector {kind}, cells array<struct<cell:long,wanted:array<long>>>"), "asking")
+    asking = scratch(asked.mapInArrow(_ask(tables, groups), f"rep long, vector {kind}, least double, cells array<struct<cell:long,wanted:array<long>>>"), "asking")
     held = placed.select("rep", "vector", F.posexplode("buckets").alias("t", "bucket")).withColumn("cell", F.col("t") * groups + F.col("bucket") % groups)
-    ask = asking.select("rep", "vector", F.explode("cells").alias("c")).select("rep", "vector", "c.*")
+    ask = asking.select("rep", "vector", "least", F.explode("cells").alias("c")).select("rep", "vector", "least", "c.*")
     blocks = lambda df, most, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
     sizes = scratch(blocks(held.select("cell"), rows_at_most, "nx").join(blocks(ask.select("cell"), min(rows_at_most, CELL_QUERIES), "nq"), "cell"), "sizes")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     own = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
-    columns = ["cell", "i", "j", "asks", "rep", "vector", "bucket", "wanted"]
-    held = held.join(sizes, "cell").withColumn("i", own("nx")).withColumn("j", every("nq")).withColumns({"asks": F.lit(False), "wanted": F.lit(None).cast("array<long>")}).select(columns)
+    columns = ["cell", "i", "j", "asks", "rep", "vector", "bucket", "wanted", "least"]
+    held = held.join(sizes, "cell").withColumn("i", own("nx")).withColumn("j", every("nq")).withColumns({"asks": F.lit(False), "wanted": F.lit(None).cast("array<long>"), "least": F.lit(None).cast("double")}).select(columns)
     ask = ask.join(sizes, "cell").withColumn("j", own("nq")).withColumn("i", every("nx")).withColumns({"asks": F.lit(True), "bucket": F.lit(None).cast("long")}).select(columns)
     return held.union(ask).groupBy("cell", "i", "j").applyInArrow(_search(k), _FOUND)
 
@@ -278,8 +282,8 @@ def _all(classes: DataFrame, asked: DataFrame, dim: int, n: int, k: int) -> Data
     nx, nq = -(-n // most), max(1, -(-asked.count() // most))
     own = lambda m: F.pmod(F.xxhash64("rep"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    columns = ["i", "j", "asks", "rep", "vector", "bucket", "wanted"]
-    held = classes.select("rep", "vector").withColumn("i", own(nx)).withColumn("j", every(nq)).withColumns({"asks": F.lit(False), "bucket": F.lit(0).cast("long"), "wanted": F.lit(None).cast("array<long>")}).select(columns)
+    columns = ["i", "j", "asks", "rep", "vector", "bucket", "wanted", "least"]
+    held = classes.select("rep", "vector").withColumn("i", own(nx)).withColumn("j", every(nq)).withColumns({"asks": F.lit(False), "bucket": F.lit(0).cast("long"), "wanted": F.lit(None).cast("array<long>"), "least": F.lit(None).cast("double")}).select(columns)
     ask = asked.withColumn("j", own(nq)).withColumn("i", every(nx)).withColumns({"asks": F.lit(True), "bucket": F.lit(None).cast("long"), "wanted": F.array(F.lit(0).cast("long"))}).select(columns)
     return held.union(ask).groupBy("i", "j").applyInArrow(_search(k), _FOUND)
 
@@ -346,6 +350,12 @@ def _nearest_classes(classes: DataFrame, asked: DataFrame, dim: int, length: flo
         # a class that several tables find has one score
         return cells.distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).drop("place")
 
+    # a few buckets of one table tell what the others have to reach, so that their cells return little
+    first = replace(tables, tables=1, probes=min(tables.probes, FIRST))
+    asked = asked.select("rep", "vector", F.lit(float("-inf")).alias("least"))
+    early = best(_candidates(first, classes, asked, n, k + 1, scratch)).groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("reached"))
+    early = early.where(F.col("n") == k + 1).select(F.col("query").alias("rep"), "reached")
+    asked = scratch(asked.join(early, "rep", "left").select("rep", "vector", F.coalesce("reached", "least").alias("least")), "bounded")
     found = scratch(best(_candidates(tables, classes, asked, n, k + 1, scratch)), "found")
     ids = classes.select(F.col("rep").alias("id"), "ids")
     expanded = found.join(ids, "id").select("query", "score", F.explode("ids").alias("vec_id"))
