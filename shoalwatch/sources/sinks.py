@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoalwatch.functions.numbering import numbered
+from shoalwatch.functions.numbering import in_order, numbered
+from shoalwatch.session import forget
 from shoalwatch.sources.csv import write_text
 from shoalwatch.sources.excel import write_sheets
 
@@ -144,15 +145,15 @@ def with_chunks(df: DataFrame, rows: int, *order: str) -> DataFrame:
 def export(df: DataFrame, path: str, kind: str, policy: ExportPolicy = ExportPolicy(), *, order: list[str] | None = None) -> list[str]:
     """Write in one file, or in chunks ``<path>_<k>.<kind>``; returns the paths.
 
-    A table that fits one chunk gives one plain file; an empty table with a
-    chunk size gives none. All chunks are written by one job, a chunk by one
+    Rows are in the order of ``df``, or by ``order``. A table that fits one
+    chunk gives one plain file; an empty table with a chunk size gives none. All chunks are written by one job, a chunk by one
     task, and come into place together.
     """
     _allow(df, kind)
     if policy.chunk_rows is None:
         return [write(df, path, kind)]
     size = policy.chunk_rows
-    placed = numbered(df, _PLACE, *(order or df.columns))
+    placed = numbered(df, _PLACE, *order) if order else in_order(df, _PLACE)
     n = placed.count()
     if n == 0:
         return []
@@ -171,4 +172,5 @@ def export(df: DataFrame, path: str, kind: str, policy: ExportPolicy = ExportPol
         write_sheets(dealt, targets, _CHUNK)
     else:
         _write_files(dealt, targets, kind, _CHUNK)
+    forget(placed)
     return targets

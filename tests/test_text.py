@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from shoalwatch.functions import tokenizers
 from shoalwatch.functions.ngrams import ngrams
 from shoalwatch.functions.tokenizer import TokenizerConfig, tokenize, tokenize_text
 from shoalwatch.operators.ngrams import ngram_full_report, ngram_summary, ngram_tables, search, top
@@ -103,3 +104,53 @@ def test_no_ngrams(spark):
     posts = spark.createDataFrame([("u", "m", "one", 1)], "user_id string, message_id string, message_text string, timestamp long")
     tables = ngram_tables(posts)
     assert tables.ngrams.count() == 0 and ngram_full_report(tables).count() == 0
+
+
+#: A text, and its tokens with bars between them.
+_CASES = [
+    ("Late again: the 7th tram, 45 min!", "late|again|the|7th|tram|45|min"),
+    ("Ask @ana or #help at http://wx.example/a?b=1).", "ask|@ana|or|#help|at|http://wx.example/a?b=1"),
+    ("The U.K. and e.u. don't re-open", "the|u.k.|and|e.u.|don't|re-open"),
+    ("$XYZ up 2.5% to €1,200", "$xyz|up|2.5|to|€1,200"),
+    ("山川 and 바다 or كتب", "山|川|and|바다|or|كتب"),
+    ("ขอบ", "ข|อ|บ"),
+    ("Добрый день", "добрый день"),
+    ("naïve ﬂag", "na|ve|ag"),
+    (" ", ""),
+]
+
+
+def test_fixed_cases(spark):
+    rows = spark.createDataFrame([(text,) for text, _ in _CASES], "text string")
+    got = rows.select("text", F.array_join(tokenize("text"), "|").alias("tokens")).collect()
+    assert {r["text"]: r["tokens"] for r in got} == dict(_CASES)
+
+
+def test_tokenizers_plug_in(spark):
+    class Letters:
+        """Anything with a name and a column is a tokenizer."""
+
+        name = "letters"
+
+        def column(self, text):
+            return F.filter(F.split(text, ""), lambda c: c != "")
+
+    tokenizers.register(Letters())
+    tokenizers.register(tokenizers.TextTokenizer("backwards", lambda text: text.split()[::-1]))
+    posts = spark.createDataFrame([("u", "m1", "ab cd ef", 1), ("v", "m2", "ab cd ef", 2), ("v", "m3", None, 3)], "user_id string, message_id string, message_text string, timestamp long")
+    words = lambda t: {r["words"] for r in ngram_summary(ngram_tables(posts, tokenizer=t, min_n=3, max_n=3)).collect()}
+    assert words("analysis") == words("spaced") == {"ab cd ef"} and words("backwards") == {"ef cd ab"}
+    assert words(tokenizers.get("letters")) == {"a b  ", "b   c", "  c d", "c d  ", "d   e", "  e f"}
+    for name in ("basic", "ascii", "spaced", "backwards"):
+        column = tokenizers.get(name).column(F.col("message_text"))
+        assert [r[0] for r in posts.orderBy("message_id").select(column).collect()][2] == []
+    assert tokenizers.register_sql(spark, "backwards") == "tokens_backwards"
+    posts.createOrReplaceTempView("posts_to_cut")
+    got = spark.sql("SELECT message_id, t.place, t.token FROM posts_to_cut, LATERAL tokens_backwards(message_text) t").collect()
+    assert {tuple(r) for r in got} == {(m, i, w) for m in ("m1", "m2") for i, w in enumerate(["ef", "cd", "ab"])}
+    with pytest.raises(ValueError, match="no tokenizer"):
+        tokenizers.get("none")
+    with pytest.raises(ValueError, match="column"):
+        tokenizers.register_sql(spark, "ascii")
+    with pytest.raises(TypeError):
+        tokenizers.register("spaced")
