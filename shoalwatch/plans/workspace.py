@@ -34,6 +34,10 @@ def slug(name: str) -> str:
     return re.sub(r"\W+", "_", name.lower()).strip("_") or "project"
 
 
+#: What ids of analyses in the first layout begin with.
+_V1 = "__v1__"
+
+
 class Workspace:
     """A folder of projects; every change holds a lock across processes.
 
@@ -103,10 +107,32 @@ class Workspace:
                 df.write.mode("overwrite").parquet(f"{self._folder(id)}/{analysis}/{output}.parquet")
 
     def load_table(self, spark: SparkSession, id: str, analysis: str, output: str) -> DataFrame:
-        return spark.read.parquet(f"{self._folder(id)}/{analysis}/{output}.parquet")
+        folder = self._folder(id) if id.startswith(_V1) else f"{self._folder(id)}/{analysis}"
+        return spark.read.parquet(f"{folder}/{output}.parquet")
 
     def _folder(self, id: str) -> str:
-        return f"{self.tables}/analyses/{id}"
+        with self._state() as state:
+            return f"{self.tables}/{state['analyses'].get(id, {}).get('folder', f'analyses/{id}')}"
+
+    def discover_v1(self, spark: SparkSession) -> list[str]:
+        """Analyses of the first layout, ``<project>/analyzers/<analysis>/<output>.parquet``; returns the new ones' ids.
+
+        They are listed with the time of their folder and stay where they are.
+        """
+        new = []
+        make = spark._jvm.org.apache.hadoop.fs.Path
+        for project in self.projects():
+            folder = make(f"{self.tables}/{project['id']}/analyzers")
+            fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+            found = [f for f in fs.listStatus(folder) if f.isDirectory()] if fs.exists(folder) else []
+            with self._state() as state:
+                for f in found:
+                    name = f.getPath().getName()
+                    id = f"{_V1}{project['id']}_{name}"
+                    if id not in state["analyses"]:
+                        state["analyses"][id] = {"project": project["id"], "analysis": name, "params": {}, "name": name, "draft": False, "created": f.getModificationTime() / 1000, "folder": f"{project['id']}/analyzers/{name}"}
+                        new.append(id)
+        return new
 
     def finish_analysis(self, id: str) -> None:
         with self._state() as state:
@@ -117,9 +143,10 @@ class Workspace:
             return [{"id": k, **v} for k, v in state["analyses"].items() if v["project"] == project and (drafts or not v["draft"])]
 
     def delete_analysis(self, id: str) -> None:
+        folder = self._folder(id)
         with self._state() as state:
             del state["analyses"][id]
-        remove(SparkSession.active(), self._folder(id))
+        remove(SparkSession.active(), folder)
 
     def settings(self) -> dict[str, Any]:
         with self._state() as state:

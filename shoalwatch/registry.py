@@ -270,6 +270,14 @@ def ngram_search(spark, sf_dir):
     return ngrams.search(ngrams.ngram_summary(_ngram_tables(spark, sf_dir)), "the", [3, 4])
 
 
+@_query(f"{_NGRAMS} SELECT ngram_id, true AS x_near, true AS y_near FROM summary")
+def ngram_scatter(spark, sf_dir):
+    """Jittered points stand within a twentieth of their n-gram's numbers."""
+    near = lambda jittered, exact: F.abs(F.col(jittered) / F.col(exact) - 1) <= 0.05
+    points = ngrams.scatter(ngrams.ngram_summary(_ngram_tables(spark, sf_dir)))
+    return points.select("ngram_id", near("x", "distinct_posters").alias("x_near"), near("y", "total_reps").alias("y_near"))
+
+
 @_query(rf"{_NGRAMS} SELECT * FROM summary WHERE regexp_matches(words, '(?i)\bof the\b')")
 def ngram_search_indexed(spark, sf_dir):
     """A search that reads one bucket of a word index."""
@@ -345,6 +353,14 @@ def column_automap(spark, sf_dir):
     return spark.createDataFrame(list(automap.automap(found, wanted).items()), "input string, column_name string")
 
 
+@_query("""SELECT 'page_id' AS "column", 'bigint' AS type, 'integer' AS semantic, count(*) > 0 AS has_example FROM pages UNION ALL SELECT 'url', 'string', 'url', count(url) > 0 FROM pages UNION ALL SELECT 'html', 'string', 'text', count(html) > 0 FROM pages""")
+def column_summary(spark, sf_dir):
+    """Names, types, meanings and examples of a table's columns."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rows = [(r["column"], r["type"], r["semantic"], bool(r["example"])) for r in semantics.summarize(pages, semantics.infer(pages))]
+    return spark.createDataFrame(rows, "column string, type string, semantic string, has_example boolean")
+
+
 # --- tables side by side ---
 
 

@@ -266,3 +266,55 @@ def test_order_of_secondaries():
 def test_json_logs():
     record = logging.LogRecord("n", logging.INFO, "f", 1, "hello %s", ("you",), None)
     assert json.loads(JsonFormatter().format(record))["message"] == "hello you"
+
+
+def test_importers(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
+    excel.write_excel(df, str(tmp_path / "sheet"))
+    df.coalesce(1).write.parquet(str(tmp_path / "p"))
+    part = next((tmp_path / "p").glob("part-*"))
+    part.rename(tmp_path / "columns")
+    (tmp_path / "rows").write_text('[{"id": 1, "t": "a"},\n{"id": 2, "t": "b"}]')
+    (tmp_path / "fields").write_text("id;user name;text\n1;ann;x\n2;bob;y\n")
+    (tmp_path / "prose").write_text("nothing but words\n")
+    for file, name in {"sheet": "Excel", "columns": "Parquet", "rows": "JSON", "fields": "CSV", "prose": None}.items():
+        found = registry.suggest(str(tmp_path / file), spark)
+        assert (found and found.name) == name
+        assert registry.suggest(str(tmp_path / file)) is None
+        if found:
+            assert registry.load(spark, str(tmp_path / file)).count() == 2
+            assert found.load(spark, str(tmp_path / file), n_rows=1).count() == 1
+    with pytest.raises(ValueError, match="no importer"):
+        registry.load(spark, str(tmp_path / "prose"))
+    assert registry.suggest("X.XLSX").name == "Excel"
+
+    class Words:
+        name = "Words"
+
+        def suggests(self, path, start):
+            return path.endswith(".words") or start.startswith("nothing but")
+
+        def load(self, spark, path, *, n_rows=None, **options):
+            return spark.read.text(path).select(F.explode(F.split("value", " ")).alias("word")).limit(n_rows or 1000)
+
+    registry.register(Words())
+    try:
+        assert registry.load(spark, str(tmp_path / "prose"), n_rows=2).count() == 2 and registry.suggest("x.words").name == "Words"
+    finally:
+        del registry.IMPORTERS[0]
+    with pytest.raises(TypeError):
+        registry.register("Words")
+
+
+def test_projects_of_the_first_layout(spark, tmp_path):
+    work = Workspace(tmp_path)
+    df = spark.range(3)
+    project, other = work.create_project("Old", df), work.create_project("New", df)
+    assert work.discover_v1(spark) == []
+    df.write.parquet(str(tmp_path / project / "analyzers" / "hashtags" / "hashtag_analysis.parquet"))
+    (id,) = work.discover_v1(spark)
+    assert work.discover_v1(spark) == [] and work.analyses(other) == []
+    assert [(a["id"], a["name"]) for a in work.analyses(project)] == [(id, "hashtags")]
+    assert work.load_table(spark, id, "hashtags", "hashtag_analysis").count() == 3
+    work.delete_analysis(id)
+    assert work.analyses(project) == [] and not (tmp_path / project / "analyzers" / "hashtags").exists()
