@@ -1,4 +1,10 @@
-"""Corpus cleaning pipeline over the training-data operators."""
+"""Corpus cleaning pipeline over the training-data operators.
+
+Every stage takes an empty table and gives an empty one, takes null and
+repeated ids, and lets columns of any other name pass, those included that an
+operator's own results are named like (they keep the documents' values). The
+last stage alone has columns of its own.
+"""
 
 from __future__ import annotations
 
@@ -26,7 +32,10 @@ def _small_batches(spark: SparkSession) -> None:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters, or of a mixture that no language leads.
 
-    A language that was never learnt gets a learnt one and stays.
+    Null and blank texts have no letters and go. A language that was never
+    learnt gets a learnt one and stays. Copies are judged alike; of languages
+    with equal proportions the first by name leads. Where no text has a
+    language, none can be learnt, and all documents go.
     """
     _small_batches(spark)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
@@ -36,26 +45,44 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each near-duplicate group."""
+    """Keep the document of the smallest id of each near-duplicate group.
+
+    Null texts and texts without words are near to nothing and stay. Of rows
+    that share an id one stays, that of the smallest hash of the text; rows
+    with a null id all stay.
+    """
     _small_batches(spark)
     return minhash.without_near_duplicates(docs).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages that an earlier document, or an earlier place, has already."""
+    """Cut passages that an earlier document, or an earlier place, has already.
+
+    Documents rank by id (null last), then by a hash of the text. One of
+    which nothing stays is dropped; null and blank texts that lost nothing
+    stay. ``n_chars`` follows the text.
+    """
     _small_batches(spark)
     cut = lines.without_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold benchmark items."""
+    """Drop documents that hold benchmark items.
+
+    Null texts hold none and stay; null and empty items are in no document.
+    Copies go together.
+    """
     _small_batches(spark)
     return tiling.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and whether they decode to its bytes."""
+    """Token ids of each text, and whether they decode to its bytes.
+
+    A null text is encoded as an empty one. One row a document, repeated ones
+    included.
+    """
     _small_batches(spark)
     return bpe.with_round_trip(docs.select("doc_id", "lang", "source", "text")).select(
         "doc_id",
