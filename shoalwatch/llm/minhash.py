@@ -216,18 +216,23 @@ def _forest(rows: np.ndarray, cols: np.ndarray) -> list[tuple[int, int]]:
 def _common(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, by products of indicator matrices."""
     every = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    values, column, n = np.unique(every, return_inverse=True, return_counts=True)
-    shared = n[column] > 1
-    owner, column = owner[shared], (np.cumsum(n > 1) - 1)[column[shared]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    out = np.zeros((len(sets), len(sets)), np.int64)
-    for lo in range(0, int((n > 1).sum()), COLUMNS):
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[order]
+    del order
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(every)), bool), every[1:] != every[:-1])))
+    del every
+    n = np.diff(np.append(first, len(owner)))
+    # only shingles of several sets count; they get neighbouring columns
+    owner = owner[np.repeat(n > 1, n)]
+    n = n[n > 1]
+    column = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    out = np.zeros((len(sets), len(sets)), np.int32)
+    for lo in range(0, len(n), COLUMNS):
         i, j = np.searchsorted(column, (lo, lo + COLUMNS))
         m = np.zeros((len(sets), COLUMNS), np.float32)
         m[owner[i:j], column[i:j] - lo] = 1
-        out += np.rint(m @ m.T).astype(np.int64)
+        out += np.rint(m @ m.T).astype(np.int32)
     return out
 
 
@@ -250,9 +255,10 @@ def _confirm_cells(rare: DataFrame, texts: DataFrame, percent: int, shingle: int
         sets = []
         for _, w in textkit.words(table.column("text").combine_chunks(), textkit.SPACED):
             sets += list(textkit.shingle_sets(w, shingle))
-        n = np.array([len(s) for s in sets])
+        n = np.array([len(s) for s in sets], np.int64)
         both = _common(sets)
-        linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        del sets
+        linked = (100 + percent) * both.astype(np.int64) >= percent * (n[:, None] + n[None, :])
         rows, cols = np.nonzero(np.triu(linked & (comp[:, None] != comp[None, :]), 1))
         kept = _forest(rows, cols)
         return pa.table({"a": pa.array([int(rep[x]) for x, _ in kept], pa.int64()), "b": pa.array([int(rep[y]) for _, y in kept], pa.int64())})
