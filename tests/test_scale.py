@@ -57,6 +57,18 @@ def test_a_hot_window_is_many_tasks(spark):
     assert max(sizes) <= sum(sizes) / 50
 
 
+def test_pairs_are_counted_where_they_are_made(spark):
+    """Lists of users are shuffled, by cell and by the order; no pair is."""
+    rows = [(u, f"2024-01-01 00:{5 * (u % 3):02d}:00") for u in range(40)]
+    df = spark.createDataFrame(rows, "user_id long, timestamp string").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    out = coordination.cooccurrence(df, block=4)
+    assert out.count() == len({(a, b) for a in range(40) for b in range(40)})
+    dealt = [line for line in plan(out).splitlines() if "Exchange" in line]
+    assert dealt and not any("user_id_2" in line or "other" in line for line in dealt)
+    counts = [r["cooccurrence_count"] for r in out.collect()]
+    assert counts == sorted(counts, reverse=True)
+
+
 # --- n-grams ---
 
 
