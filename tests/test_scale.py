@@ -99,6 +99,24 @@ def test_a_bot_is_many_slices(spark):
     assert hot.count() == 20_000 and hot.first()["reps_per_user"] == 20_000
 
 
+def test_tables_of_ngrams_are_made_when_asked_for(spark, monkeypatch):
+    """Authors alone make no n-grams, and no table between holds their words."""
+    made = {}
+
+    def recorded(df, tag, *by, write=ngrams.written):
+        made[tag] = df.columns
+        return write(df, tag, *by)
+
+    monkeypatch.setattr(ngrams, "written", recorded)
+    posts = [("u1", "m1", "a b c d", 1), ("u2", "m2", "x a b c", 2), ("u1", "m3", "", 3)]
+    tables = ngrams.ngram_tables(spark.createDataFrame(posts, "user_id string, message_id string, message_text string, timestamp long"), tokens=F.split("message_text", " "), max_n=4)
+    assert tables.message_authors.count() == 2 and not made
+    assert sorted(map(tuple, tables.ngrams.collect())) == [(0, "a b c", 3), (1, "a b c d", 4), (2, "b c d", 3), (3, "x a b", 3), (4, "x a b c", 4)]
+    assert sorted(map(tuple, tables.message_ngrams.collect())) == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 3), (2, 4)]
+    assert [tuple(r) for r in ngrams.ngram_summary(tables).collect()] == [(0, "a b c", 3, 2, 2)]
+    assert made and not any("words" in columns for columns in made.values())
+
+
 # --- concentration, rolling means, sums ---
 
 
