@@ -10,6 +10,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from shoalwatch import registry as query_registry
 from shoalwatch.functions import numbering, timebins
 from shoalwatch.functions.sampling import seeded_sample
 from shoalwatch.functions.stats import grouped_gini
@@ -117,6 +118,15 @@ def test_tables_of_ngrams_are_made_when_asked_for(spark, monkeypatch):
     assert made and not any("words" in columns for columns in made.values())
 
 
+@pytest.mark.parametrize("name, kept", [("ngram_full_report_order", {"ngram_id", "message_surrogate_id"}), ("ngram_summary_order", {"ngram_id", "words"}), ("coordination_order", {"user_id_1", "user_id_2"})])
+def test_orders_write_no_other_columns(spark, monkeypatch, name, kept):
+    """Places are given to the columns that are returned, not to whole reports with their texts."""
+    given = []
+    monkeypatch.setattr(query_registry, "in_order", lambda df, name: given.append(set(df.columns)) or df.withColumn(name, F.lit(0)))
+    query_registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert given == [kept]
+
+
 # --- concentration, rolling means, sums ---
 
 
