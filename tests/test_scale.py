@@ -127,6 +127,13 @@ def test_orders_write_no_other_columns(spark, monkeypatch, name, kept):
     assert given == [kept]
 
 
+def test_posts_report_the_chosen_alone(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(ngrams, "ngram_full_report", lambda tables, summary, report=ngrams.ngram_full_report: given.append(summary.count()) or report(tables, summary))
+    query_registry.QUERIES["ngram_posts"](spark, "/root/testdata/sf0.001")
+    assert given == [5]
+
+
 # --- concentration, rolling means, sums ---
 
 
