@@ -444,7 +444,7 @@ def _exported(spark: SparkSession, df: DataFrame, kind: str, rows: int, order: s
 def csv_round_trip(spark, sf_dir):
     """Texts with line breaks and quotes, written as CSV files and read back."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return read_csv(spark, _exported(spark, docs, "csv", 2000), Dialect(), schema=docs.schema)
+    return read_csv(spark, _exported(spark, docs, "csv", 2000), Dialect(), schema=docs.schema, empty_texts=True)
 
 
 @_query("SELECT o_orderkey, o_orderdate, o_totalprice, o_orderpriority FROM orders")

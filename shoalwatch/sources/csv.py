@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -120,10 +121,12 @@ def _column_names(spark: SparkSession, header: str, options: dict) -> list[str]:
     return _parsed(spark, spark.createDataFrame([(header,)], "text string"), spark.read.options(**options | {"header": "true"})).columns
 
 
-def read_csv(spark: SparkSession, path: str, dialect: Dialect | None = None, *, n_rows: int | None = None, schema: T.StructType | str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, dialect: Dialect | None = None, *, n_rows: int | None = None, schema: T.StructType | str | None = None, empty_texts: bool = False) -> DataFrame:
     """Read with the given or detected dialect; fields beyond the header are cut.
 
-    Quoted fields keep their line breaks. Where no line leaves a quote open,
+    Quoted fields keep their line breaks. Fields without anything in them are
+    null; with ``empty_texts``, quoted ones are empty texts, as exports write
+    them. Where no line leaves a quote open,
     Spark's reader reads the files in splits as they are; else, and with
     leading notes or line ends of both kinds, ``quoted_rows`` cuts the rows,
     in splits as well, and one table of them is written to the shared
@@ -138,6 +141,8 @@ def read_csv(spark: SparkSession, path: str, dialect: Dialect | None = None, *,
     head = _head(spark, path, line_break)
     dialect = dialect or detect_dialect(head)
     options = {"sep": dialect.separator, "quote": dialect.quote, "escape": dialect.quote, "mode": "PERMISSIVE", "enforceSchema": "true", "maxCharsPerColumn": "-1"}
+    if empty_texts:  # unquoted ones are read as a text that no field holds, so that they alone are null
+        options["nullValue"] = uuid.uuid4().hex
     if n_rows is None and not dialect.skip_rows and line_break == "\n" and (end := _plain_rows(spark, path, dialect)):
         reader = spark.read.options(**options, header=str(dialect.header).lower(), lineSep=end)
         return reader.schema(schema or reader.option("inferSchema", "true").csv(path).schema).csv(path)

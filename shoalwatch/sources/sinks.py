@@ -108,7 +108,8 @@ def _write_files(df: DataFrame, targets: list[str], kind: str, chunk: str | None
             rows = rows.select(_as_json(df).alias("value")).mapInArrow(_array_lines, "value string")
         writer = rows.write.partitionBy(chunk) if chunk else rows.write
         if kind == "csv":
-            writer.option("header", True).option("escape", '"').csv(staged.toString())
+            # by default Spark's writer cuts white space and control characters off the ends of fields
+            writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(staged.toString())
         elif kind == "json":
             writer.text(staged.toString())
         else:

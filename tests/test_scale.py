@@ -256,6 +256,16 @@ def test_chunks_are_files(spark, tmp_path):
     assert (tmp_path / "csv" / "out_0.csv").read_text().startswith("id,t,x\n0,")
 
 
+@pytest.mark.parametrize("calm", [True, False])
+def test_csv_brings_texts_back_whole(spark, tmp_path, calm):
+    """White space at the ends of texts stays, and empty texts aren't null, in files with and without line breaks in fields."""
+    texts = ["", None, " ", " a", "a ", "\ta\t", "\x00", "a\x00", "\x1c", "\x01b", '"', '""', '" "', "\\", "a,b "] + ([] if calm else ["\n", "a\n", "\na", "a\r", "\ra\r\n", '\r"', '"\n"', " \n "])
+    df = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate([(x, "web") for x in texts] + [("web", x) for x in texts])], "doc_id long, source string, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = query_registry.QUERIES["csv_round_trip"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_one_file(spark, tmp_path):
     df = spark.range(5).withColumn("l", F.array("id"))
     for kind in ("csv", "json", "xlsx"):
