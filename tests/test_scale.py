@@ -7,6 +7,7 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,40 @@ def test_pairs_are_counted_where_they_are_made(spark):
     assert counts == sorted(counts, reverse=True)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_partners_are_counted_by_window(spark, kind):
+    """No pair is a row before it is counted, and numbers are sent packed, whatever the blocks."""
+    rng = random.Random(6)
+    users = [rng.randrange(1 << 40) if kind == "long" else f"u{rng.randrange(1 << 40)}" for _ in range(30)]
+    rows = [(rng.choice(users), f"2024-01-{1 + rng.randrange(3):02d} 00:{rng.randrange(60):02d}:00") for _ in range(200)]
+    df = spark.createDataFrame([*rows, (None, "2024-01-01 00:00:00")], f"user_id {kind}, timestamp string").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    windows: dict = {}
+    for r in coordination.window_users(df).collect():
+        windows.setdefault(r["window_start"], set()).add(r["user_id"])
+    every = Counter((a, b) for us in windows.values() for a in us for b in us)
+    for options in ({}, {"block": 7}, {"include_self": False, "min_count": 2}, {"both_orders": False, "block": 4}):
+        want = {p: n for p, n in every.items() if n >= options.get("min_count", 1) and (p[0] != p[1] or options.get("include_self", True)) and (p[0] <= p[1] or options.get("both_orders", True))}
+        out = coordination.cooccurrence(df, **options)
+        assert [tuple(r) for r in out.collect()] == sorted(((a, b, n) for (a, b), n in want.items()), key=lambda r: (-r[2], r[0], r[1]))
+        assert not any("Aggregate" in line and "user_id_2" in line for line in plan(out).splitlines())
+    sent = {f.name: f.dataType.simpleString() for f in coordination._lists(df, "user_id", "timestamp")[0].schema}
+    assert sent["partners"] == ("binary" if kind == "long" else "array<string>")
+    assert coordination.cooccurrence(df.where("false")).count() == 0
+
+
+def test_steps_of_numbers():
+    rng = random.Random(2)
+    for n, top in ((1, 10), (2, 1 << 60), (300, 400), (300, 1 << 17), (50, 1 << 62)):
+        values = np.array(sorted(rng.sample(range(-min(top, 1 << 61), top), n)))
+        assert (coordination._unpacked(coordination._packed(values)) == values).all()
+    ends = np.array([-(1 << 63), -5, (1 << 63) - 1])
+    assert (coordination._unpacked(coordination._packed(ends)) == ends).all()
+    for n, top in ((1, 10), (300, 400), (300, 1 << 17), (50, 1 << 62)):
+        values = [rng.randrange(top) for _ in range(n)]
+        mixed = np.array([rng.choice(values) for _ in range(n)])
+        assert (coordination._order(mixed) == np.argsort(mixed, kind="stable")).all()
+
+
 # --- n-grams ---
 
 
