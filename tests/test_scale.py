@@ -92,6 +92,15 @@ def test_partners_are_counted_by_window(spark, kind):
     assert coordination.cooccurrence(df.where("false")).count() == 0
 
 
+def test_places_of_pairs_without_sorting_pairs(spark, monkeypatch):
+    """The order is that of lists of partners, which are in order themselves."""
+    given = []
+    monkeypatch.setattr(query_registry, "in_order", lambda df, name: given.append(plan(df)) or df.withColumn(name, F.lit(0)))
+    query_registry.QUERIES["coordination_order"](spark, "/root/testdata/sf0.001")
+    sorts = [line for line in given[0].splitlines() if "Sort [" in line]
+    assert sorts and not any("user_id_2" in line for line in sorts)
+
+
 def test_steps_of_numbers():
     rng = random.Random(2)
     for n, top in ((1, 10), (2, 1 << 60), (300, 400), (300, 1 << 17), (50, 1 << 62)):
